@@ -75,9 +75,8 @@ def choose_front_end(items: DataFrame) -> DataFrame:
     return out
 
 
-def prepare(items: DataFrame) -> DataFrame:
-    """Adds view, origin, joined, joined_origin, units, layers and warnings to (item_id, content, source, …)."""
-    df = items if "base" in items.columns else choose_front_end(items)
+def add_view(df: DataFrame) -> DataFrame:
+    """Adds view, origin, joined, joined_origin and units to rows with base and base_origin."""
     base = F.col("base")
     special = F.when(X.may_need_view(base), base)
     df = df.withColumn("_n", X.compatibility_view(special))
@@ -90,9 +89,15 @@ def prepare(items: DataFrame) -> DataFrame:
     df = df.withColumn("joined", F.when(spaced, X.join_spaced_letters(F.col("view")))).withColumn(
         "joined_origin", F.when(spaced, F.transform(
             X.spaced_origin(F.col("view")), lambda i: X.at_origin(F.col("origin"), i))))
-    df = df.withColumn("units", F.transform(
+    return df.withColumn("units", F.transform(
         X.split_units(F.col("view"), F.coalesce(F.col("source") == "email", F.lit(False))),
-        lambda u: X.to_original(F.col("origin"), u, UNIT_ARRAY)).cast(UNIT_ARRAY))
+        lambda u: X.to_original(F.col("origin"), u, UNIT_ARRAY)).cast(UNIT_ARRAY)).drop("_n")
+
+
+def prepare(items: DataFrame) -> DataFrame:
+    """Adds view, origin, joined, joined_origin, units, layers and warnings to (item_id, content, source, …)."""
+    df = add_view(items if "base" in items.columns else choose_front_end(items))
+    base = F.col("base")
 
     def moved(layers: Column, at: Column) -> Column:
         return F.transform(layers, lambda x: X.to_original(at, x, LAYER_ARRAY)).cast(LAYER_ARRAY)
@@ -113,24 +118,30 @@ def prepare(items: DataFrame) -> DataFrame:
             F.when(mixed > 0, F.concat(mixed.cast("string"),
                                        F.lit(" word(s) mixing look-alike letters from other alphabets"))),
             F.when(decoded, F.lit("encoded text decoded")))))
-    return df.withColumn("warnings", notes).drop("_n", "_text", "_runs", "base", "base_origin", "hidden_layers")
+    return df.withColumn("warnings", notes).drop("_text", "_runs", "base", "base_origin", "hidden_layers")
 
 
-def rule_hits(prepared: DataFrame) -> DataFrame:
-    """Adds ``hits``: rule matches in the view, the joined-letters view and every layer, in original positions."""
+def visible_hits(df: DataFrame) -> DataFrame:
+    """Adds ``hits`` of the view and of the joined-letters view, the latter only where they are new."""
     src = F.col("source")
-    visible = F.transform(hits_in(F.col("view"), src),
-                          lambda h: X.to_original(F.col("origin"), h, HIT_ARRAY))
-    df = prepared.withColumn("_visible", visible.cast(HIT_ARRAY))
+    visible = F.transform(hits_in(F.col("view"), src), lambda h: X.to_original(F.col("origin"), h, HIT_ARRAY))
+    df = df.withColumn("_visible", visible.cast(HIT_ARRAY))
     joined = F.when(F.col("joined").isNotNull(), F.transform(
         hits_in(F.col("joined"), src), lambda h: X.to_original(F.col("joined_origin"), h, HIT_ARRAY)))
     fresh = F.filter(F.coalesce(joined.cast(HIT_ARRAY), empty(HIT_ARRAY)), lambda j: ~F.exists(
         "_visible", lambda v: (v["rule"] == j["rule"]) & (v["start"] == j["start"])))
+    return df.withColumn("hits", F.concat("_visible", fresh)).drop("_visible")
+
+
+def rule_hits(prepared: DataFrame) -> DataFrame:
+    """Adds ``hits``: rule matches in the view, the joined-letters view and every layer, in original positions."""
+    src = F.col("source")
+    df = visible_hits(prepared)
     deep = F.flatten(F.transform("layers", lambda x: F.transform(
         hits_in(x["text"], src, x["kind"]),
         lambda h: h.withField("start", x["start"]).withField("end", x["end"]))))
     layered = F.when(F.size("layers") > 0, deep.cast(HIT_ARRAY)).otherwise(empty(HIT_ARRAY))
-    return df.withColumn("hits", F.concat(F.col("_visible"), fresh, layered)).drop("_visible")
+    return df.withColumn("hits", F.concat("hits", layered))
 
 
 def layer_kind_counts(prepared: DataFrame, key: str = "item_id") -> DataFrame:
