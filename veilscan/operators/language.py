@@ -14,6 +14,9 @@ LINE = ("array<struct<unit_no:int,start:int,end:int,text:string,payload:string,w
         "run:int,cleared:boolean>>")
 
 
+RUN = "array<struct<run:int,n:int,text:string>>"
+
+
 def lang_units(units: Column, layers: Column) -> Column:
     """Visible units, then the units of hidden layers placed at their layer's run."""
     inner = F.flatten(F.transform(F.filter(layers, lambda x: x["hidden"]), lambda x: F.transform(
@@ -58,16 +61,27 @@ def number_runs(lines: Column, content: Column) -> Column:
 
 def rejoin_wrapped(lines: Column, content: Column, opts: Options = Options()) -> Column:
     """Marks lines cleared because the wrapped sentence they belong to reads as English."""
+    def joined(acc: Column, x: Column) -> Column:
+        # one entry per run: its number, how many lines, and their text
+        last = F.try_element_at(acc, F.lit(-1))
+        body = strip(F.coalesce(x["payload"], F.lit("")))
+        mine = F.coalesce(last["run"] == x["run"], F.lit(False))
+        grown = F.struct(x["run"].alias("run"), (last["n"] + 1).alias("n"), F.concat(last["text"], F.lit(" "), body).alias("text"))
+        fresh = F.struct(x["run"].alias("run"), F.lit(1).alias("n"), body.alias("text"))
+        return F.when(mine, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(grown).cast(RUN))).otherwise(
+            F.concat(acc, F.array(fresh).cast(RUN)))
+
     def clear(numbered: Column) -> Column:
-        def mark(x: Column) -> Column:
-            mates = F.filter(numbered, lambda y: (y["run"] == x["run"]) & y["payload"].isNotNull())
-            joined = F.array_join(F.transform(mates, lambda y: strip(y["payload"])), " ")
-            whole = let(L.lang_words(joined), lambda w: (F.size(w) >= opts.min_words) & (
-                L.language_score(w)["p_eng"] >= opts.language_threshold))
-            own = (x["top"] == "en") | (x["p_eng"] >= 0.20)
-            return x.withField("cleared", x["payload"].isNotNull() & own & (F.size(mates) > 1) & whole
-                               & ~L.has_indic_markers(x["payload"]))
-        return F.transform(numbered, mark)
+        runs = F.aggregate(numbered, F.array().cast(RUN), joined)
+        english = F.transform(runs, lambda r: F.when(r["n"] > 1, let(L.lang_words(r["text"]), lambda w: (
+            F.size(w) >= opts.min_words) & (L.language_score(w)["p_eng"] >= opts.language_threshold))).otherwise(F.lit(False)))
+
+        def mark(verdicts: Column) -> Column:
+            # runs are numbered from 1 without gaps
+            return F.transform(numbered, lambda x: x.withField("cleared", x["payload"].isNotNull() & F.get(
+                verdicts, x["run"] - 1) & ((x["top"] == "en") | (x["p_eng"] >= 0.20)) & ~L.has_indic_markers(x["payload"])))
+
+        return let(english, mark)
 
     return let(number_runs(lines, content), clear)
 

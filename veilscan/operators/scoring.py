@@ -33,15 +33,15 @@ def runs_of(n: Column, width: int) -> Column:
 
 def score_ranges(texts: Column, ranges: Column, scorers: list[Scorer]) -> Column:
     """Each range with every scorer's score, in scorer order, and the top score."""
-    def scored(bodies: Column) -> Column:
-        lists = [s.many(bodies) for s in scorers]
-        return F.transform(ranges, lambda r, i: let(F.array(*[F.get(x, i) for x in lists]), lambda s: F.struct(
+    def merged(lists: Column) -> Column:
+        # lists: one array of scores per scorer, bound once, so no text is scored again per range
+        return F.transform(ranges, lambda r, i: let(F.transform(lists, lambda x: F.get(x, i)), lambda s: F.struct(
             r["a"].alias("a"), r["b"].alias("b"), s.alias("s"), F.array_max(s).alias("top"))))
 
     bodies = F.transform(ranges, lambda r: range_text(texts, r["a"], r["b"]))
     if all(s.native for s in scorers):
-        return let(bodies, scored).cast(RANGES)
-    return scored(bodies).cast(RANGES)
+        return let(bodies, lambda t: let(F.array(*[s.many(t) for s in scorers]), merged)).cast(RANGES)
+    return let(F.array(*[s.many(bodies) for s in scorers]), merged).cast(RANGES)
 
 
 def drill_down(window: Column, pairs: Column, singles: Column, threshold: float) -> Column:
@@ -144,9 +144,9 @@ def flag_layers(layers: Column, scorers: list[Scorer], threshold: float) -> Colu
     texts = F.transform(layers, lambda x: x["text"])
     nothing = F.array().cast("array<string>")
     if not all(s.native for s in scorers):
-        lists = [s.many(texts) for s in scorers]
-        return F.transform(layers, lambda x, i: F.array_sort(F.array_compact(F.array(*[
-            F.when(F.get(v, i) >= threshold, F.lit(s.name)) for s, v in zip(scorers, lists)]))))
+        return let(F.array(*[s.many(texts) for s in scorers]), lambda lists: F.transform(
+            layers, lambda x, i: F.array_sort(F.array_compact(F.array(*[
+                F.when(F.get(F.get(lists, F.lit(k)), i) >= threshold, F.lit(s.name)) for k, s in enumerate(scorers)])))))
 
     def flags(x: Column) -> Column:
         whole = F.array_compact(F.array(*[F.when(s.long(x["text"]) >= threshold, F.lit(s.name)) for s in scorers]))

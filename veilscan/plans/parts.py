@@ -29,7 +29,7 @@ part("planted", f"""
 SELECT d.doc_id, d.lang, d.n_chars, CAST(d.doc_id % 20 AS INTEGER) AS phrase_no, d.phrase2_no, d.source, d.plant,
   CASE WHEN d.plant IS NULL THEN d.head || d.text WHEN d.slot = 0 THEN d.head || d.text || chr(10) || chr(10) || d.plant
        ELSE d.head || d.plant || chr(10) || chr(10) || d.text END AS text,
-  CASE WHEN d.doc_id % 20 < {N_ATTACK} OR coalesce(d.phrase2_no < {N_ATTACK}, FALSE) THEN 1 ELSE 0 END AS label,
+  CASE WHEN d.doc_id % 20 < {N_ATTACK} OR coalesce(d.phrase2_no < {N_ATTACK}, FALSE) THEN 1::BIGINT ELSE 0::BIGINT END AS label,
   CASE WHEN d.plant IS NULL THEN NULL WHEN d.slot = 0 THEN length(d.head) + length(d.text) + 2
        ELSE length(d.head) END AS span_start,
   CASE WHEN d.plant IS NULL THEN NULL WHEN d.slot = 0 THEN length(d.head) + length(d.text) + 2
@@ -91,3 +91,94 @@ SELECT doc_id, source, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS
         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos0 FROM unit_pieces))
 WHERE t <> ''
 """, ["unit_pieces"])
+
+part("eval_items", """
+SELECT p.doc_id, p.source, p.text, p.label, p.n_chars, p.span_start, p.span_end,
+  CASE WHEN label = 1 THEN CASE WHEN p.doc_id % 7 <= 1 THEN 'mail_labelled' WHEN p.doc_id % 7 = 2 THEN 'mail_groups'
+         WHEN p.doc_id % 7 <= 4 THEN 'pair_attack' WHEN p.doc_id % 7 = 5 THEN 'planted_inbox' ELSE 'planted_thread' END
+       ELSE CASE p.doc_id % 3 WHEN 0 THEN 'mail_benign' WHEN 1 THEN 'pair_benign' ELSE 'work_benign' END END AS set_name,
+  'family-' || (p.doc_id % 12) AS grp, a.type AS type1, CASE WHEN b.type IS DISTINCT FROM a.type THEN b.type END AS type2
+FROM planted p LEFT JOIN phrases a ON a.no = p.phrase_no LEFT JOIN phrases b ON b.no = p.phrase2_no
+""", ["planted", "phrases"])
+
+part("attacks", "SELECT doc_id, rule, type, s, e FROM hits WHERE strength = 'strong'", ["hits"])
+
+part("results", """
+SELECT r.*, CASE WHEN lane <> 'clean' THEN 1 ELSE 0 END AS judge_calls,
+  CASE WHEN lane <> 'clean' THEN 1 + doc_id % 2 ELSE 0 END AS sandbox_calls,
+  CASE WHEN lane <> 'clean' THEN doc_id % 29 <> 0 END AS judge_ok,
+  CASE WHEN lane <> 'clean' THEN doc_id % 31 = 0 END AS judge_took_over,
+  lane <> 'clean' AND doc_id % 43 = 0 AS sandbox_error, lane <> 'clean' AND doc_id % 5 = 0 AS sandbox_acted,
+  lane <> 'clean' AND doc_id % 3 = 0 AS by_judge, CASE WHEN lane <> 'clean' THEN doc_id % 4 ELSE 0 END AS cleared
+FROM (
+  SELECT i.*, i.n_chars AS ms, (i.doc_id * 37 % 101) / 100.0::DOUBLE AS score_a, (i.doc_id * 53 % 101) / 100.0::DOUBLE AS score_b,
+    CASE WHEN i.doc_id % 53 = 0 THEN 'Timeout' END AS error,
+    CASE WHEN i.doc_id % 53 = 0 THEN NULL WHEN coalesce(h.n_strong, 0) > 0 AND i.doc_id % 41 = 0 THEN 'quarantine'
+         WHEN coalesce(h.n_strong, 0) > 0 THEN 'sanitise' ELSE 'allow' END AS verdict,
+    CASE WHEN h.doc_id IS NULL THEN 'clean' WHEN h.n_strong > 0 AND (i.doc_id * 37 % 101) / 100.0::DOUBLE >= 0.65
+         THEN 'clear_attack' ELSE 'unsure' END AS lane, coalesce(h.n_strong, 0) AS n_attacks
+  FROM eval_items i LEFT JOIN (
+    SELECT doc_id, count(*) FILTER (WHERE strength = 'strong') AS n_strong FROM hits GROUP BY doc_id) h USING (doc_id)) r
+""", ["eval_items", "hits"])
+
+
+# Evidence from the rules alone --------------------------------------------------------------------
+part("unit_marks", """
+SELECT u.doc_id, u.unit_no, u.s, u.e, u.text, coalesce(bool_or(h.strength = 'strong'), FALSE) AS bad,
+  coalesce(bool_or(h.strength = 'weak'), FALSE) AS weak
+FROM units u LEFT JOIN hits h ON h.doc_id = u.doc_id AND h.s < u.e AND u.s < h.e GROUP BY ALL
+""", ["units", "hits"])
+
+part("spans", """
+SELECT doc_id, min(s) AS s, max(e) AS e FROM (
+  SELECT *, unit_no - row_number() OVER (PARTITION BY doc_id ORDER BY unit_no) AS island FROM (
+    SELECT *, bad OR (weak AND (coalesce(lag(bad) OVER w, FALSE) OR coalesce(lead(bad) OVER w, FALSE))) AS flagged
+    FROM unit_marks WINDOW w AS (PARTITION BY doc_id ORDER BY unit_no)) WHERE flagged) GROUP BY doc_id, island
+""", ["unit_marks"])
+
+part("span_hits", """
+SELECT p.doc_id, p.s, p.e, h.rule_no, h.rule, h.type, h.strength, h.s AS hit_s FROM spans p
+JOIN hits h ON h.doc_id = p.doc_id AND h.s < p.e AND p.s < h.e
+""", ["spans", "hits"])
+
+part("span_facts", """
+SELECT doc_id, s, e, bool_or(strength = 'strong') AS strong_rule,
+  coalesce((SELECT string_agg(type, ',' ORDER BY first_at) FROM (SELECT type, min(rule_no * 1000000 + hit_s) AS first_at FROM span_hits y
+     WHERE y.doc_id = x.doc_id AND y.s = x.s AND type <> 'indirect_injection' GROUP BY type)), '') AS types,
+  string_agg(DISTINCT rule, ',' ORDER BY rule) AS rules
+FROM span_hits x GROUP BY doc_id, s, e
+""", ["span_hits"])
+
+# Payload sweep: addresses in a cut that also stand elsewhere, widened to their sentence or header line.
+part("sweep_spots", """
+SELECT c.doc_id, c.types, c.pos, c.pos + length(c.addr) AS pos_end, p.text FROM (
+  SELECT doc_id, types, addr, list_sum(list_transform(pieces[1:k], lambda x: length(x)))::BIGINT + (k - 1) * length(addr) AS pos FROM (
+    SELECT doc_id, types, addr, pieces, unnest(range(1, len(pieces))) AS k FROM (
+      SELECT f.doc_id, f.types, a.addr, string_split(lower(p.text), lower(a.addr)) AS pieces
+      FROM span_facts f JOIN planted p USING (doc_id),
+        LATERAL (SELECT DISTINCT unnest(regexp_extract_all(substr(p.text, f.s + 1, f.e - f.s),
+          '[\\w.+-]+@[\\w-]+(?:\\.[\\w-]+)+|https?://[^\\s"''<>)]+')) AS addr) a))) c JOIN planted p USING (doc_id)
+WHERE NOT EXISTS (SELECT 1 FROM spans s WHERE s.doc_id = c.doc_id AND s.s <= c.pos AND c.pos < s.e)
+""", ["span_facts", "planted", "spans"])
+
+part("sweeps", """
+SELECT doc_id, types, CASE WHEN n = 1 AND multi THEN pos - length(regexp_extract(substr(text, 1, pos), '[^\n]*$')) ELSE least(lo, pos) END AS s,
+  CASE WHEN n = 1 AND multi THEN pos_end + length(regexp_extract(substr(text, pos_end + 1), '^[^\n]*')) ELSE greatest(hi, pos_end) END AS e
+FROM (SELECT w.doc_id, w.types, w.pos, w.pos_end, w.text, count(*) AS n, min(u.s) AS lo, max(u.e) AS hi,
+        contains(substr(any_value(w.text), min(u.s) + 1, max(u.e) - min(u.s)), chr(10)) AS multi
+      FROM sweep_spots w JOIN units u ON u.doc_id = w.doc_id AND u.s < w.pos_end AND w.pos < u.e GROUP BY ALL)
+""", ["sweep_spots", "units"])
+
+part("cuts", """
+SELECT doc_id, s, e, types, 'rules' AS found_by, rules, strong_rule FROM span_facts
+UNION ALL SELECT DISTINCT doc_id, s, e, types, 'payload sweep', '', FALSE FROM sweeps
+""", ["span_facts", "sweeps"])
+
+part("kept", """
+SELECT doc_id, k, prev AS a, s AS b, substr(text, prev + 1, s - prev) AS piece, label FROM (
+  SELECT c.doc_id, row_number() OVER w AS k, coalesce(lag(c.e) OVER w, 0) AS prev, c.s, p.text,
+    '[removed: ' || coalesce(nullif(replace(replace(c.types, ',', ', '), '_', ' '), ''), 'suspected injection') || ']' AS label
+  FROM cuts c JOIN planted p USING (doc_id) WINDOW w AS (PARTITION BY c.doc_id ORDER BY c.s))
+UNION ALL
+SELECT c.doc_id, count(*) + 1, max(c.e), length(any_value(p.text)), substr(any_value(p.text), max(c.e) + 1), '' FROM cuts c JOIN planted p USING (doc_id) GROUP BY c.doc_id
+""", ["cuts", "planted"])

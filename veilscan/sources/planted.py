@@ -36,7 +36,7 @@ PHRASE_TYPES = [
     "tool_abuse", "tool_abuse", "credential_theft", "secret_extraction", "role_change",
 ]
 N_ATTACK = 14
-HEAD = "From: desk@b.example\nSubject: Weekly update\n\n"
+HEAD = "From: desk@a.example\nSubject: Weekly update\n\n"
 
 
 SPREAD_BYTES = 64 * 1024 * 1024
