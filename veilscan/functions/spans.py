@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilscan.settings import SPAN_ARRAY
@@ -31,6 +31,25 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def fence(value: Column) -> Column:
+    """A finished value: later filters read it instead of repeating its definition.
+
+    Spark pushes a filter below a projection by copying the projected expression into it. For a column
+    built by higher-order functions over other such columns that would run the work again, once per
+    element. A projection that also reads the partition number is left in place.
+    """
+    return F.when(F.spark_partition_id() >= 0, value)
+
+
+def unfold(df: DataFrame, keys: list[str], array: Column | str) -> DataFrame:
+    """One row per struct of an array column, its fields as columns; the first field is never null.
+
+    The outer form is used because the inner one makes Spark evaluate the array twice (a filter on its size).
+    """
+    out = df.select(*keys, F.inline_outer(array))
+    return out.filter(F.col(out.columns[len(keys)]).isNotNull())
+
+
 def unmarked(text: Column) -> Column:
     """The text with the two marker characters replaced, so marks put in later are the only ones."""
     return F.when(F.contains(text, F.lit(OPEN)) | F.contains(text, F.lit(CLOSE)),

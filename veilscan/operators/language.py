@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from veilscan.functions import language as L
 from veilscan.functions import text as X
-from veilscan.functions.spans import cut_out, let, strip
+from veilscan.functions.spans import cut_out, fence, let, strip
 from veilscan.settings import FLAG_ARRAY, Options, empty
 
 LINE = ("array<struct<unit_no:int,start:int,end:int,text:string,payload:string,words:int,p_eng:double,top:string,"
@@ -122,11 +122,11 @@ def join_short_lines(lines: Column, opts: Options = Options()) -> Column:
 def language_gate(df: DataFrame, opts: Options = Options()) -> DataFrame:
     """Adds ``lang_flags`` and its warning to prepared items."""
     is_email = F.coalesce(F.col("source") == "email", F.lit(False))
-    df = df.withColumn("_lines", scored_lines(lang_units(F.col("units"), F.col("layers")), is_email))
-    df = df.withColumn("_lines", F.when(is_email, rejoin_wrapped(F.col("_lines"), F.col("content"), opts)).otherwise(F.col("_lines")))
+    df = df.withColumn("_lines", fence(scored_lines(lang_units(F.col("units"), F.col("layers")), is_email)))
+    df = df.withColumn("_lines", fence(F.when(is_email, rejoin_wrapped(F.col("_lines"), F.col("content"), opts)).otherwise(F.col("_lines"))))
     flags = F.array_sort(F.concat(flag_lines(F.col("_lines"), opts), join_short_lines(F.col("_lines"), opts)),
                          lambda a, b: a["unit_no"] - b["unit_no"])
-    df = df.withColumn("lang_flags", F.coalesce(flags, empty(FLAG_ARRAY)))
+    df = df.withColumn("lang_flags", fence(F.coalesce(flags, empty(FLAG_ARRAY))))
     langs = F.array_join(F.array_sort(F.array_distinct(F.transform("lang_flags", lambda f: f["top"]))), ", ")
     return df.withColumn("warnings", F.when(F.size("lang_flags") > 0, F.concat("warnings", F.array(F.concat(
         F.lit("non-English content detected ("), langs, F.lit(")"))))).otherwise(F.col("warnings"))).drop("_lines")

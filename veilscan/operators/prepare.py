@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from veilscan.functions import text as X
 from veilscan.functions.rules import hits_in
-from veilscan.functions.spans import by_start, cut_out, fold_overlapping
+from veilscan.functions.spans import by_start, cut_out, fence, fold_overlapping
 from veilscan.settings import HIT_ARRAY, LAYER_ARRAY, MAX_CHARS, UNIT_ARRAY, empty
 
 RANGE_ARRAY = "array<struct<start:int,end:int>>"
@@ -84,14 +84,14 @@ def add_view(df: DataFrame) -> DataFrame:
     origin = F.when(F.col("_n.origin").isNull(), F.col("base_origin")) \
         .when(F.col("base_origin").isNull(), F.col("_n.origin")) \
         .otherwise(F.transform("_n.origin", lambda i: F.get("base_origin", i)))
-    df = df.withColumn("origin", origin).withColumn("view", X.fold_confusables(F.col("_text")))
+    df = df.withColumn("origin", origin).withColumn("view", fence(X.fold_confusables(F.col("_text"))))
     spaced = F.col("view").rlike(X.SPACED_LETTERS)
     df = df.withColumn("joined", F.when(spaced, X.join_spaced_letters(F.col("view")))).withColumn(
         "joined_origin", F.when(spaced, F.transform(
             X.spaced_origin(F.col("view")), lambda i: X.at_origin(F.col("origin"), i))))
-    return df.withColumn("units", F.transform(
+    return df.withColumn("units", fence(F.transform(
         X.split_units(F.col("view"), F.coalesce(F.col("source") == "email", F.lit(False))),
-        lambda u: X.to_original(F.col("origin"), u, UNIT_ARRAY)).cast(UNIT_ARRAY)).drop("_n")
+        lambda u: X.to_original(F.col("origin"), u, UNIT_ARRAY)).cast(UNIT_ARRAY))).drop("_n")
 
 
 def prepare(items: DataFrame) -> DataFrame:
@@ -105,9 +105,9 @@ def prepare(items: DataFrame) -> DataFrame:
     hidden_runs = F.concat(X.decode_unicode_tags(base), X.decode_variation_selectors(base))
     inside_hidden = F.flatten(F.transform("hidden_layers", lambda h: F.transform(
         X.decode_runs(h["text"]), lambda d: d.withField("start", h["start"]).withField("end", h["end"]))))
-    df = df.withColumn("_runs", moved(hidden_runs, F.col("base_origin"))).withColumn("layers", F.concat(
+    df = df.withColumn("_runs", fence(moved(hidden_runs, F.col("base_origin")))).withColumn("layers", fence(F.concat(
         F.col("hidden_layers"), F.col("_runs"), moved(X.decode_runs(F.col("view")), F.col("origin")),
-        inside_hidden.cast(LAYER_ARRAY)))
+        inside_hidden.cast(LAYER_ARRAY))))
     gone = X.invisible_count(F.regexp_replace(base, X.TAG_RUN, ""))
     mixed = X.confusable_words(F.col("_text"))
     decoded = F.exists("layers", lambda x: x["kind"].isin("base64", "hex"))
@@ -125,7 +125,7 @@ def visible_hits(df: DataFrame) -> DataFrame:
     """Adds ``hits`` of the view and of the joined-letters view, the latter only where they are new."""
     src = F.col("source")
     visible = F.transform(hits_in(F.col("view"), src), lambda h: X.to_original(F.col("origin"), h, HIT_ARRAY))
-    df = df.withColumn("_visible", visible.cast(HIT_ARRAY))
+    df = df.withColumn("_visible", fence(visible.cast(HIT_ARRAY)))
     joined = F.when(F.col("joined").isNotNull(), F.transform(
         hits_in(F.col("joined"), src), lambda h: X.to_original(F.col("joined_origin"), h, HIT_ARRAY)))
     fresh = F.filter(F.coalesce(joined.cast(HIT_ARRAY), empty(HIT_ARRAY)), lambda j: ~F.exists(
@@ -141,7 +141,7 @@ def rule_hits(prepared: DataFrame) -> DataFrame:
         hits_in(x["text"], src, x["kind"]),
         lambda h: h.withField("start", x["start"]).withField("end", x["end"]))))
     layered = F.when(F.size("layers") > 0, deep.cast(HIT_ARRAY)).otherwise(empty(HIT_ARRAY))
-    return df.withColumn("hits", F.concat("hits", layered))
+    return df.withColumn("hits", fence(F.concat("hits", layered)))
 
 
 def layer_kind_counts(prepared: DataFrame, key: str = "item_id") -> DataFrame:

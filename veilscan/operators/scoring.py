@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from veilscan.functions import text as X
 from veilscan.functions.scorers import Scorer
-from veilscan.functions.spans import let
+from veilscan.functions.spans import fence, let
 from veilscan.settings import GROUP_ARRAY, WINDOW_UNITS, Options, empty
 
 RANGES = "array<struct<a:int,b:int,s:array<double>,top:double>>"
@@ -102,15 +102,15 @@ def groups_in(units: Column, scorers: list[Scorer], threshold: float) -> Column:
 def score_windows(df: DataFrame, scorers: list[Scorer], threshold: float) -> DataFrame:
     """Adds windows and groups to rows with units; pairs and singles are scored only under a high window."""
     df = df.withColumn("_texts", F.transform("units", lambda u: u["text"])).withColumn("_n", F.size("_texts"))
-    df = df.withColumn("windows", score_ranges(F.col("_texts"), unit_windows(F.col("_n")), scorers))
+    df = df.withColumn("windows", fence(score_ranges(F.col("_texts"), unit_windows(F.col("_n")), scorers)))
     high = F.exists("windows", lambda w: w["top"] >= threshold)
     nothing = F.array().cast("array<struct<a:int,b:int>>")
     df = df.withColumn("_r2", F.when(high, runs_of(F.col("_n"), 2)).otherwise(nothing)) \
         .withColumn("_r1", F.when(high, runs_of(F.col("_n"), 1)).otherwise(nothing)) \
-        .withColumn("_pairs", score_ranges(F.col("_texts"), F.col("_r2"), scorers)) \
-        .withColumn("_singles", score_ranges(F.col("_texts"), F.col("_r1"), scorers))
+        .withColumn("_pairs", fence(score_ranges(F.col("_texts"), F.col("_r2"), scorers))) \
+        .withColumn("_singles", fence(score_ranges(F.col("_texts"), F.col("_r1"), scorers)))
     groups = locate_groups(F.col("windows"), F.col("_pairs"), F.col("_singles"), [s.name for s in scorers], threshold)
-    return df.withColumn("groups", F.when(high, groups).otherwise(empty(GROUP_ARRAY))).drop(
+    return df.withColumn("groups", fence(F.when(high, groups).otherwise(empty(GROUP_ARRAY)))).drop(
         "_texts", "_n", "_r1", "_r2", "_pairs", "_singles")
 
 
@@ -122,7 +122,7 @@ def score_items(prepared: DataFrame, scorers: list[Scorer], opts: Options = Opti
     thr = opts.threshold
     df = score_windows(prepared, scorers, thr)
     for i, s in enumerate(scorers):
-        df = df.withColumn(f"_whole_{i}", s.long(F.col("view")))
+        df = df.withColumn(f"_whole_{i}", fence(s.long(F.col("view"))))
     entries = [F.struct(F.lit(s.name).alias("key"), F.struct(
         F.round(F.col(f"_whole_{i}"), 4).alias("whole"),
         F.round(F.coalesce(F.array_max(F.transform("windows", lambda w, i=i: F.get(w["s"], F.lit(i)))), F.lit(0.0)), 4)
@@ -133,7 +133,7 @@ def score_items(prepared: DataFrame, scorers: list[Scorer], opts: Options = Opti
     df = df.withColumn("scores", F.map_from_entries(F.array(*entries))).withColumn("scorers_failed", failed)
     whole = F.greatest(*[F.col(f"_whole_{i}") for i in range(len(scorers))]) if len(scorers) > 1 else F.col("_whole_0")
     df = df.withColumn("unlocated", (F.size("groups") == 0) & (F.coalesce(whole, F.lit(0.0)) >= thr))
-    df = df.withColumn("layer_flags", flag_layers(F.col("layers"), scorers, thr))
+    df = df.withColumn("layer_flags", fence(flag_layers(F.col("layers"), scorers, thr)))
     df = df.withColumn("warnings", F.when(F.col("scorers_failed"), F.concat("warnings", F.array(
         F.lit("classifiers unavailable: decided on the rules alone")))).otherwise(F.col("warnings")))
     return df.drop(*[f"_whole_{i}" for i in range(len(scorers))])

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from veilscan.functions.rules import STRONG
 from veilscan.functions.scorers import Scorer
-from veilscan.functions.spans import cut_out, let, touches
+from veilscan.functions.spans import cut_out, fence, let, touches
 from veilscan.operators import cutting as C
 from veilscan.operators import evidence as E
 from veilscan.operators.language import language_gate
@@ -66,8 +66,8 @@ def decide(df: DataFrame, opts: Options = Options()) -> DataFrame:
         rules = F.when(F.size(s["hits"]) > 0, F.array(F.lit("rules"))).otherwise(F.array().cast("array<string>"))
         return F.concat(rules, F.array_sort(s["scorers"]))
 
-    df = df.withColumn("_marked", F.transform("spans", lambda s, i: F.struct(
-        s.alias("span"), (E.is_strong(s, opts) | ~ruled | F.coalesce(E.judge_keeps(judge, i, s), F.lit(False))).alias("keep"))))
+    df = df.withColumn("_marked", fence(F.transform("spans", lambda s, i: F.struct(
+        s.alias("span"), (E.is_strong(s, opts) | ~ruled | F.coalesce(E.judge_keeps(judge, i, s), F.lit(False))).alias("keep")))))
     content = F.col("content")
 
     def cut_of(m: Column) -> Column:
@@ -83,11 +83,11 @@ def decide(df: DataFrame, opts: Options = Options()) -> DataFrame:
     placed = F.when(F.col("_hijacked"), F.transform(E.locate_addresses(content, sandbox["calls"]), lambda a: let(
         C.widen_to_sentence(content, F.col("units"), a["start"], a["end"]), lambda b: C.make_cut(
             b["start"], b["end"], F.array(F.lit("tool_abuse")), F.array(F.lit("sandbox"))))))
-    df = df.withColumn("_cuts", F.concat(kept, F.coalesce(quoted.cast(CUT_ARRAY), empty(CUT_ARRAY)),
-                                         F.coalesce(placed.cast(CUT_ARRAY), empty(CUT_ARRAY))))
-    df = df.withColumn("_swept", F.when(F.size("_cuts") > 0, C.payload_sweep(content, F.col("units"), F.col("_cuts")))
-                       .otherwise(F.col("_cuts")))
-    df = df.withColumn("cuts", C.merge_cuts(F.col("_swept")))
+    df = df.withColumn("_cuts", fence(F.concat(kept, F.coalesce(quoted.cast(CUT_ARRAY), empty(CUT_ARRAY)),
+                                         F.coalesce(placed.cast(CUT_ARRAY), empty(CUT_ARRAY)))))
+    df = df.withColumn("_swept", fence(F.when(F.size("_cuts") > 0, C.payload_sweep(
+        content, F.col("units"), F.col("_cuts"))).otherwise(F.col("_cuts"))))
+    df = df.withColumn("cuts", fence(C.merge_cuts(F.col("_swept"))))
     df = df.withColumn("cleared", F.transform(F.filter("_marked", lambda m: ~m["keep"]), lambda m: F.struct(
         m["span"]["start"].alias("start"), m["span"]["end"].alias("end"), found_by(m["span"]).alias("found_by"))))
     none = F.size("cuts") == 0
@@ -98,7 +98,7 @@ def decide(df: DataFrame, opts: Options = Options()) -> DataFrame:
         .when(none & F.col("unlocated") & ~ruled, "flagged as a whole, but no part of it could be pinned down to cut")
     df = df.withColumn("reason", reason)
     verdict = F.when(F.col("reason").isNotNull(), "quarantine").when(F.size("cuts") > 0, "sanitise").otherwise("allow")
-    return df.withColumn("verdict", verdict).withColumn("warnings", F.concat("warnings", decision_warnings(opts))) \
+    return df.withColumn("verdict", fence(verdict)).withColumn("warnings", F.concat("warnings", decision_warnings(opts))) \
         .withColumn("hijacked", F.col("_hijacked")).drop("_marked", "_cuts", "_swept", "_hijacked")
 
 

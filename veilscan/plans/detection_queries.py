@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from veilscan.functions.rules import RULES, hits_in, rule_rows
 from veilscan.plans.parts import lit
+from veilscan.functions.spans import unfold
 from veilscan.plans.registry import query
 from veilscan.sources.planted import planted
 
@@ -14,7 +15,7 @@ from veilscan.sources.planted import planted
 def visible_hits(docs: DataFrame, text: str = "text") -> DataFrame:
     """One row per rule hit in the text as it stands."""
     found = docs.withColumn("_hits", hits_in(F.col(text), F.col("source")))
-    return found.select(*docs.columns, F.inline("_hits"))
+    return found.transform(unfold, docs.columns, "_hits")
 
 
 HIT_SQL = "SELECT doc_id, rule, type, strength, s AS hit_start, e AS hit_end, hit AS hit_text FROM hits"
@@ -47,7 +48,7 @@ def _one_rule(rule):
     def run(spark, sf):
         docs = planted(spark, sf).select("doc_id", "source", F.col("text").alias("full"))
         hits = docs.withColumn("_h", hits_in(F.col("full"), F.col("source"), rules=[rule]))
-        return _hit_rows(hits.select("doc_id", F.inline("_h")).withColumnRenamed("text", "hit_text"))
+        return _hit_rows(hits.transform(unfold, ["doc_id"], "_h").withColumnRenamed("text", "hit_text"))
 
 
 for _rule in RULES:
@@ -59,8 +60,8 @@ SELECT rule, type, strength, count(*) AS hits, count(DISTINCT doc_id) AS items F
 def flag_rate_by_rule(spark, sf):
     docs = planted(spark, sf).select("doc_id", "source", F.col("text").alias("full"))
     # one row per item and rule first: the distinct count then needs no second shuffle of hits
-    per_item = docs.select("doc_id", F.explode(hits_in(F.col("full"), F.col("source"))).alias("h")) \
-        .groupBy("doc_id", "h.rule", "h.type", "h.strength").agg(F.count("*").alias("n"))
+    per_item = unfold(docs, ["doc_id"], hits_in(F.col("full"), F.col("source"))) \
+        .groupBy("doc_id", "rule", "type", "strength").agg(F.count("*").alias("n"))
     return per_item.groupBy("rule", "type", "strength").agg(F.sum("n").alias("hits"), F.count("*").alias("items"))
 
 

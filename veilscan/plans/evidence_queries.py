@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veilscan.functions.rules import ADDRESS
-from veilscan.functions.spans import let, positions_of
+from veilscan.functions.spans import fence, let, positions_of, unfold
 from veilscan.operators import cutting as C
 from veilscan.operators import evidence as E
 from veilscan.operators import scoring as S
@@ -30,20 +30,20 @@ part("scored", f"SELECT doc_id, a, b, {score_sql('window_text', PHRASES_A)} AS s
 
 def scored(spark, sf):
     d = with_units(spark, sf).withColumn("texts", F.transform("units", lambda u: u["text"]))
-    return d.withColumn("windows", S.score_ranges(F.col("texts"), S.unit_windows(F.size("texts")), scorers()))
+    return d.withColumn("windows", fence(S.score_ranges(F.col("texts"), S.unit_windows(F.size("texts")), scorers())))
 
 
 @query("unit_windows", "SELECT doc_id, a, b, md5(window_text) AS window_md5 FROM windows", ["windows"])
 def unit_windows(spark, sf):
     d = with_units(spark, sf).withColumn("texts", F.transform("units", lambda u: u["text"]))
-    return d.withColumn("w", S.unit_windows(F.size("texts"))).select("doc_id", F.inline(F.transform("w", lambda w: F.struct(
-        w["a"].alias("a"), w["b"].alias("b"), F.md5(S.range_text(F.col("texts"), w["a"], w["b"])).alias("window_md5")))))
+    return d.withColumn("w", S.unit_windows(F.size("texts"))).transform(unfold, ["doc_id"], F.transform("w", lambda w: F.struct(
+        w["a"].alias("a"), w["b"].alias("b"), F.md5(S.range_text(F.col("texts"), w["a"], w["b"])).alias("window_md5"))))
 
 
 @query("score_spans", "SELECT doc_id, a, b, score_a, score_b FROM scored", ["scored"])
 def score_spans(spark, sf):
-    return scored(spark, sf).select("doc_id", F.inline(F.transform("windows", lambda w: F.struct(
-        w["a"].alias("a"), w["b"].alias("b"), F.get(w["s"], F.lit(0)).alias("score_a"), F.get(w["s"], F.lit(1)).alias("score_b")))))
+    return scored(spark, sf).transform(unfold, ["doc_id"], F.transform("windows", lambda w: F.struct(
+        w["a"].alias("a"), w["b"].alias("b"), F.get(w["s"], F.lit(0)).alias("score_a"), F.get(w["s"], F.lit(1)).alias("score_b"))))
 
 
 @query("keyword_scorer", f"SELECT doc_id, {score_sql('text', PHRASES_A)} AS score_a, {score_sql('text', PHRASES_B)} AS score_b FROM planted", ["planted"])
@@ -99,17 +99,17 @@ WHERE NOT any_bad OR top >= 0.65 GROUP BY doc_id, a, b""", ["high", "pair_top",
 def drill_down(spark, sf):
     d = scored(spark, sf).withColumn("high", F.filter("windows", lambda w: w["top"] >= 0.65)).filter(F.size("high") > 0)
     n = F.size("texts")
-    d = d.withColumn("pairs", S.score_ranges(F.col("texts"), S.runs_of(n, 2), scorers())).withColumn(
-        "singles", S.score_ranges(F.col("texts"), S.runs_of(n, 1), scorers()))
-    return d.select("doc_id", F.inline(F.transform("high", lambda w: F.struct(
-        w["a"].alias("a"), w["b"].alias("b"), F.array_join(S.drill_down(w, F.col("pairs"), F.col("singles"), 0.65).cast("array<string>"), ",").alias("units")))))
+    d = d.withColumn("pairs", fence(S.score_ranges(F.col("texts"), S.runs_of(n, 2), scorers()))).withColumn(
+        "singles", fence(S.score_ranges(F.col("texts"), S.runs_of(n, 1), scorers())))
+    return d.transform(unfold, ["doc_id"], F.transform("high", lambda w: F.struct(
+        w["a"].alias("a"), w["b"].alias("b"), F.array_join(S.drill_down(w, F.col("pairs"), F.col("singles"), 0.65).cast("array<string>"), ",").alias("units"))))
 
 
 @query("locate_groups")
 def locate_groups(spark, sf):
     d = S.score_windows(with_units(spark, sf), scorers(), 0.65)
-    return d.select("doc_id", F.inline(F.transform("groups", lambda g: F.struct(
-        F.array_join(g["units"].cast("array<string>"), ",").alias("units"), F.array_join(g["flagged_by"], ",").alias("flagged_by")))))
+    return d.transform(unfold, ["doc_id"], F.transform("groups", lambda g: F.struct(
+        F.array_join(g["units"].cast("array<string>"), ",").alias("units"), F.array_join(g["flagged_by"], ",").alias("flagged_by"))))
 
 
 @query("unlocated_items", f"""
@@ -150,8 +150,8 @@ SPANS_SQL = "SELECT doc_id, s AS span_from, e AS span_to FROM spans"
 
 @query("collect_spans", SPANS_SQL, ["spans"])
 def collect_spans(spark, sf):
-    return with_spans(spark, sf).select("doc_id", F.inline(F.transform("spans", lambda s: F.struct(
-        s["start"].alias("span_from"), s["end"].alias("span_to")))))
+    return with_spans(spark, sf).transform(unfold, ["doc_id"], F.transform("spans", lambda s: F.struct(
+        s["start"].alias("span_from"), s["end"].alias("span_to"))))
 
 
 @query("merge_spans", """
@@ -165,16 +165,16 @@ def merge_spans(spark, sf):
     near = F.transform("hits", lambda h: F.struct(F.greatest(h["start"] - 30, F.lit(0)).alias("start"), (h["end"] + 30).alias("end"), F.lit(1).alias("n")))
     merged = fold_overlapping(by_start(near), "array<struct<start:int,end:int,n:int>>", lambda a, b: F.struct(
         a["start"].alias("start"), F.greatest(a["end"], b["end"]).alias("end"), (a["n"] + b["n"]).alias("n")))
-    return with_hits(spark, sf).withColumn("m", merged).select("doc_id", F.inline("m")).select(
+    return with_hits(spark, sf).withColumn("m", merged).transform(unfold, ["doc_id"], "m").select(
         "doc_id", F.col("start").alias("span_from"), F.col("end").alias("span_to"), F.col("n").alias("parts"))
 
 
 @query("span_types", "SELECT doc_id, s AS span_from, types, rules, strong_rule AS strong FROM span_facts", ["span_facts"])
 def span_types(spark, sf):
-    return with_spans(spark, sf).select("doc_id", F.inline(F.transform("spans", lambda s: F.struct(
+    return with_spans(spark, sf).transform(unfold, ["doc_id"], F.transform("spans", lambda s: F.struct(
         s["start"].alias("span_from"), F.array_join(E.span_types(s), ",").alias("types"),
         F.array_join(F.array_sort(F.array_distinct(F.transform(s["hits"], lambda h: h["rule"]))), ",").alias("rules"),
-        E.is_strong(s).alias("strong")))))
+        E.is_strong(s).alias("strong"))))
 
 
 part("hints", """
@@ -193,7 +193,7 @@ def triaged(spark, sf):
 
 @query("hints", "SELECT doc_id, rule, s AS hit_start, hit AS hit_text FROM hints", ["hints"])
 def hints(spark, sf):
-    return triaged(spark, sf).select("doc_id", F.inline("hints")).select("doc_id", "rule", F.col("start").alias("hit_start"), F.col("text").alias("hit_text"))
+    return triaged(spark, sf).transform(unfold, ["doc_id"], "hints").select("doc_id", "rule", F.col("start").alias("hit_start"), F.col("text").alias("hit_text"))
 
 
 LANES = """SELECT p.doc_id, p.source, CASE WHEN EXISTS (SELECT 1 FROM spans s WHERE s.doc_id = p.doc_id)
@@ -317,7 +317,7 @@ SELECT doc_id, source, list_sum(list_transform(pieces[1:k], lambda x: length(x))
 def locate_addresses(spark, sf):
     s = E.parse_sandbox_calls(sandbox_messages(spark, sf), "doc_id")
     d = planted(spark, sf).select("doc_id", "text").join(s, "doc_id")
-    return d.select("doc_id", F.inline(E.locate_addresses(F.col("text"), F.col("sandbox.calls")))).select(
+    return d.transform(unfold, ["doc_id"], E.locate_addresses(F.col("text"), F.col("sandbox.calls"))).select(
         "doc_id", F.col("start").alias("spot_start"), F.col("end").alias("spot_end"))
 
 
@@ -347,8 +347,8 @@ FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s) AS k FROM spa
 @query("judge_keeps", KEEPS, ["spans", "counted"])
 def judge_keeps(spark, sf):
     d = with_both(spark, sf)
-    return d.select("doc_id", F.inline(F.transform("spans", lambda s, i: F.struct(
-        s["start"].alias("span_from"), F.when(E.judged(F.col("judge")), E.judge_keeps(F.col("judge"), i, s)).alias("keeps")))))
+    return d.transform(unfold, ["doc_id"], F.transform("spans", lambda s, i: F.struct(
+        s["start"].alias("span_from"), F.when(E.judged(F.col("judge")), E.judge_keeps(F.col("judge"), i, s)).alias("keeps"))))
 
 
 def decided(spark, sf, with_judge=True):
@@ -364,15 +364,15 @@ def decided(spark, sf, with_judge=True):
 
 @query("decide_cuts")
 def decide_cuts(spark, sf):
-    return decided(spark, sf).select("doc_id", F.inline(F.transform("cuts", lambda c: F.struct(
+    return decided(spark, sf).transform(unfold, ["doc_id"], F.transform("cuts", lambda c: F.struct(
         c["start"].alias("cut_start"), c["end"].alias("cut_end"), F.array_join(c["types"], ",").alias("types"),
-        F.array_join(c["found_by"], ",").alias("found_by"), c["strong_rule"].alias("strong_rule")))))
+        F.array_join(c["found_by"], ",").alias("found_by"), c["strong_rule"].alias("strong_rule"))))
 
 
 @query("cleared_spans", f"SELECT k.doc_id, k.span_from FROM ({KEEPS}) k JOIN span_facts f ON f.doc_id = k.doc_id AND f.s = k.span_from "
        "WHERE k.keeps = FALSE AND NOT f.strong_rule", ["spans", "counted", "span_facts"])
 def cleared_spans(spark, sf):
-    return decided(spark, sf).select("doc_id", F.inline(F.transform("cleared", lambda c: F.struct(c["start"].alias("span_from")))))
+    return decided(spark, sf).transform(unfold, ["doc_id"], F.transform("cleared", lambda c: F.struct(c["start"].alias("span_from"))))
 
 
 @query("verdicts", """
@@ -396,8 +396,8 @@ CUTS_SQL = "SELECT doc_id, s AS cut_start, e AS cut_end, types, found_by, rules,
 
 @query("confidence", "SELECT doc_id, s AS cut_start, CASE WHEN strong_rule THEN 'medium' ELSE 'low' END AS confidence FROM cuts", ["cuts"])
 def confidence(spark, sf):
-    return with_cuts(spark, sf).select("doc_id", F.inline(F.transform("cuts", lambda c: F.struct(
-        c["start"].alias("cut_start"), E.confidence(c["strong_rule"], c["found_by"]).alias("confidence")))))
+    return with_cuts(spark, sf).transform(unfold, ["doc_id"], F.transform("cuts", lambda c: F.struct(
+        c["start"].alias("cut_start"), E.confidence(c["strong_rule"], c["found_by"]).alias("confidence"))))
 
 
 @query("widen_to_sentence", """
@@ -421,22 +421,22 @@ def widen_to_sentence(spark, sf):
 @query("payload_sweep", "SELECT DISTINCT doc_id, s AS cut_start, e AS cut_end, types FROM sweeps", ["sweeps"])
 def payload_sweep(spark, sf):
     swept = F.filter("swept", lambda c: F.array_contains(c["found_by"], "payload sweep"))
-    return with_cuts(spark, sf).select("doc_id", F.inline(F.transform(swept, lambda c: F.struct(
-        c["start"].alias("cut_start"), c["end"].alias("cut_end"), F.array_join(c["types"], ",").alias("types")))))
+    return with_cuts(spark, sf).transform(unfold, ["doc_id"], F.transform(swept, lambda c: F.struct(
+        c["start"].alias("cut_start"), c["end"].alias("cut_end"), F.array_join(c["types"], ",").alias("types"))))
 
 
 @query("merge_cuts", CUTS_SQL, ["cuts"])
 def merge_cuts(spark, sf):
-    return with_cuts(spark, sf).select("doc_id", F.inline(F.transform("cuts", lambda c: F.struct(
+    return with_cuts(spark, sf).transform(unfold, ["doc_id"], F.transform("cuts", lambda c: F.struct(
         c["start"].alias("cut_start"), c["end"].alias("cut_end"), F.array_join(c["types"], ",").alias("types"),
-        F.array_join(c["found_by"], ",").alias("found_by"), F.array_join(c["rules"], ",").alias("rules"), c["strong_rule"].alias("strong_rule")))))
+        F.array_join(c["found_by"], ",").alias("found_by"), F.array_join(c["rules"], ",").alias("rules"), c["strong_rule"].alias("strong_rule"))))
 
 
 @query("cut_label", "SELECT doc_id, a AS kept_from, label FROM kept WHERE label <> ''", ["kept"])
 def cut_label(spark, sf):
     d = with_cuts(spark, sf)
-    return d.select("doc_id", F.inline(F.transform("cuts", lambda c, i: F.struct(
-        F.when(i == 0, 0).otherwise(F.get("cuts", i - 1)["end"]).alias("kept_from"), C.cut_label(c["types"]).alias("label")))))
+    return d.transform(unfold, ["doc_id"], F.transform("cuts", lambda c, i: F.struct(
+        F.when(i == 0, 0).otherwise(F.get("cuts", i - 1)["end"]).alias("kept_from"), C.cut_label(c["types"]).alias("label"))))
 
 
 def applied(spark, sf):
@@ -458,14 +458,14 @@ SELECT doc_id, mid AS detect_pos, a + (mid - d) AS original_pos FROM (
     FROM kept WHERE trim(piece, ' ' || chr(10) || chr(9)) <> ''))""", ["kept"])
 def kept_to_original(spark, sf):
     d = applied(spark, sf).withColumn("seg", F.col("cleaned.segments"))
-    return d.select("doc_id", F.inline(F.transform("seg", lambda s: let(s["d"] + F.floor(s["n"] / 2).cast("int"), lambda m: F.struct(
-        m.alias("detect_pos"), C.to_original(m, F.col("seg")).alias("original_pos"))))))
+    return d.transform(unfold, ["doc_id"], F.transform("seg", lambda s: let(s["d"] + F.floor(s["n"] / 2).cast("int"), lambda m: F.struct(
+        m.alias("detect_pos"), C.to_original(m, F.col("seg")).alias("original_pos")))))
 
 
 @query("removed_text", "SELECT c.doc_id, c.s AS cut_start, substr(p.text, c.s + 1, c.e - c.s) AS removed FROM cuts c JOIN planted p USING (doc_id)", ["cuts", "planted"])
 def removed_text(spark, sf):
     d = with_cuts(spark, sf).withColumn("r", C.removed_text(F.col("text"), F.col("cuts")))
-    return d.select("doc_id", F.inline(F.transform("cuts", lambda c, i: F.struct(c["start"].alias("cut_start"), F.get("r", i).alias("removed")))))
+    return d.transform(unfold, ["doc_id"], F.transform("cuts", lambda c, i: F.struct(c["start"].alias("cut_start"), F.get("r", i).alias("removed"))))
 
 
 @query("screen_verdicts_by_source", """

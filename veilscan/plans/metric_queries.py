@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from veilscan.functions.text import WHITE
+from veilscan.functions.spans import fence
 from veilscan.operators import metrics as M
 from veilscan.operators.skew import arithmetic_shuffle, number_rows
 from veilscan.plans.registry import part, query
@@ -174,7 +174,8 @@ FROM (SELECT doc_id, any_value(set_name) AS set_name, any_value(verdict) AS verd
     FROM marker_spots) p LEFT JOIN attacks a USING (doc_id) GROUP BY ALL) GROUP BY doc_id) GROUP BY set_name""",
        ["marker_spots", "attacks"])
 def payload_survives_by_position(spark, sf):
-    r = eval_results(spark, sf).withColumn("markers", M.addresses_in(F.col("text"))).filter(F.size("markers") > 0)
+    r = eval_results(spark, sf).withColumn("markers", fence(F.filter(
+        M.addresses_in(F.col("text")), lambda m: F.lower(m) == "desk@a.example"))).filter(F.size("markers") > 0)
     out = M.survives_by_position(F.col("text"), F.col("attacks"), F.col("verdict"), F.col("markers"))
     return r.groupBy("set_name").agg(F.count("*").alias("payload_n"), F.count_if(out).alias("payload_survives"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veilscan.functions import text as X
+from veilscan.functions.spans import unfold
 from veilscan.plans.registry import query
 from veilscan.sources.planted import planted
 
@@ -13,6 +14,6 @@ from veilscan.sources.planted import planted
 def split_units(spark, sf):
     docs = planted(spark, sf)
     units = X.split_units(F.col("text"), F.coalesce(F.col("source") == "email", F.lit(False)))
-    return docs.select("doc_id", F.inline(units)).select(
+    return docs.transform(unfold, ["doc_id"], units).select(
         "doc_id", "unit_no", F.col("start").alias("unit_start"), F.col("end").alias("unit_end"),
         F.col("text").alias("unit_text"))

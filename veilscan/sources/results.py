@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilscan.functions.rules import hits_in
+from veilscan.functions.spans import fence
 from veilscan.sources.planted import N_ATTACK, PHRASE_TYPES, planted, pick
 
 
@@ -26,7 +27,7 @@ def eval_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def eval_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One result row per item: attacks are the strong rule hits."""
-    d = eval_items(spark, sf_dir).withColumn("hits", hits_in(F.col("text"), F.col("source")))
+    d = eval_items(spark, sf_dir).withColumn("hits", fence(hits_in(F.col("text"), F.col("source"))))
     d = d.withColumn("attacks", F.transform(F.filter("hits", lambda h: h["strength"] == "strong"), lambda h: F.struct(
         h["start"].alias("start"), h["end"].alias("end"), h["type"].alias("type"), h["rule"].alias("rule"))))
     error = F.when(F.col("doc_id") % 53 == 0, "Timeout")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from veilscan.functions.rules import hits_in
 from veilscan.functions.scorers import Scorer, keyword_scorer
 from veilscan.functions.text import split_units
+from veilscan.functions.spans import fence
 from veilscan.operators import cutting as C
 from veilscan.operators import evidence as E
 from veilscan.settings import CUT_ARRAY, GROUP_ARRAY, LAYER_ARRAY, empty
@@ -23,18 +24,18 @@ def scorers() -> list[Scorer]:
 
 def with_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = planted(spark, sf_dir).select("doc_id", "source", "text", "label", "span_start", "span_end", "plant")
-    return d.withColumn("units", split_units(F.col("text"), F.coalesce(F.col("source") == "email", F.lit(False))))
+    return d.withColumn("units", fence(split_units(F.col("text"), F.coalesce(F.col("source") == "email", F.lit(False)))))
 
 
 def with_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_units(spark, sf_dir).withColumn("hits", hits_in(F.col("text"), F.col("source")))
+    return with_units(spark, sf_dir).withColumn("hits", fence(hits_in(F.col("text"), F.col("source"))))
 
 
 def with_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans from the rules alone."""
     d = with_hits(spark, sf_dir)
-    return d.withColumn("spans", E.merge_spans(E.collect_spans(
-        F.col("units"), F.col("hits"), empty(GROUP_ARRAY), empty(LAYER_ARRAY), F.array().cast("array<array<string>>"))))
+    return d.withColumn("spans", fence(E.merge_spans(E.collect_spans(
+        F.col("units"), F.col("hits"), empty(GROUP_ARRAY), empty(LAYER_ARRAY), F.array().cast("array<array<string>>")))))
 
 
 def with_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,5 +44,6 @@ def with_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = F.transform("spans", lambda s: C.make_cut(
         s["start"], s["end"], E.span_types(s), F.array(F.lit("rules")),
         F.array_sort(F.array_distinct(F.transform(s["hits"], lambda h: h["rule"]))), E.has_strong_rule(s))).cast(CUT_ARRAY)
-    d = d.withColumn("first_cuts", first).withColumn("swept", C.payload_sweep(F.col("text"), F.col("units"), F.col("first_cuts")))
-    return d.withColumn("cuts", C.merge_cuts(F.col("swept")))
+    d = d.withColumn("first_cuts", fence(first)).withColumn("swept", fence(
+        C.payload_sweep(F.col("text"), F.col("units"), F.col("first_cuts"))))
+    return d.withColumn("cuts", fence(C.merge_cuts(F.col("swept"))))
