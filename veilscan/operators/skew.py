@@ -85,3 +85,19 @@ def first_per_group(df: DataFrame, keys: list[str], order: list[str]) -> DataFra
     rest = [c for c in df.columns if c not in keys]
     best = F.min_by(F.struct(*rest), F.struct(*order)) if rest else F.lit(None)
     return df.groupBy(*keys).agg(best.alias("_r")).select(*keys, *[F.col("_r")[c].alias(c) for c in rest])
+
+
+def previous_value(df: DataFrame, keys: list[str], order: str, ties: list[str], value: str, out: str, default: int = 0,
+                   width: int = 3_600_000) -> DataFrame:
+    """The value on the row before, per group in order, without sorting a whole group in one task.
+
+    Rows are windowed per (group, time bucket); the first row of a bucket takes the last value of the
+    bucket before it, from a table with one row per bucket.
+    """
+    df = df.withColumn("_bucket", F.floor(F.col(order) / F.lit(width)))
+    part = Window.partitionBy(*keys, "_bucket").orderBy(order, *ties)
+    lasts = df.groupBy(*keys, "_bucket").agg(F.max_by(value, F.struct(order, *ties)).alias("_last"))
+    before = Window.partitionBy(*keys).orderBy("_bucket")
+    carried = lasts.select(*keys, "_bucket", F.coalesce(F.lag("_last").over(before), F.lit(default)).alias("_carry"))
+    rows = df.withColumn("_prev", F.lag(value).over(part))
+    return rows.join(carried, [*keys, "_bucket"]).withColumn(out, F.coalesce("_prev", "_carry")).drop("_prev", "_carry", "_bucket")

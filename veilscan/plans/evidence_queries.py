@@ -340,7 +340,7 @@ def sandbox_counts(spark, sf):
 
 KEEPS = """
 SELECT f.doc_id, f.s AS span_from, CASE WHEN NOT c.judged THEN NULL ELSE c.is_attack AND ((CASE WHEN f.k = 1 THEN c.vote_f1 ELSE TRUE END) OR
-  (c.evidence <> '' AND CAST(split_part(c.evidence, '-', 1) AS BIGINT) < f.e AND f.s < CAST(split_part(c.evidence, '-', 2) AS BIGINT))) END AS keeps
+  (c.evidence <> '' AND TRY_CAST(split_part(c.evidence, '-', 1) AS BIGINT) < f.e AND f.s < TRY_CAST(split_part(c.evidence, '-', 2) AS BIGINT))) END AS keeps
 FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s) AS k FROM spans) f JOIN counted c USING (doc_id)"""
 
 
