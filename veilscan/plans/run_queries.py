@@ -25,13 +25,18 @@ SELECT user_id AS run_id, CASE WHEN event_id % 2 = 0 THEN 'unprotected' ELSE 'pr
   event_id % 29 = 0 AS failed FROM events""")
 
 
+def ms_since_2024(ts):
+    """The difference of two readings in one time zone: the same whatever the session's zone is."""
+    return F.unix_millis(ts.cast("timestamp")) - F.unix_millis(F.lit("2024-01-01 00:00:00").cast("timestamp"))
+
+
 def steps(spark, sf):
     e = table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type", "value")
     k, t = F.col("event_id"), F.col("event_type")
     check, acting = t == "view", t.isin("error", "purchase")
     return e.select(
         F.col("user_id").alias("run_id"), F.when(k % 2 == 0, "unprotected").otherwise("protected").alias("lane"), k.alias("step_no"),
-        (F.unix_millis("ts") - 1704067200000).alias("at_ms"), "ts", F.when(check, "firewall").when(t == "click", "model").otherwise("tool").alias("step"),
+        ms_since_2024(F.col("ts")).alias("at_ms"), "ts", F.when(check, "firewall").when(t == "click", "model").otherwise("tool").alias("step"),
         F.when(t == "signup", "read_file").when(acting, pick(NAMES, k % 3)).alias("name"), F.when(acting, pick(TARGETS, k % 3)).otherwise("").alias("target"),
         F.when((t == "error") & (k % 2 == 1), "block").when((t == "purchase") & (k % 2 == 1), "allow").alias("guard"),
         F.when(check, F.when(k % 7 == 0, "quarantine").when(k % 7 == 1, "sanitise").otherwise("allow")).alias("verdict"),
@@ -127,10 +132,10 @@ def interrupted_runs(spark, sf):
     return e.select("user_id").distinct().join(finished, "user_id", "left_anti").select(F.col("user_id").alias("run_id"))
 
 
-@query("verdicts_over_time", "SELECT date_trunc('hour', ts) AS hour, event_type AS source, CASE WHEN event_id % 7 = 0 THEN 'quarantine' ELSE 'allow' END AS verdict, count(*) AS n FROM events GROUP BY ALL")
+@query("verdicts_over_time", "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:00') AS hour, event_type AS source, CASE WHEN event_id % 7 = 0 THEN 'quarantine' ELSE 'allow' END AS verdict, count(*) AS n FROM events GROUP BY ALL")
 def verdicts_over_time(spark, sf):
     e = table(spark, sf, "events").select("ts", F.col("event_type").alias("source"), F.when(F.col("event_id") % 7 == 0, "quarantine").otherwise("allow").alias("verdict"))
-    return A.verdicts_over_time(e).withColumn("hour", F.col("hour").cast("timestamp_ntz"))
+    return A.verdicts_over_time(e).withColumn("hour", F.date_format("hour", "yyyy-MM-dd HH:00"))
 
 
 TRACE = ["prepare", "rules", "classifiers", "lid", "triage", "judge", "sandbox", "decide", "cut", "recheck", "report"]
@@ -154,7 +159,7 @@ FROM (SELECT user_id AS check_id, CASE WHEN event_type = 'view' THEN 1 ELSE 1 +
 def latest_stage(spark, sf):
     e = table(spark, sf, "events").select("event_id", "user_id", "event_type", "ts", "value")
     stage = pick(A.STAGES, F.when(F.col("event_type") == "view", 0).otherwise(F.col("event_id") % 9))
-    return A.latest_stage(e.select(F.col("user_id").alias("check_id"), stage.alias("stage"), "value", (F.unix_millis("ts") - 1704067200000).alias("at_ms"), F.col("event_id").alias("seq")))
+    return A.latest_stage(e.select(F.col("user_id").alias("check_id"), stage.alias("stage"), "value", ms_since_2024(F.col("ts")).alias("at_ms"), F.col("event_id").alias("seq")))
 
 
 @query("ai_checks", """
