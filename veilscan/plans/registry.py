@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
+SQL: dict[str, tuple[str, list[str]]] = {}
 PARTS: dict[str, tuple[list[str], str]] = {}
 
 
@@ -43,7 +43,7 @@ def query(name: str, sql: str | None = None, needs: list[str] | None = None) ->
             raise ValueError(f"query {name} registered twice")
         QUERIES[name] = lambda spark, sf_dir: tidy(fn(spark, sf_dir))
         if sql is not None:
-            SQL[name] = with_parts(sql.strip(), needs or [])
+            SQL[name] = (sql.strip(), needs or [])
         return fn
     return register
 
@@ -59,3 +59,8 @@ def tidy(df: DataFrame) -> DataFrame:
             c = c.cast("double")
         out.append(c.alias(f.name))
     return df.select(*out)
+
+
+def reference_sql() -> dict[str, str]:
+    """The full SQL of every query that has one."""
+    return {name: with_parts(body, needs) for name, (body, needs) in SQL.items()}
