@@ -1,3 +1,181 @@
-from pyspark.sql import DataFrame
+"""What a page shows and what it hides, as higher-order functions over one page's tags.
+
+The page is cut at its tags; one fold over the pieces keeps the stack of open elements, so a hidden
+element ends where a browser would end it. Shown text keeps its place: every hidden character becomes a
+filler of the same length, so positions in the masked page are positions in the page.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from veilscan.functions import text as X
+from veilscan.functions.spans import fence, let, marked_pieces, starts_of
+from veilscan.settings import LAYER_ARRAY, empty
+
+# Fixed values ---------------------------------------------------------------------------------
+VOID = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"]
+BLOCK = ["address", "article", "aside", "blockquote", "br", "dd", "div", "dl", "dt", "figcaption", "figure",
+         "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "li", "main", "nav", "ol", "p",
+         "pre", "section", "table", "td", "th", "title", "tr", "ul"]
+HIDDEN_TAGS = ["noscript", "template"]
+TEXT_ATTRIBUTES = ["alt", "title", "aria-label", "placeholder"]
+HIDDEN_STYLE = (r"display\s*:\s*none|visibility\s*:\s*hidden|opacity\s*:\s*0(?:\.0+)?\s*(?:;|$|!)|"
+                r"font-size\s*:\s*0(?:\.\d+)?(?:px|pt|em|rem|%)?\s*(?:;|$|!)|"
+                r"(?:left|top|text-indent|margin-left)\s*:\s*-\d{3,}|"
+                r"(?<![-\w])color\s*:\s*(?:#fff(?:fff)?\b|white\b|rgb\(\s*255\s*,\s*255\s*,\s*255\s*\))")
+ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&#x27;": "'", "&nbsp;": " ", "&amp;": "&"}
+# End of fixed values --------------------------------------------------------------------------
+TOKEN = (r"(?is)<!--.*?(?:-->|\z)|<(?:script|style)\b[^>]*>.*?(?:</(?:script|style)\s*>|\z)|"
+         r"</?[a-z](?:[^>\"']++|\"[^\"]*\"|'[^']*')*+>|<[!?][^>]*>")
+FILL, BREAK = "\u0004", "\u0005"
+STATE = ("struct<at:int,n:int,stack:array<string>,hidden_at:int,hidden_start:int,hidden_text:string,"
+         "layers:" + LAYER_ARRAY + ",shown:array<string>>")
+
+
+def unescape(text: Column, keep_length: bool = False) -> Column:
+    for entity, ch in ENTITIES.items():
+        text = F.replace(text, F.lit(entity), F.lit(ch + (FILL * (len(entity) - 1) if keep_length else "")))
+    return text
+
+
+def tag_name(token: Column) -> Column:
+    return F.lower(F.regexp_extract(token, r"^</?([A-Za-z][A-Za-z0-9-]*)", 1))
+
+
+def attribute(token: Column, name: str) -> Column:
+    """struct<start,text> of an attribute's value inside its tag, null when absent."""
+    prefix = F.regexp_extract(token, r"(?is)^(<[^>]*?\s" + name + r"\s*=\s*[\"']?)", 1)
+    rest = F.substring(token, F.char_length(prefix) + 1, F.char_length(token))
+    value = F.when(prefix.endswith('"'), F.regexp_extract(rest, '^[^"]*', 0)).when(
+        prefix.endswith("'"), F.regexp_extract(rest, "^[^']*", 0)).otherwise(F.regexp_extract(rest, r"^[^\s>]*", 0))
+    return F.when(F.contains(F.lower(token), F.lit(name)) & (prefix != "") & (value != ""), F.struct(
+        F.char_length(prefix).alias("start"), value.alias("text")))
+
+
+def is_hidden(token: Column) -> Column:
+    style = F.coalesce(attribute(token, "style")["text"], F.lit(""))
+    aria = F.lower(F.trim(F.coalesce(attribute(token, "aria-hidden")["text"], F.lit(""))))
+    return tag_name(token).isin(HIDDEN_TAGS) | token.rlike(r"(?i)\shidden(?:[\s=/>])") | (aria == "true") | style.rlike("(?i)" + HIDDEN_STYLE)
+
+
+def read_attributes(token: Column) -> Column:
+    """Text a model reads and a person does not see: array<struct<start,text>>."""
+    found = [attribute(token, a) for a in TEXT_ATTRIBUTES]
+    content = F.when((tag_name(token) == "meta") & token.rlike(r"(?i)\s(?:name|property)\s*="), attribute(token, "content"))
+    names = "alt|title|aria-label|placeholder|content"
+    return F.when(token.rlike(f"(?i)\\s(?:{names})\\s*="), F.array_compact(F.array(*found, content))).otherwise(
+        F.array().cast("array<struct<start:int,text:string>>"))
+
+
+def layer(kind: str, start: Column, end: Column, text: Column) -> Column:
+    """A one-element layer array, or an empty one when the text is too short to instruct."""
+    tidy = X.collapse_space(X.strip_invisible(text))
+    return let(tidy, lambda t: F.when(X.worth_reading(t), F.array(F.struct(
+        F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), t.alias("text"), F.lit(1).alias("depth"),
+        F.lit(True).alias("hidden"))).cast(LAYER_ARRAY)).otherwise(empty(LAYER_ARRAY)))
+
+
+def read_page(html: Column) -> Column:
+    """struct<layers,shown>: hidden layers, and the page with everything unseen replaced by filler."""
+    def filler(p: Column) -> Column:
+        return F.repeat(F.lit(FILL), F.char_length(p))
+
+    def state(s: Column, p: Column, **new: Column) -> Column:
+        fields = {k: s[k] for k in ("stack", "hidden_at", "hidden_start", "hidden_text", "layers")} | new
+        shown = fields.pop("shown", filler(p))
+        return F.struct((s["at"] + F.char_length(p)).alias("at"), (s["n"] + 1).alias("n"), *[v.alias(k) for k, v in fields.items()],
+                        F.concat(s["shown"], F.array(shown)).alias("shown")).cast(STATE)
+
+    def on_text(s: Column, p: Column) -> Column:
+        inside = s["hidden_at"] > 0
+        return state(s, p, hidden_text=F.when(inside, F.concat(s["hidden_text"], F.lit(" "), unescape(p))).otherwise(s["hidden_text"]),
+                     shown=F.when(inside, filler(p)).otherwise(unescape(p, keep_length=True)))
+
+    def on_comment(s: Column, p: Column) -> Column:
+        body = F.regexp_replace(F.regexp_replace(p, "^<!--", ""), "-->$", "")
+        inside = s["hidden_at"] > 0
+        return state(s, p, hidden_text=F.when(inside, F.concat(s["hidden_text"], F.lit(" "), body)).otherwise(s["hidden_text"]),
+                     layers=F.when(inside, s["layers"]).otherwise(F.concat(s["layers"], layer(
+                         "html_comment", s["at"], s["at"] + F.char_length(p), body))))
+
+    def broken(s: Column, p: Column, hidden: Column) -> Column:
+        return F.when(tag_name(p).isin(BLOCK) & ~hidden, F.concat(F.lit(BREAK), F.repeat(F.lit(FILL), F.char_length(p) - 1))).otherwise(filler(p))
+
+    def on_start(s: Column, p: Column) -> Column:
+        inside = s["hidden_at"] > 0
+        opens = ~tag_name(p).isin(VOID) & ~p.endswith("/>")
+        stack = F.when(opens, F.concat(s["stack"], F.array(tag_name(p)))).otherwise(s["stack"])
+        hides = ~inside & opens & is_hidden(p)
+        said = read_attributes(p)
+        spoken = F.flatten(F.transform(said, lambda a: layer(
+            "html_attribute", s["at"] + a["start"], s["at"] + a["start"] + F.char_length(a["text"]), unescape(a["text"]))))
+        words = F.array_join(F.transform(said, lambda a: a["text"]), " ")
+        return state(s, p, stack=stack, hidden_at=F.when(hides, F.size(stack)).otherwise(s["hidden_at"]),
+                     hidden_start=F.when(hides, s["at"]).otherwise(s["hidden_start"]),
+                     hidden_text=F.when(hides, F.lit("")).when(inside, F.concat(s["hidden_text"], F.lit(" "), words)).otherwise(s["hidden_text"]),
+                     layers=F.when(inside, s["layers"]).otherwise(F.concat(s["layers"], spoken)), shown=broken(s, p, inside))
+
+    def on_end(s: Column, p: Column) -> Column:
+        back = F.array_position(F.reverse(s["stack"]), tag_name(p)).cast("int")  # 0: no such open element
+        keep = F.size(s["stack"]) - back
+        closes = (back > 0) & (s["hidden_at"] > keep)
+        still = (s["hidden_at"] > 0) & ~closes
+        return F.when(back == 0, state(s, p)).otherwise(state(
+            s, p, stack=F.slice(s["stack"], F.lit(1), F.greatest(keep, F.lit(0))), hidden_at=F.when(closes, F.lit(0)).otherwise(s["hidden_at"]),
+            layers=F.when(closes, F.concat(s["layers"], layer("html_hidden", s["hidden_start"], s["at"] + F.char_length(p), s["hidden_text"])))
+            .otherwise(s["layers"]), shown=broken(s, p, still)))
+
+    def step(s: Column, p: Column) -> Column:
+        return F.when(s["n"] % 2 == 0, on_text(s, p)).when(p.startswith("<!--"), on_comment(s, p)) \
+            .when(p.rlike(r"^(?i)<(?:script|style)\b|^<[!?]"), state(s, p)).when(p.startswith("</"), on_end(s, p)).otherwise(on_start(s, p))
+
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("n"), F.array().alias("stack"), F.lit(0).alias("hidden_at"), F.lit(0).alias("hidden_start"),
+                     F.lit("").alias("hidden_text"), F.array().alias("layers"), F.array().alias("shown")).cast(STATE)
+
+    def finish(s: Column) -> Column:
+        rest = layer("html_hidden", s["hidden_start"], s["at"], s["hidden_text"])  # an unclosed element runs to the end
+        return F.struct(F.when(s["hidden_at"] > 0, F.concat(s["layers"], rest)).otherwise(s["layers"]).alias("layers"),
+                        F.array_join(s["shown"], "").alias("shown"))
+
+    return F.aggregate(marked_pieces(html, TOKEN), start, step, finish)
+
+
+GAPS = r"[\s\u0004\u0005]+"
+
+
+def visible_text(pieces: Column) -> Column:
+    """The shown text: one space per white run, one newline where a block starts or ends."""
+    return F.array_join(F.transform(pieces, lambda p, i: F.when(i % 2 == 0, p).when(
+        (i == 1) & (F.get(pieces, F.lit(0)) == ""), "").when(F.contains(p, F.lit(BREAK)), "\n").when(p.rlike(r"\s"), " ").otherwise("")), "")
+
+
+def visible_origin(pieces: Column) -> Column:
+    """For each character of the shown text, its position in the page."""
+    placed = F.arrays_zip(starts_of(pieces).alias("at"), pieces.alias("piece"))
+    none = F.array().cast("array<int>")
+    return F.flatten(F.transform(placed, lambda p, i: F.when(p["piece"] == "", none).when(
+        i % 2 == 0, F.sequence(p["at"], p["at"] + F.char_length(p["piece"]) - 1)).when(
+        (i == 1) & (F.get(pieces, F.lit(0)) == ""), none).when(p["piece"].rlike(r"[\s\u0005]"), F.array(p["at"])).otherwise(none)))
+
+
+def pages_read(pages: DataFrame, html: str) -> DataFrame:
+    """Adds ``_page`` (layers, shown) and ``_pieces`` to a table of pages."""
+    df = pages.withColumn("_page", fence(read_page(F.col(html))))
+    return df.withColumn("_pieces", fence(marked_pieces(F.col("_page.shown"), GAPS)))
+
+
 def html_front_end(items: DataFrame) -> DataFrame:
-    raise NotImplementedError
+    df = pages_read(items, "content")
+    return df.withColumn("base", fence(visible_text(F.col("_pieces")))).withColumn("base_origin", fence(visible_origin(F.col("_pieces")))) \
+        .withColumn("hidden_layers", F.col("_page.layers")).drop("_page", "_pieces")
+
+
+def html_visible(pages: DataFrame, key: str, html: str) -> DataFrame:
+    return pages_read(pages, html).select(key, visible_text(F.col("_pieces")).alias("visible"))
+
+
+def html_hidden_layers(pages: DataFrame, key: str, html: str) -> DataFrame:
+    """One row per hidden part of a page: comments, hidden elements, read-only attributes."""
+    return pages_read(pages, html).select(key, F.inline_outer("_page.layers")).filter("kind IS NOT NULL")

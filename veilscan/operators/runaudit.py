@@ -84,7 +84,7 @@ def run_facts(steps: DataFrame) -> DataFrame:
         F.count_if(check & (F.col("verdict") == "allow")).alias("allowed"), F.count_if(check & (F.col("verdict") == "sanitise")).alias("sanitised"),
         F.count_if(check & (F.col("verdict") == "quarantine")).alias("quarantined"),
         F.count_if(acts & ~blocked).alias("ran"), F.count_if(acts & blocked).alias("blocked"), F.count_if(F.col("step") == "model").alias("model_calls"),
-        F.round(F.sum(F.coalesce("cost_usd", F.lit(0.0))), 4).alias("cost_usd"), F.count_if("leaked").alias("leaks"),
+        F.round(F.sum(F.coalesce("cost_usd", F.lit(0.0))), 6).alias("cost_usd"), F.count_if("leaked").alias("leaks"),
         F.array_sort(F.collect_set(F.when(check, F.col("attack_type")))).alias("attack_types"),
         F.count_if(F.col("warning").isNotNull() & F.col("warning").startswith("firewall unreachable")).alias("unreachable"),
         F.count_if(check & F.col("failed")).alias("failed_checks"),

@@ -264,7 +264,7 @@ def half_per_category(spark, sf):
     return B.half_per_category(shuffled(eval_items(spark, sf).select("doc_id", "set_name")), "set_name", "shuffle", ["doc_id"]).select("doc_id", "set_name")
 
 
-@query("heldout_union", "SELECT i.doc_id, i.set_name, l.quality FROM eval_items i JOIN labels l USING (doc_id) UNION ALL SELECT item_id, 'own', NULL FROM benchmark", E_)
+@query("heldout_union", "SELECT i.doc_id, i.set_name, l.quality::BIGINT AS quality FROM eval_items i JOIN labels l USING (doc_id) UNION ALL SELECT item_id, 'own', NULL FROM benchmark", E_)
 def heldout_union(spark, sf):
     held = eval_items(spark, sf).select("doc_id", "set_name").join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id")
     own = table(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id"), F.lit("own").alias("set_name"), F.lit(None).cast("int").alias("quality"))

@@ -13,7 +13,7 @@ TARGETS = ["desk@a.example", "Shop", "/tmp/report"]
 
 part("steps", """
 SELECT user_id AS run_id, CASE WHEN event_id % 2 = 0 THEN 'unprotected' ELSE 'protected' END AS lane, event_id AS step_no,
-  CAST(epoch_ms(ts) - 1704067200000 AS BIGINT) AS at_ms, ts, CASE event_type WHEN 'view' THEN 'firewall' WHEN 'click' THEN 'model' ELSE 'tool' END AS step,
+  CAST(epoch_us(ts) // 1000 - 1704067200000 AS BIGINT) AS at_ms, ts, CASE event_type WHEN 'view' THEN 'firewall' WHEN 'click' THEN 'model' ELSE 'tool' END AS step,
   CASE event_type WHEN 'signup' THEN 'read_file' WHEN 'view' THEN NULL WHEN 'click' THEN NULL ELSE list_extract(['send_email', 'make_payment', 'delete_file'], event_id % 3 + 1) END AS name,
   CASE WHEN event_type IN ('error', 'purchase') THEN list_extract(['desk@a.example', 'Shop', '/tmp/report'], event_id % 3 + 1) ELSE '' END AS target,
   CASE WHEN event_type = 'error' AND event_id % 2 = 1 THEN 'block' WHEN event_type = 'purchase' AND event_id % 2 = 1 THEN 'allow' END AS guard,
@@ -89,7 +89,7 @@ def segment_kind(spark, sf):
 SELECT run_id, lane, count(*) FILTER (WHERE verdict = 'allow') AS allowed, count(*) FILTER (WHERE verdict = 'sanitise') AS sanitised,
   count(*) FILTER (WHERE verdict = 'quarantine') AS quarantined, count(*) FILTER (WHERE {ACTION} AND guard IS DISTINCT FROM 'block') AS ran,
   count(*) FILTER (WHERE {ACTION} AND guard = 'block') AS blocked, count(*) FILTER (WHERE step = 'model') AS model_calls,
-  round(sum(coalesce(cost_usd, 0)), 4) AS cost_usd, count(*) FILTER (WHERE leaked) AS leaks, coalesce(string_agg(DISTINCT attack_type, ',' ORDER BY attack_type), '') AS attack_types
+  round(sum(coalesce(cost_usd, 0)), 6) AS cost_usd, count(*) FILTER (WHERE leaked) AS leaks, coalesce(string_agg(DISTINCT attack_type, ',' ORDER BY attack_type), '') AS attack_types
 FROM steps GROUP BY ALL""", S)
 def run_facts(spark, sf):
     f = A.run_facts(steps(spark, sf))
@@ -155,7 +155,7 @@ def stage_times(spark, sf):
 SELECT check_id, count(DISTINCT stage_no) AS finished, list_extract(['prepare', 'rules', 'classifiers', 'lid', 'triage', 'judge', 'sandbox', 'decide', 'recheck'],
   (SELECT min(i) FROM (SELECT unnest(range(1, 11)) AS i) WHERE i NOT IN (SELECT CASE WHEN v.event_type = 'view' THEN 1 ELSE 1 + v.event_id % 9 END FROM events v WHERE v.user_id = e.check_id))) AS running,
   max(at_ms) AS at_ms
-FROM (SELECT user_id AS check_id, CASE WHEN event_type = 'view' THEN 1 ELSE 1 + event_id % 9 END AS stage_no, CAST(epoch_ms(ts) - 1704067200000 AS BIGINT) AS at_ms FROM events) e GROUP BY check_id""")
+FROM (SELECT user_id AS check_id, CASE WHEN event_type = 'view' THEN 1 ELSE 1 + event_id % 9 END AS stage_no, CAST(epoch_us(ts) // 1000 - 1704067200000 AS BIGINT) AS at_ms FROM events) e GROUP BY check_id""")
 def latest_stage(spark, sf):
     e = table(spark, sf, "events").select("event_id", "user_id", "event_type", "ts", "value")
     stage = pick(A.STAGES, F.when(F.col("event_type") == "view", 0).otherwise(F.col("event_id") % 9))
