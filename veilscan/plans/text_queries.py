@@ -89,7 +89,7 @@ def join_spaced_letters(spark, sf):
 
 def encoded(spark, sf):
     d = planted(spark, sf).filter("plant IS NOT NULL")
-    return d.select("doc_id", F.col("plant"), F.concat("text", F.lit("\n"), F.when(F.col("doc_id") % 3 == 0, F.base64(F.col("plant").cast("binary"))).when(
+    return d.select("doc_id", F.col("plant"), F.concat("text", F.lit("\n"), F.when(F.col("doc_id") % 3 == 0, F.regexp_replace(F.base64(F.col("plant").cast("binary")), r"\s", "")).when(
         F.col("doc_id") % 3 == 1, F.hex(F.col("plant").cast("binary"))).otherwise(F.lit("-"))).alias("text"))
 
 
