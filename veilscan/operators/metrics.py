@@ -42,8 +42,9 @@ def wilson(k: Column, n: Column) -> tuple[Column, Column]:
     p = k / nd
     centre = (p + Z * Z / (2 * nd)) / (1 + Z * Z / nd)
     half = Z * F.sqrt(p * (1 - p) / nd + Z * Z / (4 * nd * nd)) / (1 + Z * Z / nd)
-    low = F.coalesce(F.round(F.greatest(F.lit(0.0), centre - half), 3), F.lit(0.0))
-    high = F.coalesce(F.round(F.least(F.lit(1.0), centre + half), 3), F.lit(0.0))
+    # greatest and least skip nulls, so the empty group is settled outside them
+    low = F.when(n > 0, F.round(F.greatest(F.lit(0.0), centre - half), 3)).otherwise(F.lit(0.0))
+    high = F.when(n > 0, F.round(F.least(F.lit(1.0), centre + half), 3)).otherwise(F.lit(0.0))
     return low, high
 
 
