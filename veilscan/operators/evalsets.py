@@ -105,9 +105,10 @@ def near_duplicates(rows: DataFrame, team: str, key: str, words: str, threshold:
     ranked = said.join(common, "w").groupBy(team, key).agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("ws"))  # one set: a text's words
     n = F.size("ws")
     keep = n - F.ceil(F.lit(threshold) * n).cast("int") + 1
-    prefix = ranked.select(team, key, F.explode(F.slice("ws", F.lit(1), keep)).alias("p")).select(team, key, F.col("p.w").alias("w"))
+    prefix = ranked.select(team, key, n.alias("n"), F.explode(F.slice("ws", F.lit(1), keep)).alias("p")).select(team, key, "n", F.col("p.w").alias("w"))
     a, b = prefix.alias("a"), prefix.alias("b")
-    pairs = a.join(b, (F.col(f"a.{team}") == F.col(f"b.{team}")) & (F.col("a.w") == F.col("b.w")) & (F.col(f"a.{key}") < F.col(f"b.{key}"))) \
+    pairs = a.join(b, (F.col(f"a.{team}") == F.col(f"b.{team}")) & (F.col("a.w") == F.col("b.w")) & (F.col(f"a.{key}") < F.col(f"b.{key}"))
+                   & (F.least("a.n", "b.n") >= threshold * F.greatest("a.n", "b.n"))) \
         .select(F.col(f"a.{key}").alias("x"), F.col(f"b.{key}").alias("y"), F.col(f"b.{team}").alias(team)).distinct()
     sets = reps.select(F.col(key).alias("k"), F.col("_set").alias("s"))
     scored = pairs.join(sets.select(F.col("k").alias("x"), F.col("s").alias("sx")), "x").join(sets.select(F.col("k").alias("y"), F.col("s").alias("sy")), "y")

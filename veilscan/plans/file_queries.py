@@ -142,3 +142,126 @@ SELECT doc_id, a, least(a + 10, n) AS b FROM (SELECT doc_id, n, unnest(range(0,
 def sliding_word_windows(spark, sf):
     docs = texts(spark, sf, "documents").select("doc_id", F.size(X.gate_words(F.concat("text", F.when(F.col("doc_id") % 10 == 0, " bhejo turant").otherwise("")))).alias("n"))
     return docs.select("doc_id", F.inline(X.word_windows(F.col("n"))))
+
+
+# Reports over a manifest of planted files: technique and format by document number ------------------
+part("file_results", """
+SELECT doc_id, label, verdict, n_attacks, error, CASE doc_id % 3 WHEN 0 THEN 'html' WHEN 1 THEN 'docx' ELSE 'pdf' END AS format, 'technique-' || doc_id % 4 AS technique,
+  'render-' || doc_id % 5 AS rendering, set_name, n_attacks > 0 AND doc_id % 2 = 0 AS located, CASE WHEN label = 1 AND verdict IS NOT NULL AND verdict <> 'quarantine' THEN verdict <> 'allow' AND doc_id % 7 <> 0 END AS payload_gone
+FROM results""", ["results"])
+
+
+def file_results(spark, sf):
+    from veilscan.sources.results import eval_results
+
+    r, k = eval_results(spark, sf), F.col("doc_id")
+    fmt = F.when(k % 3 == 0, "html").when(k % 3 == 1, "docx").otherwise("pdf")
+    hidden_in = F.when(k % 2 == 0, F.array(F.lit("pdf_white_text"))).otherwise(F.array().cast("array<string>"))
+    attacks = F.transform("attacks", lambda a: a.withField("hidden_in", hidden_in))
+    clean = F.when((F.col("label") == 1) & F.col("verdict").isNotNull() & (F.col("verdict") != "quarantine"), (F.col("verdict") != "allow") & (k % 7 != 0))
+    return r.select("doc_id", "label", "verdict", "error", fmt.alias("format"), F.concat(F.lit("technique-"), (k % 4).cast("string")).alias("technique"),
+                    F.concat(F.lit("render-"), (k % 5).cast("string")).alias("rendering"), attacks.alias("attacks"), clean.alias("payload_gone"))
+
+
+CAUGHT = "verdict IN ('sanitise', 'quarantine')"
+
+
+@query("file_set_summary", f"""
+SELECT format, label = 1 AS attack, count(*) AS n, count(*) FILTER (WHERE {CAUGHT}) AS flagged, count(*) FILTER (WHERE located) AS located,
+  count(payload_gone) AS payload_n, count(*) FILTER (WHERE payload_gone) AS payload_gone FROM file_results WHERE error IS NULL GROUP BY ALL""", ["file_results"])
+def file_set_summary(spark, sf):
+    r = file_results(spark, sf).filter("error IS NULL")
+    located = F.exists("attacks", lambda a: F.size(a["hidden_in"]) > 0)
+    return r.groupBy("format", (F.col("label") == 1).alias("attack")).agg(
+        F.count("*").alias("n"), F.count_if(F.col("verdict").isin("sanitise", "quarantine")).alias("flagged"), F.count_if(located).alias("located"),
+        F.count("payload_gone").alias("payload_n"), F.count_if("payload_gone").alias("payload_gone"))
+
+
+@query("technique_table", f"""
+SELECT format, CASE WHEN format = 'pdf' THEN rendering ELSE technique END AS tech, count(*) FILTER (WHERE label = 1) AS attacks, count(*) FILTER (WHERE label = 1 AND {CAUGHT}) AS attacks_flagged,
+  count(*) FILTER (WHERE label = 0) AS benign, count(*) FILTER (WHERE label = 0 AND {CAUGHT}) AS benign_flagged FROM file_results WHERE error IS NULL GROUP BY ALL""", ["file_results"])
+def technique_table(spark, sf):
+    r = file_results(spark, sf).filter("error IS NULL").withColumn("tech", F.when(F.col("format") == "pdf", F.col("rendering")).otherwise(F.col("technique")))
+    hit = F.col("verdict").isin("sanitise", "quarantine")
+    attack = F.col("label") == 1
+    return r.groupBy("format", "tech").agg(F.count_if(attack).alias("attacks"), F.count_if(attack & hit).alias("attacks_flagged"),
+                                           F.count_if(~attack).alias("benign"), F.count_if(~attack & hit).alias("benign_flagged"))
+
+
+@query("pdf_family_table", f"SELECT technique AS family, count(*) AS n, count(*) FILTER (WHERE {CAUGHT}) AS flagged FROM file_results WHERE error IS NULL AND format = 'pdf' AND label = 1 GROUP BY 1", ["file_results"])
+def pdf_family_table(spark, sf):
+    r = file_results(spark, sf).filter("error IS NULL AND format = 'pdf' AND label = 1")
+    return r.groupBy(F.col("technique").alias("family")).agg(F.count("*").alias("n"), F.count_if(F.col("verdict").isin("sanitise", "quarantine")).alias("flagged"))
+
+
+@query("merged_word_windows", f"""
+SELECT doc_id, min(a) AS from_word, max(b) AS to_word FROM (SELECT *, sum(CASE WHEN a <= prev THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY a) AS island FROM (
+  SELECT *, max(b) OVER (PARTITION BY doc_id ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM (
+    SELECT g.doc_id, w.a, least(w.a + 10, g.n) AS b FROM (SELECT doc_id, count(*) AS n FROM gate_words GROUP BY doc_id) g, LATERAL (SELECT unnest(range(0, greatest(g.n - 10, 0) + 1, 2)) AS a) w
+    WHERE EXISTS (SELECT 1 FROM gate_words x WHERE x.doc_id = g.doc_id AND x.pos > w.a AND x.pos <= w.a + 10 AND x.word IN {MARKS})))) GROUP BY doc_id, island""", ["gate_words"])
+def merged_word_windows(spark, sf):
+    from veilscan.functions.spans import fence, fold_overlapping, unfold
+
+    docs = texts(spark, sf, "documents").select("doc_id", fence(X.gate_words(F.concat("text", F.when(F.col("doc_id") % 10 == 0, " bhejo turant").otherwise("")))).alias("w"))
+    marks = docs.withColumn("m", fence(F.filter(F.transform("w", lambda w, i: F.when(w.isin(INDIC_MARKERS), i)), lambda i: i.isNotNull())))
+    flagged = F.filter(X.word_windows(F.size("w")), lambda x: F.exists("m", lambda i: (i >= x["a"]) & (i < x["b"])))
+    spans = F.transform(flagged, lambda x: F.struct(x["a"].alias("start"), x["b"].alias("end")))
+    merged = fold_overlapping(spans, "array<struct<start:int,end:int>>", lambda a, b: F.struct(a["start"].alias("start"), F.greatest(a["end"], b["end"]).alias("end")), touching=True)
+    return marks.filter(F.size("m") > 0).transform(unfold, ["doc_id"], merged).select("doc_id", F.col("start").alias("from_word"), F.col("end").alias("to_word"))
+
+
+# Mail lines and concealed layers -----------------------------------------------------------------------
+def mail_lines(spark, sf):
+    from veilscan.functions.spans import fence
+    from veilscan.operators.language import rejoin_wrapped, scored_lines
+    from veilscan.sources.screened import with_units
+
+    d = with_units(spark, sf).filter("source = 'email'").withColumn("lines", fence(scored_lines(F.col("units"), F.lit(True))))
+    return d.withColumn("lines", fence(rejoin_wrapped(F.col("lines"), F.col("text"))))
+
+
+@query("drop_mail_metadata", """
+SELECT u.doc_id, u.unit_no, CASE WHEN starts_with(u.text, 'From:') THEN 'Weekly update' END AS payload FROM units u WHERE u.source = 'email' AND starts_with(u.text, 'From:')""", ["units"])
+def drop_mail_metadata(spark, sf):
+    from veilscan.functions.spans import unfold
+
+    d = mail_lines(spark, sf).transform(unfold, ["doc_id"], "lines")
+    return d.filter(F.col("text").startswith("From:")).select("doc_id", "unit_no", "payload")
+
+
+@query("rejoin_wrapped")
+def rejoin_wrapped(spark, sf):
+    from veilscan.functions.spans import unfold
+
+    return mail_lines(spark, sf).transform(unfold, ["doc_id"], "lines").groupBy("doc_id").agg(
+        F.count("*").alias("lines"), F.count_distinct("run").alias("runs"), F.count_if("cleared").alias("cleared"))
+
+
+@query("flag_lines")
+def flag_lines(spark, sf):
+    from veilscan.functions.spans import unfold
+    from veilscan.operators import language as G
+
+    return mail_lines(spark, sf).transform(unfold, ["doc_id"], G.flag_lines(F.col("lines"))).select("doc_id", "unit_no", "p_eng", "top")
+
+
+@query("join_short_lines")
+def join_short_lines(spark, sf):
+    from veilscan.functions.spans import unfold
+    from veilscan.operators import language as G
+
+    return mail_lines(spark, sf).transform(unfold, ["doc_id"], G.join_short_lines(F.col("lines"))).select("doc_id", "unit_no", "p_eng", "by")
+
+
+@query("flag_layers")
+def flag_layers(spark, sf):
+    from veilscan.functions.spans import fence, unfold
+    from veilscan.operators.prepare import apply_hidden_ranges
+    from veilscan.operators.scoring import flag_layers as flags
+    from veilscan.plans.text_queries import hidden_ranges
+    from veilscan.sources.screened import scorers
+
+    d = apply_hidden_ranges(hidden_ranges(spark, sf))
+    d = d.withColumn("f", fence(flags(F.col("hidden_layers"), scorers(), 0.65)))
+    rows = F.transform("hidden_layers", lambda x, i: F.struct(x["start"].alias("layer_start"), F.array_join(F.get("f", i), ",").alias("flagged_by")))
+    return d.transform(unfold, ["doc_id"], rows)
