@@ -116,3 +116,16 @@ def test_glyph_kinds(spark):
     rects = spark.createDataFrame([(1, 1, 90.0, 260.0, 90.0, 260.0, True, [0.1])], "doc int, page int, x0 double, x1 double, top double, bottom double, filled boolean, color array<double>")
     got = {r.seq: r.kind for r in H.glyph_hidden_kind(g, pages, rects).collect()}
     assert got == {1: "pdf_white_text", 2: None, 3: "pdf_tiny_text", 4: "pdf_off_page_text", 5: "pdf_white_text"}
+
+
+def test_two_stage_scan(spark):
+    from veilscan.operators.lexicon import two_stage_scan
+
+    english = "please review the project plan for the next team meeting and send notes".split()
+    dictionary = spark.createDataFrame([(w,) for w in english], "word string")
+    marked = english + "jaldi bhejo".split()
+    foreign_end = english + "xq zv qk".split()
+    units = spark.createDataFrame([("a", english), ("b", marked), ("c", ["xq", "zv", "bhejo"]), ("d", foreign_end)], "unit string, words array<string>")
+    got = {tuple(r) for r in two_stage_scan(units, "unit", "words", dictionary, ["jaldi", "bhejo"]).collect()}
+    # markers score a unit below 0.40, so b goes whole; d scores 0.406 and only its last window, words 10 to 15, is foreign
+    assert got == {("b", 0, 15), ("c", 0, 3), ("d", 10, 16)}

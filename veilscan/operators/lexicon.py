@@ -81,3 +81,26 @@ def word_windows(n: Column, size: int = 10, stride: int = 2) -> Column:
     """[a, b) word ranges of a text with n words."""
     starts = F.sequence(F.lit(0), F.greatest(n - size, F.lit(0)), F.lit(stride))
     return F.transform(starts, lambda s: F.struct(s.alias("a"), F.least(s + size, n).alias("b")))
+
+
+def two_stage_scan(units: DataFrame, key: str, words: str, dictionary: DataFrame, markers: list[str]) -> DataFrame:
+    """Word ranges (key, from_word, to_word) that do not read as English.
+
+    Every unit is judged once. A short or clearly foreign one is flagged whole; only the others are read again
+    in six-word windows, whose flagged ranges are merged. A unit none of whose windows is flagged stays whole.
+    """
+    judged = gate_verdicts(text_measures(judged_words(units, key, words, dictionary, markers), key)).filter(~F.col("hybrid_english"))
+    whole_now = (F.col("total") <= 8) | (F.col("hybrid_score") < 0.40)
+    whole = judged.filter(whole_now).select(key, F.lit(0).alias("from_word"), F.col("total").cast("int").alias("to_word"))
+    deep = units.join(judged.filter(~whole_now).select(key, "total"), key)
+    windows = deep.select(key, "total", words, F.explode(word_windows(F.size(words), 6, 2)).alias("w")).select(
+        key, "total", F.concat_ws(":", F.col(key).cast("string"), F.col("w.a").cast("string")).alias("_win"),
+        F.col("w.a").alias("a"), F.col("w.b").alias("b"), F.slice(words, F.col("w.a") + 1, F.col("w.b") - F.col("w.a")).alias("_ws"))
+    foreign = gate_verdicts(text_measures(judged_words(windows, "_win", "_ws", dictionary, markers), "_win")).filter(~F.col("hybrid_english"))
+    found = windows.join(foreign.select("_win"), "_win", "left_semi")
+    order = Window.partitionBy(key).orderBy("a")  # the windows of one unit
+    reach = F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    islands = found.withColumn("_new", F.coalesce(F.col("a") > reach, F.lit(True)).cast("int")).withColumn("_island", F.sum("_new").over(order))
+    ranges = islands.groupBy(key, "_island").agg(F.min("a").alias("from_word"), F.max("b").alias("to_word")).drop("_island")
+    missed = deep.join(found.select(key).distinct(), key, "left_anti").select(key, F.lit(0).alias("from_word"), F.col("total").cast("int").alias("to_word"))
+    return whole.unionByName(ranges).unionByName(missed)

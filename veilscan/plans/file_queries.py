@@ -265,3 +265,14 @@ def flag_layers(spark, sf):
     d = d.withColumn("f", fence(flags(F.col("hidden_layers"), scorers(), 0.65)))
     rows = F.transform("hidden_layers", lambda x, i: F.struct(x["start"].alias("layer_start"), F.array_join(F.get("f", i), ",").alias("flagged_by")))
     return d.transform(unfold, ["doc_id"], rows)
+
+
+@query("two_stage_scan")
+def two_stage_scan(spark, sf):
+    from veilscan.functions.spans import unfold
+    from veilscan.sources.screened import with_units
+
+    units = with_units(spark, sf).transform(unfold, ["doc_id"], "units")
+    keyed = units.select(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("unit_no").cast("string")).alias("unit"), X.gate_words(F.col("text")).alias("words"))
+    words = table(spark, sf, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word")).filter(F.char_length("word") >= 2)
+    return X.two_stage_scan(keyed, "unit", "words", words, INDIC_MARKERS)
