@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word, wherever a contract speaks of words: a run of anything but ASCII white space.
@@ -63,3 +63,24 @@ def components(edges: DataFrame, spark: SparkSession, most_rounds: int = 64) ->
         if not changed:
             return labels.select("node", F.col("label").alias("component"))
     raise RuntimeError("components did not settle; raise most_rounds")
+
+
+def ranked(df: DataFrame, order: list[Column], out: str, name: str, add: str | None = None) -> DataFrame:
+    """Adds each row's 0-based place in ``order``, or, with ``add``, the sum of that column over the rows before it.
+
+    The table is range-sorted over all tasks and written; only one number per partition is then summed in order. Pass
+    a written table: a range sort reads its input twice.
+    """
+    rows = written(df.sort(*order).withColumn("_at", F.monotonically_increasing_id()), name)
+    part = F.shiftright("_at", 33)
+    amount = F.coalesce(F.col(add), F.lit(0)).cast("bigint") if add else F.lit(1).cast("bigint")
+    sums = rows.groupBy(part.alias("_part")).agg(F.sum(amount).alias("_sum"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition of the sort
+    offsets = sums.select("_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"))
+    if add:
+        inside = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+        within = F.coalesce(F.sum(amount).over(inside), F.lit(0))
+    else:
+        within = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return rows.withColumn("_part", part).withColumn("_within", within).join(offsets, "_part") \
+        .withColumn(out, F.col("_within") + F.col("_offset")).drop("_part", "_at", "_within", "_offset")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilscan.llm import warc
+from veilscan.llm import mixing, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -38,3 +38,11 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
   CASE WHEN rec <> first_rec THEN first_page END AS refers_to, url AS target_uri
 FROM f
 """
+
+
+def op2_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(_table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
+
+
+QUERIES["op2_entropy_mix"] = op2_entropy_mix
