@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from veilscan.llm import mixing, warc
+from veilscan.llm import mixing, simhash, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -46,3 +47,32 @@ def op2_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op2_entropy_mix"] = op2_entropy_mix
+
+
+def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.whole_vectors(_table(spark, sf_dir, "embeddings"))
+    return topk.top_k(vectors, F.coalesce(F.col("vec_id") % 100 == 0, F.lit(False)))
+
+
+QUERIES["op6_top_k"] = op6_top_k
+SQL["op6_top_k"] = """
+WITH v AS (
+  SELECT vec_id, row_number() OVER () AS rid, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.rid AS q_rid, q.vec_id AS query_id, c.vec_id, c.rid,
+    CAST(coalesce(list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i])), 0) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.rid <> c.rid AND len(q.e) = len(c.e)
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY q_rid ORDER BY score DESC, vec_id NULLS LAST, rid) AS rank FROM s
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+QUERIES["op7_simhash"] = op7_simhash
