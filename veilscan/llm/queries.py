@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilscan.llm import mixing, simhash, suffix_dedup, topk, warc
+from veilscan.llm import mixing, simhash, suffix_dedup, token_file, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -84,3 +84,17 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op3_suffix_dedup"] = op3_suffix_dedup
+
+
+def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    where = token_file.write_files(_table(spark, sf_dir, "documents"), tokenizer_file())
+    return token_file.file_index(spark, where)
+
+
+QUERIES["op10_token_file"] = op10_token_file
