@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilscan.llm import mixing, simhash, suffix_dedup, token_file, topk, warc
+from veilscan.llm import mixing, quality, simhash, suffix_dedup, token_file, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -98,3 +98,10 @@ def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op10_token_file"] = op10_token_file
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+QUERIES["op8_quality"] = op8_quality
