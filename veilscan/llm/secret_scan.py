@@ -55,7 +55,7 @@ def add_found(df: DataFrame, name: str, pattern: str, gate: Column, group: int |
     df = df.withColumn("_gate", gate)
     df = df.withColumn("_gaps", F.when(F.col("_gate"), F.transform(F.split(text, pattern, -1), F.length)).otherwise(none)) \
         .withColumn("_whole", F.when(F.col("_gate"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>")))
-    said = F.col("_whole") if group is None else F.when(F.col("_gate"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)))
+    said = F.col("_whole") if group is None else F.when(F.col("_gate"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group))).otherwise(F.array().cast("array<string>"))
     df = df.withColumn("_sizes", F.transform("_whole", F.length)).withColumn("_said", said) \
         .withColumn("_steps", F.zip_with(F.slice("_gaps", F.lit(1), F.size("_sizes")), F.col("_sizes"), lambda g, s: (g + s).cast("bigint")))
     df = df.withColumn("_before", prefix_sums(F.col("_steps")))
