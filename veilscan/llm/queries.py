@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilscan.llm import mixing, quality, secret_scan, simhash, suffix_dedup, token_file, topk, warc
+from veilscan.llm import decontam, mixing, quality, secret_scan, simhash, suffix_dedup, surrogates, token_file, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -112,3 +112,38 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op9_secret_scan"] = op9_secret_scan
+
+
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contained_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+QUERIES["op4_decontaminate"] = op4_decontaminate
+_WORDS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"
+SQL["op4_decontaminate"] = f"""
+WITH i AS (
+  SELECT item_id, row_number() OVER () AS iid, {_WORDS} AS l FROM (SELECT DISTINCT item_id, text FROM benchmark WHERE text IS NOT NULL)
+), g AS (
+  SELECT DISTINCT item_id, iid, least(5, len(l)) AS n,
+    unnest(list_transform(range(1, len(l) - least(5, len(l)) + 2), lambda k: array_to_string(l[k:k + least(5, len(l)) - 1], ' '))) AS s
+  FROM i WHERE len(l) > 0
+), q AS (
+  SELECT iid, item_id, count(*) AS n_item FROM g GROUP BY iid, item_id
+), d AS (
+  SELECT doc_id, row_number() OVER () AS rid, {_WORDS} AS l FROM documents WHERE text IS NOT NULL
+), e AS (
+  SELECT DISTINCT rid, doc_id, n, unnest(list_transform(range(1, len(l) - n + 2), lambda k: array_to_string(l[k:k + n - 1], ' '))) AS s
+  FROM d, (SELECT DISTINCT n FROM g)
+), m AS (
+  SELECT e.rid, e.doc_id, g.iid, count(*) AS n_shared FROM e JOIN g USING (n, s) GROUP BY e.rid, e.doc_id, g.iid
+)
+SELECT doc_id, item_id, CAST(n_shared AS BIGINT) AS n_shared, CAST(n_item AS BIGINT) AS n_item, n_shared / n_item AS containment
+FROM m JOIN q USING (iid) WHERE n_shared >= 0.8 * n_item - 1e-9
+"""
+
+
+def op5_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.replace_entities(_table(spark, sf_dir, "documents"))
+
+
+QUERIES["op5_surrogates"] = op5_surrogates
