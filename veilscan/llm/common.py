@@ -84,3 +84,28 @@ def ranked(df: DataFrame, order: list[Column], out: str, name: str, add: str | N
         within = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
     return rows.withColumn("_part", part).withColumn("_within", within).join(offsets, "_part") \
         .withColumn(out, F.col("_within") + F.col("_offset")).drop("_part", "_at", "_within", "_offset")
+
+
+def keyed(docs: DataFrame, cols: list[str]) -> DataFrame:
+    """``docs`` with _k1 and _k2: 128 bits that name a row by the values of ``cols``, nulls included."""
+    whole = [F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in cols]
+    return docs.withColumns({"_k1": F.xxhash64(*whole), "_k2": F.xxhash64(F.lit(1), *reversed(whole))})
+
+
+#: Bits of the filter that keeps rows without a partner out of a join: 2**22 bits are 512 KB.
+FILTER_BITS = 22
+
+
+def filter_words(keys: DataFrame, key: str = "_k1", bits: int = FILTER_BITS) -> DataFrame:
+    """A one-hash Bloom filter as a table (_slot, _word) of at most 2**(bits - 6) rows, whatever the number of keys."""
+    return keys.select(F.shiftright(F.col(key).bitwiseAND(F.lit((1 << bits) - 1)), 6).alias("_slot"),
+                       F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col(key).bitwiseAND(F.lit(63)).cast("int")).alias("_bit")) \
+        .groupBy("_slot").agg(F.bit_or("_bit").alias("_word"))
+
+
+def split_by_filter(rows: DataFrame, words: DataFrame, key: str = "_k1", bits: int = FILTER_BITS) -> tuple[DataFrame, DataFrame]:
+    """(rows that may be among the filter's keys, rows that surely are not). The filter is broadcast: 1 MB at most."""
+    slot = F.shiftright(F.col(key).bitwiseAND(F.lit((1 << bits) - 1)), 6)
+    marked = rows.withColumn("_slot", slot).join(F.broadcast(words), "_slot", "left")
+    bit = F.call_function("shiftright", F.coalesce(F.col("_word"), F.lit(0).cast("bigint")), F.col(key).bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1))
+    return marked.where(bit == 1).drop("_slot", "_word"), marked.where(bit == 0).drop("_slot", "_word")

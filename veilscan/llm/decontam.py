@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilscan.llm.common import WORD, text_or_empty, written
+from veilscan.llm.common import WORD, keyed, text_or_empty, written
 from veilscan.llm.simhash import shingles, words_of
 
 #: MinHash order: the values of XXH64 with this seed.
@@ -141,10 +141,10 @@ def _by_join(docs: DataFrame, carry: list[str], text: str, items: DataFrame, n:
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), k1)), pa.array(np.full(len(h), k2)), pa.array(np.full(len(h), size, np.int32)),
                                                           pa.array(h)], names=["k1", "k2", "size", "h"])
 
-    keyed = docs.select(*carry, F.col(text).alias("_text"), F.xxhash64(*carry, text).alias("k1"), F.xxhash64(text, *carry, F.lit(1)).alias("k2"))
-    held = keyed.select("k1", "k2", "_text").mapInArrow(spread, "k1 bigint, k2 bigint, size int, h bigint")
+    named = keyed(docs.select(*carry, F.col(text).alias("_text")), [*carry, "_text"]).withColumnsRenamed({"_k1": "k1", "_k2": "k2"})
+    held = named.select("k1", "k2", "_text").mapInArrow(spread, "k1 bigint, k2 bigint, size int, h bigint")
     pairs = held.join(signed, ["size", "h"]).select("k1", "k2", "item_id", "item").distinct()
-    texts = keyed.join(pairs, ["k1", "k2"]).select(*carry, "_text", "item_id", "item")
+    texts = named.join(pairs, ["k1", "k2"]).select(*carry, "_text", "item_id", "item")
     c = len(carry)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,15 +164,33 @@ def _by_join(docs: DataFrame, carry: list[str], text: str, items: DataFrame, n:
     return texts.mapInArrow(verify, _schema(docs, carry))
 
 
+def _kept(items: DataFrame, n: int, at_least: float, most_words: int) -> tuple[DataFrame, Index | None]:
+    """The items that can match, and an index of them if they are few enough to travel."""
+    items = items.select(F.col("item_id").cast("bigint").alias("item_id"), "text").where(text_or_empty().rlike(WORD)).dropDuplicates(["item_id", "text"])
+    words = items.agg(F.sum(F.regexp_count("text", F.lit(WORD)))).first()[0] or 0
+    return items, Index([(r.item_id, r.text) for r in items.collect()], n, at_least) if words <= most_words else None
+
+
 def contained_items(docs: DataFrame, items: DataFrame, carry: list[str] | None = None, text: str = "text", n: int = 5, at_least: float = 0.8,
                     most_words: int = 2_000_000) -> DataFrame:
     """One row per document and item it contains: ``carry`` (doc_id by default), item_id, n_shared, n_item, containment."""
     carry = carry or ["doc_id"]
-    items = items.select(F.col("item_id").cast("bigint").alias("item_id"), "text").where(text_or_empty().rlike(WORD)).dropDuplicates(["item_id", "text"])
-    words = items.agg(F.sum(F.regexp_count("text", F.lit(WORD)))).first()[0] or 0
-    if words <= most_words:
-        index = Index([(r.item_id, r.text) for r in items.collect()], n, at_least)
-        found = _in_place(docs, carry, text, index)
-    else:
-        found = _by_join(docs, carry, text, items, n, at_least)
+    items, index = _kept(items, n, at_least, most_words)
+    found = _by_join(docs, carry, text, items, n, at_least) if index is None else _in_place(docs, carry, text, index)
     return found.withColumn("containment", F.col("n_shared") / F.col("n_item"))
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", n: int = 5, at_least: float = 0.8, most_words: int = 2_000_000) -> DataFrame:
+    """The rows of ``docs``, all columns, that contain no item."""
+    items, index = _kept(items, n, at_least, most_words)
+    if index is None:
+        rows = keyed(docs, docs.columns)
+        found = _by_join(rows, ["_k1", "_k2"], text, items, n, at_least).select("_k1", "_k2").distinct()
+        return rows.join(found, ["_k1", "_k2"], "left_anti").select(*docs.columns)
+    held, at = docs.sparkSession.sparkContext.broadcast(index), docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([not held.value.search(t.as_py()) for t in batch.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

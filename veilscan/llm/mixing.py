@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilscan.llm.common import WORD, ranked, written
+from veilscan.llm.common import WORD, keyed, ranked, written
 
 #: Documents per rounding group, about: what one task holds at once.
 GROUP = 1024
@@ -134,3 +134,12 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: float = 3.0,
     out = plain.groupBy("none", "name", "part").applyInArrow(
         rounded, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", copies bigint")
     return out.withColumn("taken", F.col("copies") * F.col("size"))
+
+
+def mixed_documents(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: float = 3.0) -> DataFrame:
+    """The rows of ``docs``, all columns, each as often as the mix takes it; rows equal in every column share their copies."""
+    rows = keyed(docs, docs.columns)
+    copies = mix(rows, weights, cap, carry=("_k1", "_k2")).groupBy("_k1", "_k2").agg(F.sum("copies").alias("_copies"))
+    taken = written(copies.where("_copies > 0"), "copies")
+    once = rows.join(taken, ["_k1", "_k2"]).dropDuplicates(["_k1", "_k2"])
+    return once.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies")))).select(*docs.columns)

@@ -1,9 +1,9 @@
 """Quality classifier: histogram gradient-boosted trees over document statistics.
 
-The statistics of every whole text are taken in one pass and written. Trees are fitted on a bounded sample of labelled
+Trees are fitted on a bounded sample of labelled
 rows (``most`` rows, those of smallest hash, so the same rows at any partitioning), binned once, with logistic loss; they
-are then flattened into arrays and walked for many documents at once in numpy. Labels, language, source and id are
-never statistics.
+are then flattened into arrays and walked for many documents at once in numpy, in the one pass that takes the statistics of every whole
+text. Labels, language, source and id are never statistics.
 
 Edge cases: a null or empty text has all statistics 0 and is scored like any other; a null doc_id has the key of the
 empty string, takes no label and is scored; rows labelled more than once count once per label; null labels are left
@@ -148,33 +148,41 @@ def is_held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(3)) == 1
 
 
-def train(rows: DataFrame, labels: DataFrame, most: int = 20_000, label: str = "quality") -> Trees:
-    """Fits on at most ``most`` labelled rows that are not held out; ``rows`` has doc_id and x."""
-    known = labels.select("doc_id", F.col(label).cast("int").alias("y")).where("y IS NOT NULL AND doc_id IS NOT NULL").where(~is_held_out(F.col("doc_id")))
-    sample = rows.select("doc_id", "x").join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "y", F.hash("x")).limit(most).toArrow()
-    x = np.array(sample["x"].to_pylist(), np.float64).reshape(-1, len(STATISTICS))
-    return fit(x, (sample["y"].to_numpy() > 0).astype(np.float64))
+def train(docs: DataFrame, labels: DataFrame, most: int = 20_000, label: str = "quality", text: str = "text") -> Trees:
+    """Fits on at most ``most`` labelled rows that are not held out. They are chosen by hash from the ids alone; only their
+    texts are then read for statistics, so what is broadcast and what the driver gets are bounded by ``most``."""
+    known = labels.select("doc_id", F.col(label).cast("int").alias("_y")).where("_y IS NOT NULL AND doc_id IS NOT NULL").where(~is_held_out(F.col("doc_id")))
+    there = docs.select("doc_id").distinct()
+    sample = written(known.join(there, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "_y").limit(most), "sample")
+    rows = docs.select("doc_id", F.col(text).alias("_text")).join(F.broadcast(sample), "doc_id")  # ``most`` rows at most
+    found = written(add_statistics(rows, ["doc_id", "_y"], "_text"), "sample").orderBy("doc_id", "_y", "x").limit(most).toArrow()
+    x = np.array(found["x"].to_pylist(), np.float64).reshape(-1, len(STATISTICS))
+    return fit(x, (found["_y"].to_numpy() > 0).astype(np.float64))
 
 
-def add_scores(rows: DataFrame, trees: Trees) -> DataFrame:
-    """``rows`` with x replaced by score; the flattened trees are of fixed size and travel with the task."""
-    keep = [c for c in rows.columns if c != "x"]
-    schema = rows.select(*keep, F.lit(0.0).alias("score")).schema
-    held = rows.sparkSession.sparkContext.broadcast(trees)
+def add_scores(docs: DataFrame, trees: Trees, carry: list[str], text: str = "text", batch_rows: int = 1024) -> DataFrame:
+    """``carry`` and score, in one pass over the whole texts; the flattened trees are of fixed size and travel with the task."""
+    schema = docs.select(*carry, F.lit(0.0).alias("_score")).schema
+    held, n = docs.sparkSession.sparkContext.broadcast(trees), len(carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = np.array(batch.column(len(keep)).flatten()).reshape(batch.num_rows, -1)
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(keep))] + [pa.array(held.value.scores(x))], names=[*keep, "score"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, batch_rows):
+                batch = whole.slice(at, batch_rows)
+                x = np.array([statistics(t.as_py()) for t in batch.column(n)])
+                yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(n)] + [pa.array(held.value.scores(x))], names=[*carry, "_score"])
+
+    return docs.select(*carry, F.col(text).alias("_text")).mapInArrow(run, schema)
+
 
-    return rows.select(*keep, "x").mapInArrow(run, schema)
+def classify(docs: DataFrame, labels: DataFrame, most: int = 20_000) -> DataFrame:
+    """doc_id, held_out, score and predicted for every row of ``docs``."""
+    scored = add_scores(docs, train(docs, labels, most), ["doc_id"])
+    score = F.col("_score")
+    return scored.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
 
 
-def classify(docs: DataFrame, labels: DataFrame, carry: list[str] | None = None, most: int = 20_000) -> DataFrame:
-    """``carry`` (doc_id by default), held_out, score and predicted for every row of ``docs``."""
-    carry = carry or ["doc_id"]
-    rows = written(add_statistics(docs, carry), "statistics")
-    scored = add_scores(rows, train(rows, labels, most))
-    return scored.select(*carry, is_held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5, most: int = 20_000) -> DataFrame:
+    """The rows of ``docs``, all columns, whose score is ``least`` or more."""
+    scored = add_scores(docs, train(docs, labels, most), list(docs.columns))
+    return scored.where(F.col("_score") >= least).select(*docs.columns)

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilscan.llm.common import components, written
+from veilscan.llm.common import components, filter_words, keyed, split_by_filter, text_or_empty, written
 
 #: Fingerprints in a block, about; two blocks are compared at a time.
 BLOCK = 1024
@@ -204,3 +204,54 @@ def near_duplicates(docs: DataFrame, n: int = 3, radius: int = 2, doc_id: str =
     least = placed.groupBy("component").agg(F.min("least").alias("component_id"))
     named = written(placed.join(least, "component").select("f0", "component_id"), "named")
     return prints.join(named, "f0").select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def verified(edges: DataFrame, texts: DataFrame, n: int, at_least: float) -> DataFrame:
+    """Edges (a, b) whose texts' sets of n-word shingles have a Jaccard similarity of ``at_least``. ``texts`` has id and text."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for one, two in zip(batch.column(2), batch.column(3)):
+                x, y = (set(shingles(words_of(t.as_py()), n)) for t in (one, two))
+                shared = len(x & y)
+                keep.append(shared >= at_least * (len(x) + len(y) - shared) - 1e-9)
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep)) for i in (0, 1)], names=["a", "b"])
+
+    one, two = (texts.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
+    return edges.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
+
+
+def drop_near_copies(docs: DataFrame, n: int = 3, seeds: tuple[int, ...] = (42, 43), radius: int = 32, verify_words: int = 5,
+                     at_least: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` but for near copies: one row of each group stays, that of the smallest doc_id (nulls last).
+
+    Groups are linked by 128-bit fingerprints within ``radius``, wide enough for texts of which ``at_least`` is shared;
+    bands of shingle counts keep texts apart whose sizes already rule that out, and every link of the spanning forest is
+    verified by the exact similarity of the two whole texts. Equal texts collapse before anything is compared. Only texts
+    on links, and rows of groups, are shuffled; the rest pass through. Rows equal in doc_id and text are one row.
+    """
+    columns = docs.columns
+    rows = keyed(docs.withColumn("_body", text_or_empty()), ["doc_id", "_body"]) \
+        .withColumns({"_t1": F.xxhash64("_body"), "_t2": F.xxhash64(F.lit(1), "_body")})
+    carry = ["doc_id", "_k1", "_k2", "_t1", "_t2"]
+    prints = written(fingerprints(rows, carry, "_body", n, seeds, verify_words), "prints")
+    cols = [f"f{k}" for k in range(len(seeds))]
+    who = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_k1", "_k2")
+    points = prints.groupBy("_t1", "_t2").agg(F.min(who).alias("least"), F.count("*").alias("rows"), *[F.min(c).alias(c) for c in [*cols, "distinct"]])
+    points = written(points.withColumn("id", F.monotonically_increasing_id()), "texts")
+    band = F.floor(F.log(F.greatest(F.col("distinct"), F.lit(1)).cast("double")) / F.log(F.lit(1.01 / at_least)))
+    edges = written(link(points.select("id", *cols, band.alias("band")), radius, F.col("band")).select("a", "b").distinct(), "links")
+    ends = written(edges.select(F.col("a").alias("id")).union(edges.select(F.col("b").alias("id"))).distinct().join(points.select("id", "_t1", "_t2"), "id"), "ends")
+    near, _ = split_by_filter(rows.select("_t1", "_t2", F.col("_body").alias("text")), filter_words(ends, "_t1"), "_t1")
+    texts = written(near.join(ends, ["_t1", "_t2"]).select("id", "_t1", "text").dropDuplicates(["id"]).select("id", "text"), "ends")
+    joined = components(verified(edges, texts, verify_words, at_least), docs.sparkSession)
+    placed = written(points.join(joined.select(F.col("node").alias("id"), "component"), "id", "left")
+                     .select("_t1", "_t2", "least", "rows", F.coalesce("component", "id").alias("component")), "placed")
+    groups = placed.groupBy("component").agg(F.min("least").alias("one"), F.sum("rows").alias("all"))
+    named = written(placed.join(groups.where(F.col("all") > 1), "component").select("_t1", "_t2", F.col("one._k1").alias("o1"), F.col("one._k2").alias("o2")), "groups")
+    touched = written(prints.join(named, ["_t1", "_t2"]).select("_k1", "_k2", ((F.col("_k1") == F.col("o1")) & (F.col("_k2") == F.col("o2"))).alias("stays"))
+                      .distinct(), "touched")
+    some, rest = split_by_filter(rows, filter_words(touched))
+    kept = some.join(touched, ["_k1", "_k2"], "left").where(F.coalesce("stays", F.lit(True)))
+    once = kept.dropDuplicates(["_k1", "_k2"])
+    return once.select(*columns).unionByName(rest.select(*columns))
