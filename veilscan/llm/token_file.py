@@ -33,7 +33,8 @@ from veilscan.llm.common import new_path, text_or_empty, written
 SCALE, LANES, BLOCK = 20, 1024, 1 << 18
 LOW = np.uint64(1 << 31)
 #: Pieces of text whose ids a task remembers.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
+_SIGNS = ".,;:!?%$&*#"
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 #: A piece whose ids stay the same when others like it stand beside it.
 _JOINT = re.compile(r"[ \n]\S+(?:\s+\S+)*\Z").match
@@ -41,7 +42,7 @@ _encoders: dict[str, "Encoder"] = {}
 
 
 class Encoder:
-    """A tokenizers-library encoder (byte-level BPE) that encodes each distinct piece of text once while it is remembered.
+    """A tokenizers-library encoder (byte-level BPE) that encodes a piece of text once and remembers its ids.
 
     A single space or newline between two visible characters always begins a new pre-token of a byte-level BPE, so texts
     are cut there and the pieces' ids joined; texts holding a special token's string are encoded whole.
@@ -68,31 +69,44 @@ class Encoder:
             return _CUT.split(text)
         return text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
 
-    def learn(self, new: list[str]) -> None:
+    def learn(self, new: list[str]) -> dict[str, bytes]:
         """Encodes pieces in one go: joined, they are cut again at the same places, so their ids follow one another; the
         bytes each id stands for tell where a piece's ids end."""
         ids = np.frombuffer(self.whole(["".join(new)])[0], self.kind)
         ends = np.cumsum(self.widths[ids])
-        stops = np.searchsorted(ends, np.cumsum([len(p.encode()) for p in new]), side="left") + 1
-        raw, size, at = ids.tobytes(), self.kind.itemsize, 0
-        for p, stop in zip(new, stops.tolist()):
-            self.known[p] = raw[at * size:stop * size]
-            at = stop
+        stops = (np.searchsorted(ends, np.cumsum([len(p.encode()) for p in new]), side="left") + 1) * self.kind.itemsize
+        raw = ids.tobytes()
+        return {p: raw[i:j] for p, i, j in zip(new, [0, *stops.tolist()], stops.tolist())}
+
+    def found(self, pieces: set[str]) -> dict[str, bytes]:
+        """The ids of each piece. Signs at the end of a piece that follow a letter are a pre-token of their own, so stems and
+        endings are what is remembered; once enough are, others are encoded where they occur."""
+        known, out, cut, wanted = self.known, {}, {}, set()
+        for p in pieces:
+            if p in known:
+                out[p] = known[p]
+            elif (stem := p.rstrip(_SIGNS)) != p and stem[-1:].isalpha():
+                cut[p] = stem, p[len(stem):]
+                wanted.update(x for x in cut[p] if x not in known)
+            else:
+                wanted.add(p)
+        apart = [p for p in wanted if not _JOINT(p)]
+        joint = list(wanted.difference(apart))
+        new = dict(zip(apart, self.whole(apart)))
+        for at in range(0, len(joint), 4096):
+            new |= self.learn(joint[at:at + 4096])
+        out |= new
+        for p, (stem, signs) in cut.items():
+            out[p] = (new.get(stem) or known[stem]) + (new.get(signs) or known[signs])
+        if len(known) < REMEMBERED:
+            known.update(new)
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         special = [any(a in t for a in self.added) for t in texts]
         pieces = [[] if s else self.pieces(t) for t, s in zip(texts, special)]
-        known = self.known
-        new = dict.fromkeys(itertools.chain.from_iterable(pieces)).keys() - known.keys()
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = set(itertools.chain.from_iterable(pieces))
-        apart = [p for p in new if not _JOINT(p)]
-        joint = list(new.difference(apart))
-        for at in range(0, len(joint), 4096):
-            self.learn(joint[at:at + 4096])
-        known.update(zip(apart, self.whole(apart)))
-        return [self.whole([t])[0] if s else b"".join(map(known.__getitem__, p)) for t, s, p in zip(texts, special, pieces)]
+        ids = self.found(set(itertools.chain.from_iterable(pieces))).__getitem__
+        return [self.whole([t])[0] if s else b"".join(map(ids, p)) for t, s, p in zip(texts, special, pieces)]
 
 
 def encoder(path: str) -> Encoder:
@@ -111,8 +125,8 @@ def tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, doc_id: str = "doc_
         end = np.array([end_id], enc.kind).tobytes()
         names = ["doc_id", "h", "n", "ids", "counts"]
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                piece = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, 2048):
+                piece = batch.slice(at, 2048)
                 found = [x + end for x in enc.encode(piece.column(2).to_pylist())]
                 seen += np.bincount(np.frombuffer(b"".join(found), enc.kind), minlength=len(seen))
                 n = pa.array([len(x) // enc.kind.itemsize for x in found], pa.int64())
