@@ -184,9 +184,9 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", n:
     """The rows of ``docs``, all columns, that contain no item."""
     items, index = _kept(items, n, at_least, most_words)
     if index is None:
-        rows = keyed(docs, docs.columns)
-        found = _by_join(rows, ["_k1", "_k2"], text, items, n, at_least).select("_k1", "_k2").distinct()
-        return rows.join(found, ["_k1", "_k2"], "left_anti").select(*docs.columns)
+        rows = keyed(docs, docs.columns).withColumnsRenamed({"_k1": "_r1", "_k2": "_r2"})
+        found = _by_join(rows, ["_r1", "_r2"], text, items, n, at_least).select("_r1", "_r2").distinct()
+        return rows.join(found, ["_r1", "_r2"], "left_anti").select(*docs.columns)
     held, at = docs.sparkSession.sparkContext.broadcast(index), docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -25,6 +25,8 @@ from veilscan.llm.common import WORD, keyed, ranked, written
 #: Documents per rounding group, about: what one task holds at once.
 GROUP = 1024
 CLOSE = 1e-9
+#: Sums over the corpus are of decimals, so their order, and with it the partitioning, has no part in the result.
+EXACT = "decimal(38,9)"
 
 
 def word_count(text: Column) -> Column:
@@ -73,7 +75,7 @@ def solve_tilts(cells: DataFrame, targets: DataFrame, cap: float, most_rounds: i
         slope = F.when(rate < cap, F.col("n") * F.col("size") * rate * x).otherwise(F.lit(0.0))
         live = (F.col("off") > CLOSE) & ~F.col("tilt").isin(float("inf"), float("-inf"))
         sums = cells.join(state.where(live).select("src", "tilt", "source_size", "docs"), "src") \
-            .groupBy("src").agg(F.sum(got).alias("got"), F.sum(slope).alias("slope"))
+            .groupBy("src").agg(F.sum(got.cast(EXACT)).cast("double").alias("got"), F.sum(slope.cast(EXACT)).cast("double").alias("slope"))
         step = state.join(sums, "src", "left")
         below = F.col("got") < F.col("target")
         lo, hi = F.when(below, F.col("tilt")).otherwise(F.col("lo")), F.when(below, F.col("hi")).otherwise(F.col("tilt"))

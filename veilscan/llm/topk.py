@@ -120,7 +120,8 @@ def _grow(group: pa.Table) -> pa.Table:
 def _opened(row: dict) -> dict:
     n, dim = row["n"], row["dim"]
     v = np.frombuffer(row["v"], np.int64).reshape(n, dim)
-    return {"nodes": np.frombuffer(row["nodes"], np.int64).reshape(-1, 3), "centres": np.frombuffer(row["centres"], np.float64).reshape(-1, dim),
+    nodes = np.frombuffer(row["nodes"], np.int64).reshape(-1, 3)
+    return {"nodes": nodes, "centres": np.frombuffer(row["centres"], np.float64).reshape(len(nodes), dim),
             "radii": np.frombuffer(row["radii"], np.float64), "v": v, "largest": float(np.abs(v.astype(np.float64)).max(initial=0)),
             "ids": np.array([LAST if x is None else x for x in row["ids"]], np.int64), "named": row["ids"], "rids": np.array(row["rids"], np.int64)}
 
