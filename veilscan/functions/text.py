@@ -229,7 +229,7 @@ def split_units(text: Column, is_email: Column) -> Column:
 
 
 def collapse_space(text: Column) -> Column:
-    return strip(F.regexp_replace(text, r"\s+", " "))
+    return strip(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
 def clean_hidden_text(text: Column) -> Column:
@@ -239,7 +239,15 @@ def clean_hidden_text(text: Column) -> Column:
 
 def worth_reading(text: Column) -> Column:
     """Three words and a letter: shorter hidden text carries no instruction."""
-    return (F.size(F.split(strip(text), r"\s+")) >= 3) & text.rlike(r"\p{L}")
+    return (F.size(F.split(strip(text), r"(?U)\s+")) >= 3) & text.rlike(r"\p{L}")
+
+
+def clean_layers(layers: Column) -> Column:
+    """Layers with their text as the detectors read it. The texts of an item are normalised in one string, since the
+    normaliser cannot be called inside a higher-order function."""
+    joined = nfkc(F.array_join(F.transform(layers, lambda x: F.replace(x["text"], F.lit("\u0006"), F.lit(" "))), "\u0006"))
+    cleaned = F.zip_with(layers, F.split(joined, "\u0006", -1), lambda x, t: x.withField("text", collapse_space(t)))
+    return F.when(F.size(layers) > 0, F.filter(cleaned, lambda x: worth_reading(x["text"]))).otherwise(layers)
 
 
 def at_origin(origin: Column, pos: Column) -> Column:

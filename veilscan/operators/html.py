@@ -7,6 +7,8 @@ filler of the same length, so positions in the masked page are positions in the
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +27,6 @@ HIDDEN_STYLE = (r"display\s*:\s*none|visibility\s*:\s*hidden|opacity\s*:\s*0(?:\
                 r"font-size\s*:\s*0(?:\.\d+)?(?:px|pt|em|rem|%)?\s*(?:;|$|!)|"
                 r"(?:left|top|text-indent|margin-left)\s*:\s*-\d{3,}|"
                 r"(?<![-\w])color\s*:\s*(?:#fff(?:fff)?\b|white\b|rgb\(\s*255\s*,\s*255\s*,\s*255\s*\))")
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&#x27;": "'", "&nbsp;": " ", "&amp;": "&"}
 # End of fixed values --------------------------------------------------------------------------
 TOKEN = (r"(?is)<!--.*?(?:-->|\z)|<(?:script|style)\b[^>]*>.*?(?:</(?:script|style)\s*>|\z)|"
          r"</?[a-z](?:[^>\"']++|\"[^\"]*\"|'[^']*')*+>|<[!?][^>]*>")
@@ -34,19 +35,47 @@ STATE = ("struct<at:int,n:int,stack:array<string>,hidden_at:int,hidden_start:int
          "layers:" + LAYER_ARRAY + ",shown:array<string>>")
 
 
+REFERENCE = r"&(?:#[0-9]{1,8}|#[xX][0-9A-Fa-f]{1,8}|[A-Za-z][A-Za-z0-9]{1,31});?"
+#: Every named reference of HTML as one string to search: a mark, the name, a mark, what it stands for.
+NAMED = "".join(f"\u0006{name}\u0007{said}" for name, said in sorted(html5.items())) + "\u0006"
+#: Numbers 128 to 159 stand for what the Windows code page has there.
+WINDOWS = "".join(bytes([i]).decode("cp1252", "ignore") or chr(i) for i in range(128, 160))
+
+
+def decode_reference(ref: Column) -> Column:
+    """What a character reference stands for; one that stands for nothing is left as it is."""
+    number = F.when(ref.rlike("^&#[xX]"), F.conv(F.regexp_extract(ref, "([0-9A-Fa-f]+);?$", 1), 16, 10)).otherwise(F.regexp_extract(ref, "^&#([0-9]+)", 1)).cast("bigint")
+    point = F.when((number == 0) | (number > 0x10FFFF) | number.between(0xD800, 0xDFFF), F.lit(0xFFFD).cast("bigint")).otherwise(number)
+    char = F.when(number.between(128, 159), F.substring(F.lit(WINDOWS), (number - 127).cast("int"), F.lit(1))).otherwise(
+        F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32"))
+    table, name = F.lit(NAMED), F.substring(ref, F.lit(2), F.char_length(ref) - 1)
+    mark = F.concat(F.lit("\u0006"), name, F.lit("\u0007"))
+    rest = F.call_function("substring_index", table, mark, F.lit(-1))
+    said = F.when(F.contains(table, mark), F.call_function("substring_index", rest, F.lit("\u0006"), F.lit(1))).otherwise(ref)
+    return F.when(ref.startswith("&#"), char).otherwise(said)
+
+
 def unescape(text: Column, keep_length: bool = False) -> Column:
-    for entity, ch in ENTITIES.items():
-        text = F.replace(text, F.lit(entity), F.lit(ch + (FILL * (len(entity) - 1) if keep_length else "")))
-    return text
+    """Character references decoded; with ``keep_length`` each takes the place it had, the rest of it filler."""
+    def piece(p: Column, i: Column) -> Column:
+        said = decode_reference(p)
+        padded = F.concat(said, F.repeat(F.lit(FILL), F.greatest(F.char_length(p) - F.char_length(said), F.lit(0)))) if keep_length else said
+        return F.when(i % 2 == 0, p).otherwise(padded)
+
+    return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(marked_pieces(text, REFERENCE), piece), "")).otherwise(text)
 
 
 def tag_name(token: Column) -> Column:
     return F.lower(F.regexp_extract(token, r"^</?([A-Za-z][A-Za-z0-9-]*)", 1))
 
 
+BEFORE = r"""(?is)^(</?[a-z][^\s>/]*(?:\s+[^\s=>"'/]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+))?|\s*/)*?\s+"""
+
+
 def attribute(token: Column, name: str) -> Column:
-    """struct<start,text> of an attribute's value inside its tag, null when absent."""
-    prefix = F.regexp_extract(token, r"(?is)^(<[^>]*?\s" + name + r"\s*=\s*[\"']?)", 1)
+    """struct<start,text> of an attribute's value inside its tag, null when absent. Whole attributes are stepped over, so a
+    name inside another attribute's value is not one."""
+    prefix = F.regexp_extract(token, BEFORE + name + r"""\s*=\s*["']?)""", 1)
     rest = F.substring(token, F.char_length(prefix) + 1, F.char_length(token))
     value = F.when(prefix.endswith('"'), F.regexp_extract(rest, '^[^"]*', 0)).when(
         prefix.endswith("'"), F.regexp_extract(rest, "^[^']*", 0)).otherwise(F.regexp_extract(rest, r"^[^\s>]*", 0))
@@ -55,9 +84,10 @@ def attribute(token: Column, name: str) -> Column:
 
 
 def is_hidden(token: Column) -> Column:
-    style = F.coalesce(attribute(token, "style")["text"], F.lit(""))
+    style = F.coalesce(unescape(attribute(token, "style")["text"]), F.lit(""))
     aria = F.lower(F.trim(F.coalesce(attribute(token, "aria-hidden")["text"], F.lit(""))))
-    return tag_name(token).isin(HIDDEN_TAGS) | token.rlike(r"(?i)\shidden(?:[\s=/>])") | (aria == "true") | style.rlike("(?i)" + HIDDEN_STYLE)
+    names = F.regexp_replace(token, r"""=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+)""", "=")  # attribute names without their values
+    return tag_name(token).isin(HIDDEN_TAGS) | names.rlike(r"(?i)\shidden(?:[\s=/>])") | (aria == "true") | style.rlike("(?i)" + HIDDEN_STYLE)
 
 
 def read_attributes(token: Column) -> Column:
@@ -163,6 +193,7 @@ def visible_origin(pieces: Column) -> Column:
 def pages_read(pages: DataFrame, html: str) -> DataFrame:
     """Adds ``_page`` (layers, shown) and ``_pieces`` to a table of pages."""
     df = pages.withColumn("_page", fence(read_page(F.col(html))))
+    df = df.withColumn("_page", fence(F.col("_page").withField("layers", X.clean_layers(F.col("_page.layers")))))
     return df.withColumn("_pieces", fence(marked_pieces(F.col("_page.shown"), GAPS)))
 
 

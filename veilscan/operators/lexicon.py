@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SALTS = 16
 # Fixed values ---------------------------------------------------------------------------------
 SUFFIXES = [  # (ending, letters cut, letters put back, least length)
     ("ies", 3, "y", 0), ("es", 2, "", 0), ("es", 1, "", 0), ("s", 1, "", 0), ("s", 2, "", 0), ("ed", 2, "", 0), ("ed", 1, "", 0),
@@ -45,12 +44,12 @@ def known_words(vocabulary: DataFrame, dictionary: DataFrame) -> DataFrame:
     return vocabulary.join(yes, "word", "left").select("word", F.when(short, F.col("word").isin("a", "i")).otherwise(F.coalesce("english", F.lit(False))).alias("english"))
 
 
-def judged_words(docs: DataFrame, key: str, words: str, dictionary: DataFrame, markers: list[str]) -> DataFrame:
-    """(key, pos, word, english, marker), one row per word."""
+def judged_words(docs: DataFrame, key: str, words: str, dictionary: DataFrame, markers: list[str], salts: int = 16) -> DataFrame:
+    """(key, pos, word, english, marker), one row per word; ``salts`` parts of each word's rows are joined apart."""
     long = docs.select(key, F.posexplode(words).alias("pos", "word"))
     flags = known_words(long.select("word").distinct(), dictionary)
-    salted = flags.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return long.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int")).join(salted, ["word", "_salt"]).drop("_salt") \
+    salted = flags.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return long.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int")).join(salted, ["word", "_salt"]).drop("_salt") \
         .withColumn("marker", F.col("word").isin(markers))
 
 
@@ -64,6 +63,12 @@ def text_measures(judged: DataFrame, key: str) -> DataFrame:
         .withColumn("ratio", F.col("english") / F.col("total"))
 
 
+def measured_texts(docs: DataFrame, key: str, words: str, dictionary: DataFrame, markers: list[str], salts: int = 16) -> DataFrame:
+    """The measures of every text; one without any word reads as English: no words, ratio 1."""
+    found = text_measures(judged_words(docs, key, words, dictionary, markers, salts), key)
+    return docs.select(key).join(found, key, "left").na.fill({"total": 0, "english": 0, "markers": 0, "max_run": 0, "ratio": 1.0})
+
+
 def gate_verdicts(measures: DataFrame, model_p: Column | None = None) -> DataFrame:
     """The three engines' verdicts and the hybrid gate's score."""
     total, markers, run, ratio = (F.col(c) for c in ("total", "markers", "max_run", "ratio"))

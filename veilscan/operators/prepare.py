@@ -47,10 +47,10 @@ def apply_hidden_ranges(items: DataFrame) -> DataFrame:
     origin = F.flatten(F.transform("_gaps", lambda g: F.sequence(g["start"], g["end"] - 1)))
     layers = F.transform("_ranges", lambda r: F.struct(
         r["kind"].alias("kind"), r["start"].alias("start"), r["end"].alias("end"),
-        X.collapse_space(X.strip_invisible(cut_out(F.col("content"), r["start"], r["end"]))).alias("text"),
+        cut_out(F.col("content"), r["start"], r["end"]).alias("text"),
         F.lit(1).alias("depth"), F.lit(True).alias("hidden")))
     return out.withColumn("base", base).withColumn("base_origin", origin).withColumn(
-        "hidden_layers", F.filter(layers, lambda x: X.worth_reading(x["text"])).cast(LAYER_ARRAY)).drop("_gaps", "_ranges")
+        "hidden_layers", X.clean_layers(fence(layers.cast(LAYER_ARRAY)))).drop("_gaps", "_ranges")
 
 
 def choose_front_end(items: DataFrame) -> DataFrame:

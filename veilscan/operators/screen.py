@@ -17,7 +17,7 @@ from veilscan.functions.spans import cut_out, fence, let, touches
 from veilscan.operators import cutting as C
 from veilscan.operators import evidence as E
 from veilscan.operators.language import language_gate
-from veilscan.operators.prepare import add_view, prepare, rule_hits, visible_hits
+from veilscan.operators.prepare import add_view, choose_front_end, move_ranges, prepare, rule_hits, visible_hits
 from veilscan.operators.scoring import score_items, score_windows
 from veilscan.settings import CUT_ARRAY, MAX_WIDEN, OUTSIDE_TYPE, Options, empty
 
@@ -105,7 +105,7 @@ def decide(df: DataFrame, opts: Options = Options()) -> DataFrame:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Writes the rows to the checkpoint folder the session names, so later rounds do not recompute them."""
     context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
+    if context.getCheckpointDir() is None:
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if folder is None:
             if not context.master.startswith("local"):
@@ -118,12 +118,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def recheck(df: DataFrame, scorers: list[Scorer], opts: Options = Options()) -> DataFrame:
     """Adds ``cleaned`` and ``left``: what the rules and scorers still find in the kept text of cut items.
 
-    Strong visible hits and groups two scorers agree on, moved to original positions.
+    The kept text goes through the item's own front end again, a page as a page and hidden ranges moved to their new
+    places, so what nobody sees is not read as prose. Strong visible hits and groups two scorers agree on, moved to
+    original positions.
     """
     df = df.withColumn("cleaned", C.apply_cuts(F.col("content"), F.col("cuts")))
-    packed = df.select(F.struct(*df.columns).alias("_row"), "item_id", "source", F.col("cleaned.detect").alias("content"))
-    based = packed.withColumn("base", F.col("content")).withColumn("base_origin", F.lit(None).cast("array<int>"))
-    seen = score_windows(visible_hits(add_view(based)), scorers, opts.threshold)
+    own = [F.col("format")] if "format" in df.columns else []
+    if "hidden" in df.columns:
+        moved = move_ranges(F.coalesce("hidden", F.array().cast(df.schema["hidden"].dataType)), F.col("cleaned.segments"))
+        own.append(moved.cast(df.schema["hidden"].dataType).alias("hidden"))
+    packed = df.select(F.struct(*df.columns).alias("_row"), "item_id", "source", F.col("cleaned.detect").alias("content"), *own)
+    seen = score_windows(visible_hits(add_view(choose_front_end(packed))), scorers, opts.threshold)
     segments = F.col("_row.cleaned.segments")
     strong = F.filter("hits", lambda h: (h["strength"] == STRONG) & h["layer"].isNull())
     agreed = F.filter("groups", lambda g: F.size(g["flagged_by"]) >= 2)

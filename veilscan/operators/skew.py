@@ -25,16 +25,16 @@ def arithmetic_shuffle(col: str, a: int = 7919, b: int = 104729, m: int = 1_000_
 
 
 def number_rows(df: DataFrame, keys: list[str], order: str, ties: list[str], out: str = "rn",
-                bucket: Column | None = None) -> DataFrame:
+                bucket: Column | None = None, buckets: int = BUCKETS) -> DataFrame:
     """Exact 1-based row number per group by an integer order column, then the tie columns.
 
     ``bucket`` must not decrease as ``order`` grows; by default the order column's value range over
-    the whole table is cut into equal parts.
+    the whole table is cut into ``buckets`` equal parts.
     """
     if bucket is None:
         ends = df.agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"))
         df = df.crossJoin(F.broadcast(ends))  # one row of two numbers
-        width = F.greatest(F.col("_hi") - F.col("_lo") + 1, F.lit(1)).cast("double") / BUCKETS
+        width = F.greatest(F.col("_hi") - F.col("_lo") + 1, F.lit(1)).cast("double") / buckets
         bucket = F.when(F.col(order).isNull(), F.lit(-1)).otherwise(
             F.floor((F.col(order) - F.col("_lo")).cast("double") / width).cast("int"))
     df = df.withColumn("_bucket", bucket)
@@ -55,7 +55,7 @@ def number_rows(df: DataFrame, keys: list[str], order: str, ties: list[str], out
     return joined.select(*keep, (F.col("_fine") + F.col("_offset")).cast("bigint").alias(out))
 
 
-def value_at_rank(df: DataFrame, keys: list[str], value: str, rank: Column, out: str) -> DataFrame:
+def value_at_rank(df: DataFrame, keys: list[str], value: str, rank: Column, out: str, buckets: int = BUCKETS) -> DataFrame:
     """The value at a 1-based rank per group; ``rank`` is a column expression over the group size ``n``.
 
     Values are counted first (map-side), so one row per distinct value is shuffled. Distinct values
@@ -63,7 +63,7 @@ def value_at_rank(df: DataFrame, keys: list[str], value: str, rank: Column, out:
     """
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
     ends = counts.agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    width = F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1)).cast("double") / BUCKETS
+    width = F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1)).cast("double") / buckets
     placed = counts.crossJoin(F.broadcast(ends)).withColumn(
         "_b", F.floor((F.col(value) - F.col("_lo")).cast("double") / width).cast("int")).drop("_lo", "_hi")
     per_bucket = placed.groupBy(*keys, "_b").agg(F.sum("_c").alias("_bc"))

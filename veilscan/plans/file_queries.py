@@ -90,7 +90,7 @@ def distinct_headers(spark, sf):
 def measures(spark, sf):
     docs = texts(spark, sf, "documents").select("doc_id", X.gate_words(F.concat("text", F.when(F.col("doc_id") % 10 == 0, " bhejo turant").otherwise(""))).alias("words"))
     words = table(spark, sf, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word")).filter(F.char_length("word") >= 2)
-    return X.text_measures(X.judged_words(docs, "doc_id", "words", words, INDIC_MARKERS), "doc_id")
+    return X.measured_texts(docs, "doc_id", "words", words, INDIC_MARKERS)
 
 
 STEM_SQL = ", ".join(f"CASE WHEN word LIKE '%{e}' AND length(word) >= {n} THEN left(word, length(word) - {c}) || '{b}' END" for e, c, b, n in X.SUFFIXES)

@@ -156,14 +156,11 @@ def search_contacts(spark, sf):
 
 @query("latest_invoices", """
 SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn,
-  CASE WHEN regexp_full_match(CASE WHEN o_custkey % 2 = 0 THEN '2' ELSE 'all' END, '\\d+') THEN 2 ELSE 3 END AS n FROM orders) WHERE rn <= n""")
+  CASE o_custkey % 3 WHEN 0 THEN 2 WHEN 1 THEN 5 ELSE 3 END AS n FROM orders) WHERE rn <= n""")
 def latest_invoices(spark, sf):
-    asked = F.when(F.col("o_custkey") % 2 == 0, "2").otherwise("all")
-    count = F.coalesce(F.expr("try_cast(_asked AS INT)"), F.lit(3))
-    w = Window.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey"))
-    d = table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderdate").withColumn("_asked", asked)
-    ranked = d.withColumn("rn", F.row_number().over(w)).filter("rn <= 3")  # bounds what each task keeps before the sort
-    return ranked.filter(F.col("rn") <= count).select("o_custkey", "o_orderkey")
+    k = F.col("o_custkey") % 3
+    asked = F.when(k == 0, "2").when(k == 1, "5").otherwise("all")
+    return G.latest_invoices(table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderdate"), "o_custkey", "o_orderkey", "o_orderdate", asked)
 
 
 @query("guard_audit", "SELECT call_id, tool, decision AS verdict, types, reason FROM decisions WHERE kind IS NOT NULL", ["decisions"])

@@ -70,7 +70,8 @@ def stage_events(spark, sf):
 
 
 @query("conversation_threads", """
-SELECT conv_id, turn // 50 AS block, count(*) AS messages, md5(string_agg(text, chr(10) ORDER BY turn)) AS content_md5 FROM conversations GROUP BY ALL""")
+SELECT conv_id, block, count(*) AS messages, md5(string_agg(text, chr(10) ORDER BY turn)) AS content_md5 FROM (
+  SELECT *, unnest(range(greatest(CAST(floor((turn - 50) / 40.0) AS BIGINT) + 1, 0), CAST(floor(turn / 40.0) AS BIGINT) + 1)) AS block FROM conversations) GROUP BY conv_id, block""")
 def conversation_threads(spark, sf):
     return S.conversation_threads(table(spark, sf, "conversations")).select("conv_id", "block", "messages", F.md5("content").alias("content_md5"))
 

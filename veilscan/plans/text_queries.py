@@ -211,9 +211,9 @@ def hidden_comments(spark, sf):
 
 
 # Language -----------------------------------------------------------------------------------------------
-@query("lang_words", "SELECT doc_id, len(list_filter(string_split_regex(regexp_replace(regexp_replace(text, '<[^>]{0,400}>|&[a-zA-Z]{2,8};|&#\\d{1,5};', ' ', 'g'), '\\S+@\\S+|https?://\\S+|www\\.\\S+|\\S*\\d\\S*', ' ', 'g'), '[^\\p{L}'']+'), lambda w: regexp_matches(w, '\\p{L}'))) AS words FROM documents WHERE NOT contains(text, '''')")
+@query("lang_words", "SELECT doc_id, len(regexp_extract_all(lower(regexp_replace(regexp_replace(text, '<[^>]{0,400}>|&[a-zA-Z]{2,8};|&#\\d{1,5};', ' ', 'g'), '\\S+@\\S+|https?://\\S+|www\\.\\S+|\\S*\\d\\S*', ' ', 'g')), '\\p{L}+(?:''\\p{L}+)?')) AS words FROM documents")
 def lang_words(spark, sf):
-    return texts(spark, sf, "documents").filter(~F.contains("text", F.lit("'"))).select("doc_id", F.size(L.lang_words(F.col("text"))).alias("words"))
+    return texts(spark, sf, "documents").select("doc_id", F.size(L.lang_words(F.col("text"))).alias("words"))
 
 
 MARK = "[" + ", ".join(lit(m) for m in L.INDIC_MARKERS) + "]"

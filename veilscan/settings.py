@@ -31,6 +31,8 @@ class Options:
     min_words: int = 6  # shorter lines are not judged for language on their own
     hidden_strong: bool = False  # treat any signal on concealed text as strong
     always: bool = False  # consult judge and sandbox evidence on clean items too
+    secret: str = ""  # mixed into check codes and fences: set one per run that no content can know
+    max_reason: int = 500  # characters of a judge's reason that are kept
     lone_scorer: str = "scorer_b"  # the scorer whose lone flag already means medium confidence
 
 

@@ -39,18 +39,13 @@ N_ATTACK = 14
 HEAD = "From: desk@a.example\nSubject: Weekly update\n\n"
 
 
-SPREAD_BYTES = 64 * 1024 * 1024
-
-
 def spread(df: DataFrame) -> DataFrame:
-    """Gives a small table one partition per core; a large one is left as its files split it.
+    """The table as its files split it, or over as many partitions as the caller's ``spark.veilscan.textPartitions`` says.
 
-    Text work is CPU-bound, and a small file with a single row group would run in one task. The size
-    checked is the scan's own estimate, so a large table is never shuffled here.
+    Text work is CPU-bound, and a small file of one row group is one task; whoever runs small files sets the number.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return df.repartition(cores) if int(str(size)) < SPREAD_BYTES * cores else df
+    parts = df.sparkSession.conf.get("spark.veilscan.textPartitions", None)
+    return df.repartition(int(parts)) if parts else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

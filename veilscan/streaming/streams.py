@@ -80,24 +80,32 @@ def latest_stage_stream(events: DataFrame) -> DataFrame:
     return done.select("check_id", F.size("done").alias("finished"), F.get(waiting, F.lit(0)).alias("running"), "at_ms")
 
 
-BLOCK_TURNS = 50
+def turn_blocks(turn: Column, block: int, overlap: int) -> Column:
+    """The blocks a turn belongs to: each starts ``overlap`` turns before the last one ends, so words split over a cut are
+    also read together in the block that spans it."""
+    step = block - overlap
+    first = F.greatest(F.floor((turn - block) / step) + 1, F.lit(0).cast("bigint"))
+    return F.sequence(first, F.floor(turn / step))
 
 
-def conversation_threads(turns: DataFrame, block: int = BLOCK_TURNS) -> DataFrame:
-    """Messages of a conversation joined in order, in blocks of turns, so split instructions are read together.
+def _joined(per: DataFrame, *keys) -> DataFrame:
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"])
+    return per.groupBy(*keys).agg(F.count("*").alias("messages"), F.array_join(texts, "\n").alias("content"))
+
+
+def conversation_threads(turns: DataFrame, block: int = 50, overlap: int = 10) -> DataFrame:
+    """Messages of a conversation joined in order, in overlapping blocks of turns, so split instructions are read together.
 
     A conversation of any length is many blocks: no block, and so no task, holds more than ``block`` messages.
     """
-    per = turns.withColumn("block", F.floor(F.col("turn") / block))
-    return per.groupBy("conv_id", "block").agg(F.count("*").alias("messages"), F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n").alias("content"))
+    return _joined(turns.withColumn("block", F.explode(turn_blocks(F.col("turn"), block, overlap))), "conv_id", "block")
 
 
-def conversation_sessions(turns: DataFrame, ts: str = "ts", gap: str = "30 minutes", delay: str = "10 minutes", block: int = BLOCK_TURNS) -> DataFrame:
-    """The streaming form: one text per conversation, session and block of turns."""
-    per = turns.withWatermark(ts, delay).withColumn("block", F.floor(F.col("turn") / block))
-    return per.groupBy("conv_id", "block", F.session_window(ts, gap).alias("session")).agg(
-        F.count("*").alias("messages"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n").alias("content"))
+def conversation_sessions(turns: DataFrame, ts: str = "ts", gap: str = "30 minutes", delay: str = "10 minutes", block: int = 50, overlap: int = 10) -> DataFrame:
+    """The streaming form: one text per conversation, session and block of turns. Append mode gives a session out once the
+    watermark has passed it; sessions still open when the input ends stay in the state."""
+    per = turns.withWatermark(ts, delay).withColumn("block", F.explode(turn_blocks(F.col("turn"), block, overlap)))
+    return _joined(per, "conv_id", "block", F.session_window(ts, gap).alias("session"))
 
 
 def run_to_folder(stream: DataFrame, name: str) -> DataFrame:
