@@ -40,8 +40,8 @@ def test_guard(spark):
         (5, "make_payment", {"recipient": ["Shop"]}, "pay Shop", ["Shop"], [], []),
     ]
     r = {x.call_id: x for x in G.guard_decisions(spark.createDataFrame(calls, schema)).collect()}
-    assert (r[0].decision, r[0].reason, r[0].needs_review) == ("allow", "reads only", False)
-    assert r[1].decision == "block" and "evil@x.example came from outside content" in r[1].reason
+    assert (r[0].decision, r[0].reason, r[0].needs_review) == ("allow", "no outgoing action", False)
+    assert r[1].decision == "block" and "evil@x.example has origin: outside content" in r[1].reason
     assert r[2].decision == "block" and r[2].types == ["tool_abuse"]
     assert (r[3].decision, r[3].needs_review) == ("allow", False)
     assert r[4].types == ["secret_extraction", "credential_theft"] and r[4].needs_review

@@ -41,8 +41,9 @@ def with_evidence(triaged: DataFrame, judgements: DataFrame | None = None, sandb
         if table is None:
             df = df.withColumn(name, F.lit(None).cast(kind))
             continue
-        flagged = df.filter(wanted).join(table.select(key, name), key, "left")
-        df = flagged.unionByName(df.filter(~wanted).withColumn(name, F.lit(None).cast(kind)))
+        # One join, so detection is planned once; clean items have another second key, so they match nothing and stay spread.
+        asked = df.withColumn("_asked", F.when(wanted, 1).otherwise(0))
+        df = asked.join(table.select(key, name).withColumn("_asked", F.lit(1)), [key, "_asked"], "left").drop("_asked")
     return df.withColumn("judge_configured", F.lit(judgements is not None))
 
 

@@ -52,18 +52,18 @@ FOUND = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(vals, {lit(p)}) T
 part("facts", f"""
 SELECT *, CASE kind {ASKED} END AS asked, contains(vals, 'WREN-77') AS canary, {FOUND} AS found,
   CASE WHEN contains(lower(user_request || chr(10) || contacts), lower(target)) THEN 'user' WHEN contains(lower(untrusted), lower(target)) THEN 'outside content'
-       ELSE 'nowhere the user gave it' END AS origin, contains(lower(contacts), lower(target)) AS known
+       ELSE 'unknown' END AS origin, contains(lower(contacts), lower(target)) AS known
 FROM (SELECT *, CASE tool {KINDS} END AS kind, target || ' ' || body AS vals FROM calls)""", ["calls"])
 part("decisions", """
 SELECT *, CASE WHEN kind IS NOT NULL AND reasons <> '' THEN 'block' ELSE 'allow' END AS decision,
-  CASE WHEN kind IS NULL THEN 'reads only' WHEN reasons = '' THEN 'every check passed' ELSE reasons END AS reason,
+  CASE WHEN kind IS NULL THEN 'no outgoing action' WHEN reasons = '' THEN 'no objection' ELSE reasons END AS reason,
   CASE WHEN kind IS NULL THEN '' ELSE concat_ws(',', CASE WHEN canary THEN 'secret_extraction' END, CASE WHEN len(found) > 0 THEN 'credential_theft' END,
     CASE WHEN origin <> 'user' OR NOT asked THEN 'tool_abuse' END) END AS types,
   kind IS NOT NULL AND (reasons <> '' OR kind IN ('pay', 'delete', 'run') OR NOT known) AS needs_review
-FROM (SELECT *, concat_ws('; ', CASE WHEN canary THEN 'the agent''s own confidential instructions are in the outgoing data' END,
-    CASE WHEN len(found) > 0 THEN array_to_string(found, ' and ') || ' would leave in the outgoing data' END,
-    CASE WHEN origin <> 'user' THEN target || ' came from ' || origin || ', not from the user' END,
-    CASE WHEN NOT asked THEN 'the user did not ask to ' || kind END) AS reasons FROM facts)""", ["facts"])
+FROM (SELECT *, concat_ws('; ', CASE WHEN canary THEN 'an internal marker of the agent is in what would be sent' END,
+    CASE WHEN len(found) > 0 THEN array_to_string(found, ' and ') || ' in what would be sent' END,
+    CASE WHEN origin <> 'user' THEN target || ' has origin: ' || origin  END,
+    CASE WHEN NOT asked THEN 'no request to ' || kind END) AS reasons FROM facts)""", ["facts"])
 
 
 @query("action_kind", "SELECT call_id, tool, kind FROM facts", ["facts"])
