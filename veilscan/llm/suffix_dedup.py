@@ -30,15 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilscan.llm.common import text_or_empty, written
+from veilscan.llm.common import filter_words, split_by_filter, text_or_empty, written
 
 #: Bytes of an anchor's seed; bytes scanned at once (positions take the low bits of a packed key).
 SEED, STRETCH_BITS = 40, 20
 STRETCH = 1 << STRETCH_BITS
 #: Suffix bytes merged by one task, about.
 RANGE_BYTES = 8 << 20
-#: Bits of the fixed-size filter that keeps texts without candidates out of joins: 2**22 bits are 512 KB.
-FILTER_BITS = 22
 BASE_A, BASE_B = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 MIX = np.uint64(0xFF51AFD7ED558CCD)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -143,20 +141,6 @@ def list_anchors(docs: DataFrame, length: int) -> DataFrame:
     return docs.select("k1", "k2", "text").mapInArrow(run, "seed bigint, whole bigint, k1 bigint, k2 bigint, place bigint")
 
 
-def filter_words(keys: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
-    """A one-hash Bloom filter as a table (slot, word) of at most 2**(bits - 6) rows, whatever the number of keys."""
-    return keys.select(F.shiftright(F.col("k1").bitwiseAND(F.lit((1 << bits) - 1)), 6).alias("slot"),
-                       F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("k1").bitwiseAND(F.lit(63)).cast("int")).alias("bit")) \
-        .groupBy("slot").agg(F.bit_or("bit").alias("word"))
-
-
-def maybe_in(docs: DataFrame, words: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
-    """Rows whose k1 may be among the filter's keys: all that are, and few others while the filter is not crowded."""
-    slot = F.shiftright(F.col("k1").bitwiseAND(F.lit((1 << bits) - 1)), 6)
-    hit = F.call_function("shiftright", F.col("word"), F.col("k1").bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
-    return docs.withColumn("slot", slot).join(F.broadcast(words), "slot").where(hit).drop("slot", "word")  # at most 1 MB
-
-
 def common(a: bytes, b: bytes, h: int) -> int:
     """Length of the common prefix, known to be h at least."""
     lo, hi = h, min(len(a), len(b))
@@ -366,7 +350,8 @@ def covered_stretches(docs: DataFrame, length: int) -> DataFrame:
         .union(repeated.select("k1", "k2", lo.alias("lo"), hi.alias("hi")))
     lists = written(whole.groupBy("k1", "k2").agg(F.collect_list(F.struct("place", "copies")).alias("s"))
                     .select("k1", "k2", F.col("s.place").alias("places"), F.col("s.copies").alias("copies")), "places")
-    texts = maybe_in(docs, filter_words(lists)).join(lists, ["k1", "k2"]).dropDuplicates(["k1", "k2"])
+    near, _ = split_by_filter(docs, filter_words(lists, "k1"), "k1")
+    texts = near.join(lists, ["k1", "k2"]).dropDuplicates(["k1", "k2"])
     content = written(cut_content(texts.select("k1", "k2", "text", "places", "copies"), length), "content")
     size = content.agg(F.sum(F.octet_length("suffix") + F.octet_length("before"))).first()[0] or 0
     parts = max(1, -(-size // RANGE_BYTES))
@@ -401,11 +386,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, carry: tuple[str, ...] =
     covered = covered_stretches(keyed, length)
     spans = written(covered.groupBy("k1", "k2").agg(F.collect_set(F.struct("lo", "hi")).alias("s"))
                     .select("k1", "k2", F.col("s.lo").alias("lo"), F.col("s.hi").alias("hi")), "spans")
-    words = written(filter_words(spans), "filter")
-    hit = maybe_in(keyed, words)
-    slot = F.shiftright(F.col("k1").bitwiseAND(F.lit((1 << FILTER_BITS) - 1)), 6)
-    bit = F.call_function("shiftright", F.col("word"), F.col("k1").bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1))
-    clear = keyed.withColumn("slot", slot).join(F.broadcast(words), "slot", "left").where((F.coalesce(bit, F.lit(0)) == 0))
+    hit, clear = split_by_filter(keyed, written(filter_words(spans, "k1"), "filter"), "k1")
     touched = hit.join(spans, ["k1", "k2"], "left").select(*carry, "text", "lo", "hi")
     n = len(carry)
     schema = docs.select(*carry).schema

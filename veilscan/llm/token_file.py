@@ -120,7 +120,7 @@ def tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, doc_id: str = "doc_
     import zstandard
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, pack = encoder(tokenizer), zstandard.ZstdCompressor(level=1)
+        enc, pack = encoder(tokenizer), zstandard.ZstdCompressor(level=3)
         seen = np.zeros(enc.tokenizer.get_vocab_size() + 1, np.int64)
         end = np.array([end_id], enc.kind).tobytes()
         names = ["doc_id", "h", "n", "ids", "counts"]
@@ -323,7 +323,7 @@ def decode(spark: SparkSession, where: FileSet, what: str, fields: dict[str, pa.
                     raise ValueError(f"block {r['block']} of shard {r['shard']} does not match its checksum")
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(each(r, found), fields.values())], names=list(fields))
 
-    return blocks.join(offsets, "shard").mapInArrow(run, what)
+    return blocks.join(F.broadcast(offsets), "shard").mapInArrow(run, what)  # a row per shard: as many as the sort had partitions
 
 
 def read_ids(spark: SparkSession, where: FileSet) -> DataFrame:

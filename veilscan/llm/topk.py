@@ -14,7 +14,6 @@ long, and a score beyond it, is held at its end; an empty table gives no rows; o
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
