@@ -306,9 +306,9 @@ ESC = "replace(replace(replace(replace(replace(plant, '&', '&amp;'), '<', '&lt;'
 
 @query("hide_in_html", f"""
 SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN '<!-- ' || plant || ' -->' WHEN 1 THEN '<div style="display:none">' || {ESC} || '</div>' WHEN 2 THEN '<span aria-hidden="true" hidden>' || {ESC} || '</span>'
-  WHEN 3 THEN '<img src="figure.png" alt="' || {ESC} || '">' WHEN 4 THEN '<p style="color:#ffffff">' || {ESC} || '</p>' ELSE '<div style="position:absolute; left:-9999px">' || {ESC} || '</div>' END AS html FROM planted WHERE plant IS NOT NULL""", ["planted"])
+  WHEN 3 THEN '<img src="figure.png" alt="' || {ESC} || '">' WHEN 4 THEN '<p style="color:#ffffff">' || {ESC} || '</p>' ELSE '<div style="position:absolute; left:-9999px">' || {ESC} || '</div>' END AS html FROM (SELECT doc_id, coalesce(plant, '') AS plant FROM planted)""", ["planted"])
 def hide_in_html(spark, sf):
-    return planted(spark, sf).filter("plant IS NOT NULL").select("doc_id", B.hide_in_html(F.col("plant"), pick(B.HTML_TECHNIQUES, F.col("doc_id") % 6)).alias("html"))
+    return planted(spark, sf).na.fill({"plant": ""}).select("doc_id", B.hide_in_html(F.col("plant"), pick(B.HTML_TECHNIQUES, F.col("doc_id") % 6)).alias("html"))
 
 
 @query("payload_gone", f"""

@@ -260,11 +260,11 @@ def parse_judge_replies(spark, sf):
 
 
 @query("find_quote", """
-SELECT doc_id, strpos(text, plant) - 1 AS quote_start, strpos(text, plant) - 1 + length(plant) AS quote_end FROM planted WHERE plant IS NOT NULL""", ["planted"])
+SELECT doc_id, strpos(text, plant) - 1 AS quote_start, strpos(text, plant) - 1 + length(plant) AS quote_end FROM planted""", ["planted"])
 def find_quote(spark, sf):
-    d = planted(spark, sf).filter("plant IS NOT NULL")
+    d = planted(spark, sf)
     odd = F.lower(F.replace("plant", F.lit(" "), F.lit(" \n ")))
-    q = E.find_quote(F.col("text"), F.when(F.col("doc_id") % 2 == 0, F.col("plant")).otherwise(odd))
+    q = E.find_quote(F.col("text"), F.when(F.col("plant").isNull(), "words that no text here has").when(F.col("doc_id") % 2 == 0, F.col("plant")).otherwise(odd))
     return d.withColumn("q", q).select("doc_id", F.col("q.start").alias("quote_start"), F.col("q.end").alias("quote_end"))
 
 

@@ -221,12 +221,12 @@ def mail_lines(spark, sf):
 
 
 @query("drop_mail_metadata", """
-SELECT u.doc_id, u.unit_no, CASE WHEN starts_with(u.text, 'From:') THEN 'Weekly update' END AS payload FROM units u WHERE u.source = 'email' AND starts_with(u.text, 'From:')""", ["units"])
+SELECT u.doc_id, u.unit_no, CASE WHEN starts_with(u.text, 'From:') THEN 'Weekly update' WHEN regexp_matches(u.text, '\\p{L}') THEN u.text END AS payload FROM units u WHERE u.source = 'email'""", ["units"])
 def drop_mail_metadata(spark, sf):
     from veilscan.functions.spans import unfold
 
     d = mail_lines(spark, sf).transform(unfold, ["doc_id"], "lines")
-    return d.filter(F.col("text").startswith("From:")).select("doc_id", "unit_no", "payload")
+    return d.select("doc_id", "unit_no", "payload")
 
 
 @query("rejoin_wrapped")

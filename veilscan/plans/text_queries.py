@@ -56,28 +56,28 @@ def fold_confusables(spark, sf):
     return d.select("doc_id", F.md5(X.fold_confusables(F.col("t"))).alias("text_md5"))
 
 
-@query("decode_unicode_tags")
+@query("decode_unicode_tags", "SELECT doc_id, TRUE AS same, CAST(length(text) AS BIGINT) AS start, CAST(length(text) + length(plant) AS BIGINT) AS \"end\" FROM planted WHERE plant IS NOT NULL", P_)
 def decode_unicode_tags(spark, sf):
-    d = planted(spark, sf).filter("plant IS NOT NULL")
+    d = planted(spark, sf).na.fill({"plant": ""})
     tags = F.array_join(F.transform(F.split("plant", ""), lambda c: F.decode(F.unhex(F.concat(F.lit("F3A0"), F.when(F.ascii(c) < 64, F.concat(
         F.lit("80"), F.lpad(F.hex(F.ascii(c) + 128), 2, "0"))).otherwise(F.concat(F.lit("81"), F.lpad(F.hex(F.ascii(c) + 64), 2, "0"))))), "UTF-8")), "")
     hidden = F.concat("text", tags)
     return d.transform(unfold, ["doc_id", "plant"], X.decode_unicode_tags(hidden)).select("doc_id", (F.col("text") == F.col("plant")).alias("same"), "start", "end")
 
 
-@query("looks_like_text", "SELECT doc_id, length(trim(plant)) >= 4 AND contains(trim(plant), ' ') AS readable FROM planted WHERE plant IS NOT NULL", P_)
+@query("looks_like_text", "SELECT doc_id, length(trim(coalesce(plant, ''))) >= 4 AND contains(trim(coalesce(plant, '')), ' ') AS readable FROM planted", P_)
 def looks_like_text(spark, sf):
-    return planted(spark, sf).filter("plant IS NOT NULL").select("doc_id", X.looks_like_text(F.col("plant")).alias("readable"))
+    return planted(spark, sf).na.fill({"plant": ""}).select("doc_id", X.looks_like_text(F.col("plant")).alias("readable"))
 
 
-@query("decode_variation_selectors")
+@query("decode_variation_selectors", "SELECT doc_id, TRUE AS same, CAST(length(text) AS BIGINT) AS start, CAST(length(text) + length(plant) AS BIGINT) AS \"end\" FROM planted WHERE plant IS NOT NULL", P_)
 def decode_variation_selectors(spark, sf):
-    d = planted(spark, sf).filter("plant IS NOT NULL")
+    d = planted(spark, sf).na.fill({"plant": ""})
     def sel(c):  # bytes 16–255 are carried by the plane-14 selectors
         n = F.ascii(c) - 16
         return F.decode(F.unhex(F.concat(F.lit("F3A0"), F.when(n < 64, F.concat(F.lit("84"), F.lpad(F.hex(n + 128), 2, "0"))).otherwise(
             F.concat(F.lit("85"), F.lpad(F.hex(n + 64), 2, "0"))))), "UTF-8")
-    hidden = F.concat("text", F.array_join(F.transform(F.split("plant", ""), sel), ""))
+    hidden = F.concat("text", F.when(F.col("plant") == "", "").otherwise(F.array_join(F.transform(F.split("plant", ""), sel), "")))
     return d.transform(unfold, ["doc_id", "plant"], X.decode_variation_selectors(hidden)).select("doc_id", (F.col("text") == F.col("plant")).alias("same"), "start", "end")
 
 
@@ -88,7 +88,7 @@ def join_spaced_letters(spark, sf):
 
 
 def encoded(spark, sf):
-    d = planted(spark, sf).filter("plant IS NOT NULL")
+    d = planted(spark, sf).na.fill({"plant": ""})
     return d.select("doc_id", F.col("plant"), F.concat("text", F.lit("\n"), F.when(F.col("doc_id") % 3 == 0, F.regexp_replace(F.base64(F.col("plant").cast("binary")), r"\s", "")).when(
         F.col("doc_id") % 3 == 1, F.hex(F.col("plant").cast("binary"))).otherwise(F.lit("-"))).alias("text"))
 
