@@ -33,7 +33,7 @@ from veilscan.llm.common import new_path, text_or_empty, written
 SCALE, LANES, BLOCK = 20, 1024, 1 << 18
 LOW = np.uint64(1 << 31)
 #: Pieces of text whose ids a task remembers.
-REMEMBERED = 600_000
+REMEMBERED = 800_000
 _SIGNS = ".,;:!?%$&*#"
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 #: A piece whose ids stay the same when others like it stand beside it.
@@ -64,10 +64,10 @@ class Encoder:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def pieces(self, text: str) -> list[str]:
-        words, gaps = text.split(), text.count(" ") + text.count("\n")
-        if len(words) != gaps + 1 or sum(map(len, words)) + gaps != len(text) or "\0" in text:  # runs or other kinds of white space
-            return _CUT.split(text)
-        return text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
+        flat = text.replace("\n", " ")
+        if flat.isprintable() and "  " not in flat and flat[:1] != " " and flat[-1:] != " ":
+            return text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
+        return _CUT.split(text)  # runs or other kinds of white space, or characters that are not printed
 
     def learn(self, new: list[str]) -> dict[str, bytes]:
         """Encodes pieces in one go: joined, they are cut again at the same places, so their ids follow one another; the
@@ -79,34 +79,35 @@ class Encoder:
         return {p: raw[i:j] for p, i, j in zip(new, [0, *stops.tolist()], stops.tolist())}
 
     def found(self, pieces: set[str]) -> dict[str, bytes]:
-        """The ids of each piece. Signs at the end of a piece that follow a letter are a pre-token of their own, so stems and
-        endings are what is remembered; once enough are, others are encoded where they occur."""
+        """The ids of pieces not remembered. Signs at the end of a piece that follow a letter are a pre-token of their own, so
+        stems and endings are encoded; once enough is remembered, the rest is encoded where it occurs."""
         known, out, cut, wanted = self.known, {}, {}, set()
         for p in pieces:
-            if p in known:
-                out[p] = known[p]
-            elif (stem := p.rstrip(_SIGNS)) != p and stem[-1:].isalpha():
+            if (stem := p.rstrip(_SIGNS)) != p and stem[-1:].isalpha():
                 cut[p] = stem, p[len(stem):]
                 wanted.update(x for x in cut[p] if x not in known)
             else:
                 wanted.add(p)
         apart = [p for p in wanted if not _JOINT(p)]
         joint = list(wanted.difference(apart))
-        new = dict(zip(apart, self.whole(apart)))
+        out.update(zip(apart, self.whole(apart)))
         for at in range(0, len(joint), 4096):
-            new |= self.learn(joint[at:at + 4096])
-        out |= new
+            out |= self.learn(joint[at:at + 4096])
         for p, (stem, signs) in cut.items():
-            out[p] = (new.get(stem) or known[stem]) + (new.get(signs) or known[signs])
+            out[p] = (out.get(stem) or known[stem]) + (out.get(signs) or known[signs])
         if len(known) < REMEMBERED:
-            known.update(new)
+            known.update(out)
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         special = [any(a in t for a in self.added) for t in texts]
         pieces = [[] if s else self.pieces(t) for t, s in zip(texts, special)]
-        ids = self.found(set(itertools.chain.from_iterable(pieces))).__getitem__
-        return [self.whole([t])[0] if s else b"".join(map(ids, p)) for t, s, p in zip(texts, special, pieces)]
+        ids = [list(map(self.known.get, p)) for p in pieces]
+        lacking = [k for k, x in enumerate(ids) if None in x]
+        new = self.found({p for k in lacking for p, x in zip(pieces[k], ids[k]) if x is None}) if lacking else {}
+        for k in lacking:
+            ids[k] = [new[p] if x is None else x for p, x in zip(pieces[k], ids[k])]
+        return [self.whole([t])[0] if s else b"".join(x) for t, s, x in zip(texts, special, ids)]
 
 
 def encoder(path: str) -> Encoder:
@@ -125,8 +126,8 @@ def tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, doc_id: str = "doc_
         end = np.array([end_id], enc.kind).tobytes()
         names = ["doc_id", "h", "n", "ids", "counts"]
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                piece = batch.slice(at, 2048)
+            for at in range(0, batch.num_rows, 128):
+                piece = batch.slice(at, 128)
                 found = [x + end for x in enc.encode(piece.column(2).to_pylist())]
                 seen += np.bincount(np.frombuffer(b"".join(found), enc.kind), minlength=len(seen))
                 n = pa.array([len(x) // enc.kind.itemsize for x in found], pa.int64())
