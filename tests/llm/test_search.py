@@ -206,3 +206,19 @@ def test_near_copies_keep_one(spark):
     want = sorted(str(rows[order[k]][0]) for k, r in roots(range(len(rows)), links).items() if r == k)
     assert sorted(str(r.doc_id) for r in kept.collect()) == want
     assert simhash.drop_near_copies(docs.limit(0)).count() == 0
+
+
+def test_near_copies_of_a_template_meet(spark):
+    """Texts of one template look alike to the fingerprints; only the two of a pair share 0.8 of their shingles."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    template, rows = [word() for _ in range(700)], []
+    for _ in range(40):
+        own = [word() for _ in range(60)]
+        for _ in range(2):
+            rows.append((len(rows), " ".join(template + own + [word() for _ in range(82)])))
+    sets = [set(simhash.shingles(simhash.words_of(t), 5)) for _, t in rows]
+    close = [(a, b) for a in range(len(rows)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert sorted(close) == [(2 * k + 1, 2 * k) for k in range(40)]
+    kept = simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(0, 80, 2))

@@ -14,6 +14,7 @@ give repeated rows; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -221,14 +222,101 @@ def verified(edges: DataFrame, texts: DataFrame, n: int, at_least: float) -> Dat
     return edges.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
 
 
+def true_links(edges: DataFrame, rows: DataFrame, points: DataFrame, n: int, at_least: float) -> DataFrame:
+    """The edges (a, b) whose texts pass ``verified``. ``rows`` has _t1, _t2 and _body, ``points`` has id, _t1 and _t2."""
+    ends = written(edges.select(F.col("a").alias("id")).union(edges.select(F.col("b").alias("id"))).distinct().join(points.select("id", "_t1", "_t2"), "id"), "ends")
+    near, _ = split_by_filter(rows.select("_t1", "_t2", F.col("_body").alias("text")), filter_words(ends, "_t1"), "_t1")
+    texts = written(near.join(ends, ["_t1", "_t2"]).select("id", "_t1", "text").dropDuplicates(["id"]).select("id", "text"), "ends")
+    return written(verified(edges, texts, n, at_least), "true-links")
+
+
+def hashed_set(text: str | None, n: int) -> np.ndarray:
+    """The distinct n-word shingles as XXH64 values, signed and in order; a text without words has the one value 0."""
+    parts = set(shingles(words_of(text), n))
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, parts), np.uint64, len(parts)).view(np.int64)) if parts else np.zeros(1, np.int64)
+
+
+def common_shingles(rows: DataFrame, n: int, texts: int, looked_at: int = 20_000, most: int = 65_536) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles held by most of about ``looked_at`` of the ``texts`` texts, and how many hold each. They only set the order in
+    which ``rare_first`` lists shingles; any order finds the same links, with more or less work."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [hashed_set(t.as_py(), n) for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *sets]))], names=["token"])
+
+    share = min(1 << 16, 1 + (looked_at << 16) // max(1, texts))
+    counts = written(rows.where(F.pmod("_t1", F.lit(1 << 16)) < share).dropDuplicates(["_t1", "_t2"]).select("_body").mapInArrow(run, "token bigint")
+                     .groupBy("token").agg(F.count("*").alias("n")).where("n > 2"), "common")
+    least, held = 3, 0
+    for row in sorted(counts.groupBy("n").agg(F.count("*").alias("shingles")).collect(), reverse=True):
+        held += row.shingles
+        if held > most:
+            least = row.n + 1
+            break
+    found = counts.where(F.col("n") >= least).toArrow().sort_by("token")
+    return found["token"].to_numpy(), found["n"].to_numpy()
+
+
+def rare_first(rows: DataFrame, n: int, at_least: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """_t1, _t2, size and tokens: the first of each text's distinct shingles, rare ones first, as many as two sets that share
+    ``at_least`` cannot have without one in common."""
+    known, held = common
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, lists = [], []
+            for t in batch.column(2):
+                x = hashed_set(t.as_py(), n)
+                rank = np.zeros(len(x), np.int64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, x), len(known) - 1)
+                    rank = np.where(known[at] == x, held[at], 0)
+                sizes.append(len(x))
+                lists.append(x[np.lexsort((x, rank))][:len(x) - math.ceil(at_least * len(x) - 1e-9) + 1])
+            ends = np.cumsum([0, *map(len, lists)], dtype=np.int32)
+            tokens = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *lists])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), tokens], names=["_t1", "_t2", "size", "tokens"])
+
+    return rows.select("_t1", "_t2", "_body").mapInArrow(run, "_t1 bigint, _t2 bigint, size int, tokens array<bigint>")
+
+
+def links_between(rows: DataFrame, labelled: DataFrame, texts: int, n: int, at_least: float) -> DataFrame:
+    """Pairs (a, b) of texts in different components, among them every pair that shares ``at_least`` of its shingles.
+
+    Exact prefix filter: two such texts share one of the shingles that ``rare_first`` lists, and what they share there and
+    could share behind the last shared one reaches the overlap asked for. Shingles listed in one component only, nearly
+    all, are gone before texts meet. ``labelled`` is a written table (id, _t1, _t2, component).
+    """
+    lists = rare_first(rows, n, at_least, common_shingles(rows, n, texts)).dropDuplicates(["_t1", "_t2"])
+    listed = written(lists.join(labelled, ["_t1", "_t2"]).select("id", "component", "size", F.posexplode("tokens").alias("at", "token")), "listed")
+    met = written(listed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token"), "met")
+    few, _ = split_by_filter(listed, filter_words(met, "token"), "token")
+    few = written(few.join(met, "token"), "few")
+    one, two = (few.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "component", "size", "at")]) for x in "ab")
+    sizes = (F.col("size_a") >= at_least * F.col("size_b") - 1e-6) & (F.col("size_b") >= at_least * F.col("size_a") - 1e-6)
+    pairs = one.join(two, (one["token"] == two["token"]) & (F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b")) & sizes) \
+        .groupBy(F.col("id_a").alias("a"), F.col("id_b").alias("b"), "size_a", "size_b").agg(F.count("*").alias("shared"), F.max("at_a").alias("at_a"), F.max("at_b").alias("at_b"))
+    most = F.col("shared") + F.least(F.col("size_a") - 1 - F.col("at_a"), F.col("size_b") - 1 - F.col("at_b"))
+    return pairs.where(most >= at_least / (1 + at_least) * (F.col("size_a") + F.col("size_b")) - 1e-6).select("a", "b")
+
+
+def labels_of(points: DataFrame, edges: DataFrame) -> DataFrame:
+    """Written ``points`` with the component of each, its own id where it has no link."""
+    joined = components(edges, points.sparkSession)
+    return written(points.join(joined.select(F.col("node").alias("id"), "component"), "id", "left")
+                   .select("id", "_t1", "_t2", "least", "rows", F.coalesce("component", "id").alias("component")), "placed")
+
+
 def drop_near_copies(docs: DataFrame, n: int = 3, seeds: tuple[int, ...] = (42, 43), radius: int = 32, verify_words: int = 5,
                      at_least: float = 0.8) -> DataFrame:
     """The rows of ``docs`` but for near copies: one row of each group stays, that of the smallest doc_id (nulls last).
 
     Groups are linked by 128-bit fingerprints within ``radius``, wide enough for texts of which ``at_least`` is shared;
     bands of shingle counts keep texts apart whose sizes already rule that out, and every link of the spanning forest is
-    verified by the exact similarity of the two whole texts. Equal texts collapse before anything is compared. Only texts
-    on links, and rows of groups, are shuffled; the rest pass through. Rows equal in doc_id and text are one row.
+    verified by the exact similarity of the two whole texts. What the radius or the forest leaves apart then meets in an
+    exact join between the groups found so far (``links_between``), so no pair of ``at_least`` stays unlinked. Equal texts
+    collapse before anything is compared. Only texts on links, and rows of groups, are shuffled; of the rest a fifth of
+    their shingle hashes is. Rows equal in doc_id and text are one row.
     """
     columns = docs.columns
     rows = keyed(docs.withColumn("_body", text_or_empty()), ["doc_id", "_body"]) \
@@ -241,12 +329,11 @@ def drop_near_copies(docs: DataFrame, n: int = 3, seeds: tuple[int, ...] = (42,
     points = written(points.withColumn("id", F.monotonically_increasing_id()), "texts")
     band = F.floor(F.log(F.greatest(F.col("distinct"), F.lit(1)).cast("double")) / F.log(F.lit(1.01 / at_least)))
     edges = written(link(points.select("id", *cols, band.alias("band")), radius, F.col("band")).select("a", "b").distinct(), "links")
-    ends = written(edges.select(F.col("a").alias("id")).union(edges.select(F.col("b").alias("id"))).distinct().join(points.select("id", "_t1", "_t2"), "id"), "ends")
-    near, _ = split_by_filter(rows.select("_t1", "_t2", F.col("_body").alias("text")), filter_words(ends, "_t1"), "_t1")
-    texts = written(near.join(ends, ["_t1", "_t2"]).select("id", "_t1", "text").dropDuplicates(["id"]).select("id", "text"), "ends")
-    joined = components(verified(edges, texts, verify_words, at_least), docs.sparkSession)
-    placed = written(points.join(joined.select(F.col("node").alias("id"), "component"), "id", "left")
-                     .select("_t1", "_t2", "least", "rows", F.coalesce("component", "id").alias("component")), "placed")
+    links = true_links(edges, rows, points, verify_words, at_least)
+    placed = labels_of(points, links)
+    more = written(links_between(rows, placed.select("id", "_t1", "_t2", "component"), points.count(), verify_words, at_least), "links-between")
+    if more.limit(1).count():
+        placed = labels_of(points, links.unionByName(true_links(more, rows, points, verify_words, at_least)))
     groups = placed.groupBy("component").agg(F.min("least").alias("one"), F.sum("rows").alias("all"))
     named = written(placed.join(groups.where(F.col("all") > 1), "component").select("_t1", "_t2", F.col("one._k1").alias("o1"), F.col("one._k2").alias("o2")), "groups")
     touched = written(prints.join(named, ["_t1", "_t2"]).select("_k1", "_k2", ((F.col("_k1") == F.col("o1")) & (F.col("_k2") == F.col("o2"))).alias("stays"))
