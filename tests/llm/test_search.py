@@ -222,3 +222,28 @@ def test_near_copies_of_a_template_meet(spark):
     assert sorted(close) == [(2 * k + 1, 2 * k) for k in range(40)]
     kept = simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(r.doc_id for r in kept.collect()) == list(range(0, 80, 2))
+
+
+def recall_of_fingerprints(spark, pairs):
+    texts = [x for p in pairs for x in p]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string")
+    got = {r.id: (r.f0 % 2 ** 64, r.f1 % 2 ** 64) for r in simhash.fingerprints(docs, ["id"], n=5, seeds=(42, 43), once=True).collect()}
+    return sum(sum((x ^ y).bit_count() for x, y in zip(got[i], got[i + 1])) <= 32 for i in range(0, len(texts), 2)) / len(pairs)
+
+
+def test_repeated_lines_and_changed_stretches_are_near(spark):
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    repeats, stretches = [], []
+    for k in range(40):
+        own, line = [word() for _ in range(300)], [word() for _ in range(6)]
+        repeats.append((" ".join(own), " ".join(own + line * (20 + 4 * k))))
+        own = [word() for _ in range(300)]
+        stretches.append((" ".join(own), " ".join(own[:100] + [word() for _ in range(28)] + own[128:])))
+    assert recall_of_fingerprints(spark, repeats) == 1
+    assert recall_of_fingerprints(spark, stretches) >= 0.95
+    pairs = repeats + stretches
+    sets = [[set(simhash.shingles(simhash.words_of(t), 5)) for t in p] for p in pairs]
+    assert all(len(x & y) >= 0.8 * len(x | y) for x, y in sets)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(x for p in pairs for x in p)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.drop_near_copies(docs).collect()) == list(range(0, 2 * len(pairs), 2))

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,9 +42,8 @@ def shingles(words: list[bytes], n: int) -> list[bytes]:
     return list(map(b" ".join, zip(*(words[i:] for i in range(n)))))
 
 
-def fingerprint(words: list[bytes], n: int, seeds: tuple[int, ...]) -> np.ndarray:
-    """One unsigned 64-bit word per seed; a bit is 1 if set in over half of the shingle hashes."""
-    parts = shingles(words, n)
+def fingerprint(parts: Collection[bytes], seeds: tuple[int, ...]) -> np.ndarray:
+    """One unsigned 64-bit word per seed; a bit is 1 if set in over half of the hashes of the shingles ``parts``."""
     out = np.zeros(len(seeds), np.uint64)
     for k, seed in enumerate(seeds if parts else ()):
         h = np.fromiter((xxhash.xxh64_intdigest(s, seed) for s in parts), np.uint64, len(parts))
@@ -56,10 +55,10 @@ def fingerprint(words: list[bytes], n: int, seeds: tuple[int, ...]) -> np.ndarra
 
 
 def fingerprints(docs: DataFrame, carry: list[str], text: str = "text", n: int = 3, seeds: tuple[int, ...] = (42,),
-                 set_of: int | None = None) -> DataFrame:
-    """``carry`` and f0, f1, ... (signed longs with the unsigned bits), one per seed; with ``set_of``, also ``distinct``, the
-    number of distinct shingles of that many words."""
-    names = [f"f{k}" for k in range(len(seeds))] + (["distinct"] if set_of else [])
+                 once: bool = False) -> DataFrame:
+    """``carry`` and f0, f1, ... (signed longs with the unsigned bits), one per seed; with ``once``, each distinct shingle votes
+    once and ``distinct`` is their number."""
+    names = [f"f{k}" for k in range(len(seeds))] + (["distinct"] if once else [])
     schema = docs.select(*carry).schema
     for name in names:
         schema = schema.add(name, "long")
@@ -68,10 +67,11 @@ def fingerprints(docs: DataFrame, carry: list[str], text: str = "text", n: int =
         for batch in batches:
             values = np.zeros((len(names), batch.num_rows), np.int64)
             for i, t in enumerate(batch.column(len(carry))):
-                words = words_of(t.as_py())
-                values[:len(seeds), i] = fingerprint(words, n, seeds).view(np.int64)
-                if set_of:
-                    values[-1, i] = len(set(shingles(words, set_of)))
+                parts = shingles(words_of(t.as_py()), n)
+                parts = set(parts) if once else parts
+                values[:len(seeds), i] = fingerprint(parts, seeds).view(np.int64)
+                if once:
+                    values[-1, i] = len(parts)
             yield pa.RecordBatch.from_arrays([batch.column(j) for j in range(len(carry))] + [pa.array(v) for v in values], names=carry + names)
 
     return docs.select(*carry, F.col(text).alias("_text")).mapInArrow(run, schema)
@@ -307,11 +307,11 @@ def labels_of(points: DataFrame, edges: DataFrame) -> DataFrame:
                    .select("id", "_t1", "_t2", "least", "rows", F.coalesce("component", "id").alias("component")), "placed")
 
 
-def drop_near_copies(docs: DataFrame, n: int = 3, seeds: tuple[int, ...] = (42, 43), radius: int = 32, verify_words: int = 5,
+def drop_near_copies(docs: DataFrame, seeds: tuple[int, ...] = (42, 43), radius: int = 32, verify_words: int = 5,
                      at_least: float = 0.8) -> DataFrame:
     """The rows of ``docs`` but for near copies: one row of each group stays, that of the smallest doc_id (nulls last).
 
-    Groups are linked by 128-bit fingerprints within ``radius``, wide enough for texts of which ``at_least`` is shared;
+    Groups are linked by 128-bit fingerprints of the distinct shingles, the sets that are verified, within ``radius``;
     bands of shingle counts keep texts apart whose sizes already rule that out, and every link of the spanning forest is
     verified by the exact similarity of the two whole texts. What the radius or the forest leaves apart then meets in an
     exact join between the groups found so far (``links_between``), so no pair of ``at_least`` stays unlinked. Equal texts
@@ -322,7 +322,7 @@ def drop_near_copies(docs: DataFrame, n: int = 3, seeds: tuple[int, ...] = (42,
     rows = keyed(docs.withColumn("_body", text_or_empty()), ["doc_id", "_body"]) \
         .withColumns({"_t1": F.xxhash64("_body"), "_t2": F.xxhash64(F.lit(1), "_body")})
     carry = ["doc_id", "_k1", "_k2", "_t1", "_t2"]
-    prints = written(fingerprints(rows, carry, "_body", n, seeds, verify_words), "prints")
+    prints = written(fingerprints(rows, carry, "_body", verify_words, seeds, once=True), "prints")
     cols = [f"f{k}" for k in range(len(seeds))]
     who = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_k1", "_k2")
     points = prints.groupBy("_t1", "_t2").agg(F.min(who).alias("least"), F.count("*").alias("rows"), *[F.min(c).alias(c) for c in [*cols, "distinct"]])
