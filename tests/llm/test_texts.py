@@ -234,3 +234,14 @@ def test_pipeline_of_nothing(spark, tmp_path):
                          ("benchmark", "item_id long, text string")):
         spark.createDataFrame([], schema).write.parquet(str(tmp_path / f"{name}.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_surrogates_outgrow_small_spaces(spark):
+    """Ten mailboxes of one digit have nine draws of one digit, 9,000 surnames more than 8,192 of three syllables."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    names = ["Mr. Q" + letters[i // 676] + letters[i // 26 % 26] + letters[i % 26] for i in range(9000)]
+    texts = [f"Mail {i}@D.example.com" for i in range(10)] + names
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in surrogates.replace_entities(docs).collect()}
+    assert len(set(got.values())) == len(texts) and not set(got.values()) & set(texts)
+    assert all(re.fullmatch(r"Mail [0-9][a-z]*@[A-Z]\.[a-z]{7}\.com", got[i]) for i in range(10))

@@ -3,7 +3,7 @@
 Entities are found by pattern and brought to a canonical form per kind, so that every way of writing one entity is one
 entity. Each gets a surrogate drawn from a keyed hash of kind, canonical form and attempt: digits for digits, letters for
 letters, octets in range, card numbers with a right check digit where the original had one, names of the same gender
-and script. A surrogate that another entity took first, or that is itself an entity of the corpus, is drawn again, until
+and script. Names and mailboxes grow with each attempt. A surrogate that another entity took first, or that is itself an entity of the corpus, is drawn again, until
 all are distinct; the table of them then gives one surrogate per entity over the whole corpus, written back in each
 occurrence's own format (separators, case).
 
@@ -106,8 +106,13 @@ def with_check_digit(number: Column) -> Column:
     return F.concat(body, ((10 - luhn_sum(F.concat(body, F.lit("0"))) % 10) % 10).cast("string"))
 
 
-def made_name(entity: Column, pool: Column) -> Column:
-    """As many made-up words as the name has, in its script, ending as its gender does."""
+def added(attempt: Column) -> Column:
+    """1 to ``attempt``, or nothing: what is added to a draw, so that the space of draws grows until all entities fit."""
+    return F.slice(F.sequence(F.lit(0), attempt), F.lit(2), F.greatest(attempt, F.lit(1)))
+
+
+def made_name(entity: Column, pool: Column, attempt: Column) -> Column:
+    """As many made-up words as the name has, in its script, ending as its gender does, a syllable longer with each attempt."""
     head, script, name = (F.get(F.split(entity, r"\|"), F.lit(i)) for i in range(3))
 
     def word(i: Column) -> Column:
@@ -115,7 +120,8 @@ def made_name(entity: Column, pool: Column) -> Column:
         for (s, g), ends in ENDINGS.items():
             parts = F.array(*[F.lit(x) for x in SYLLABLES[s]])
             said = F.concat(F.get(parts, number_at(pool, i * 4, 16)), F.get(parts, number_at(pool, i * 4 + 1, 16)),
-                            F.get(parts, number_at(pool, i * 4 + 2, 16)), F.get(F.array(*[F.lit(x) for x in ends]), number_at(pool, i * 4 + 3, 2)))
+                            F.get(parts, number_at(pool, i * 4 + 2, 16)),
+                            F.array_join(F.transform(added(attempt), lambda k: F.get(parts, number_at(pool, i * 4 + k + 8, 16))), ""), F.get(F.array(*[F.lit(x) for x in ends]), number_at(pool, i * 4 + 3, 2)))
             test = (script == s) & (head == g)
             out = F.when(test, said) if out is None else out.when(test, said)
         return out
@@ -129,11 +135,12 @@ def surrogate(key: str, kind: Column, entity: Column, attempt: Column) -> Column
     local, domain = F.substring_index(entity, "@", 1), F.substring_index(entity, "@", -1)
     last = F.substring_index(domain, ".", -1)
     hosts = F.substring(domain, F.lit(1), F.length(domain) - F.length(last) - 1)
-    email = F.concat(like_for_like(local, pool), F.lit("@"), like_for_like(hosts, drawn(key, F.lit("domain"), domain, F.lit(0))), F.lit("."), last)
+    more = F.array_join(F.transform(added(attempt), lambda k: F.substring(F.lit("abcdefghijklmnopqrstuvwxyz"), number_at(pool, k + 20, 26) + 1, F.lit(1))), "")
+    email = F.concat(like_for_like(local, pool), more, F.lit("@"), like_for_like(hosts, drawn(key, F.lit("domain"), domain, F.lit(0))), F.lit("."), last)
     ip = F.array_join(F.transform(F.split(entity, r"\."), lambda o, i: (number_at(pool, i, 254) + 1).cast("string")), ".")
     plain = like_for_like(entity, pool)
     card = F.when(luhn_sum(entity) % 10 == 0, with_check_digit(plain)).otherwise(plain)
-    return F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind == "name", made_name(entity, pool)).otherwise(plain)
+    return F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind == "name", made_name(entity, pool, attempt)).otherwise(plain)
 
 
 def surrogate_table(entities: DataFrame, key: str, most_rounds: int = 64) -> DataFrame:
@@ -163,7 +170,9 @@ def in_format(kind: Column, match: Column, value: Column) -> Column:
     # The n-th digit of the occurrence is the n-th of the number: what stands before it in digits is its place.
     dressed = F.array_join(F.transform(chars, lambda c, i: F.when(
         c.rlike("[0-9]"), F.substring(number, F.length(digits(F.substring(match, F.lit(1), i))) + 1, F.lit(1))).otherwise(c)), "")
-    cased = F.array_join(F.transform(F.split(value, ""), lambda c, i: F.when(F.get(chars, i).rlike("[A-Z]"), F.upper(c)).otherwise(c)), "")
+    local, grown = F.instr(match, "@") - 1, F.length(value) - F.length(match)
+    own = lambda i: F.when(i < local, i).when(i >= local + grown, i - grown).otherwise(F.lit(-1))
+    cased = F.array_join(F.transform(F.split(value, ""), lambda c, i: F.when(F.get(chars, own(i)).rlike("[A-Z]"), F.upper(c)).otherwise(c)), "")
     said = F.initcap(F.substring_index(value, "|", -1))
     name = F.regexp_replace(match, rf"^({TITLE}\.? ).*$", "$1")
     return F.when(kind == "email", cased).when(kind == "ip", value).when(kind == "name", F.concat(name, said)).otherwise(dressed)
