@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilscan.llm import decontam, mixing, quality, secret_scan, simhash, suffix_dedup, surrogates, token_file, topk, warc
+from veilscan.llm import decontam, mixing, packing, quality, secret_scan, simhash, suffix_dedup, surrogates, token_file, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -147,3 +147,11 @@ def op5_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op5_surrogates"] = op5_surrogates
+
+
+def op13_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(_table(spark, sf_dir, "documents"), tokenizer_file())
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+QUERIES["op13_pack"] = op13_pack
