@@ -50,6 +50,27 @@ def gathered(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - lengths), lengths) + np.arange(total, dtype=np.int64)
 
 
+def words(texts: pa.Array, solid: np.ndarray, change: np.ndarray | None = None) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(distinct words, number of each word, end of each text among the words): maximal runs of bytes that ``solid`` marks, each
+    byte replaced as ``change`` says."""
+    body, at = raw(texts)
+    inside = solid[body]
+    begin, stop = inside.copy(), inside.copy()
+    full = np.diff(at) > 0
+    begin[1:] &= ~inside[:-1]
+    stop[:-1] &= ~inside[1:]
+    begin[at[:-1][full]] = inside[at[:-1][full]]
+    stop[at[1:][full] - 1] = inside[at[1:][full] - 1]
+    begins = np.flatnonzero(begin)
+    # Words and what lies between them in turn; only words are kept.
+    edges = np.full(2 * len(begins) + 1, len(body), np.int64)
+    edges[:-1:2], edges[1::2] = begins, np.flatnonzero(stop) + 1
+    body = body if change is None else change[body]
+    both = pa.Array.from_buffers(pa.large_string(), 2 * len(begins), [None, pa.py_buffer(edges), pa.py_buffer(body)])
+    found = both.take(pa.array(np.arange(0, 2 * len(begins), 2))).dictionary_encode()
+    return found.dictionary, found.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.searchsorted(begins, at[1:], side="left")
+
+
 class Encoder:
     """A tokenizers-library encoder (byte-level BPE).
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilscan.llm import decontam, mixing, packing, quality, secret_scan, simhash, suffix_dedup, surrogates, token_file, topk, warc
+from veilscan.llm import decontam, lexical, mixing, packing, periodic, quality, secret_scan, simhash, suffix_dedup, surrogates, token_file, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -155,3 +157,60 @@ def op13_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op13_pack"] = op13_pack
+
+
+def periodic_suffix(doc_id: int | None, n: int) -> np.ndarray | None:
+    """The words that op12 reads in place of a document's own: one in ten documents repeats a stretch from some word on."""
+    h = zlib.crc32(str(doc_id).encode())
+    if doc_id is None or h % 10 or not n:
+        return None
+    begin = h // 10 % n
+    period = 1 + (n - begin) // (3 + h // 10 % 8)
+    place = np.arange(n)
+    return np.where(place < begin, place, begin + (place - begin) % period)
+
+
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.collapse_runs(_table(spark, sf_dir, "documents"), periodic_suffix)
+    line = "concat(array_join(transform(runs, r -> concat_ws(',', r.start, r.length, r.period)), '\\n'), if(size(runs) > 0, '\\n', ''))"
+    # Exact ratios: a run is better than the best so far if its length times that period is greater.
+    best = "aggregate(runs, runs[0], (b, r) -> if(r.length * b.period > b.length * r.period, r, b))"
+    return found.selectExpr("doc_id", "cast(size(runs) AS bigint) AS n_runs", f"if(size(runs) > 0, {best}, null) AS best",
+                            f"sha2({line}, 256) AS runs_sha256", "sha2(collapsed, 256) AS collapsed_sha256") \
+        .selectExpr("doc_id", "n_runs", "best.start AS start", "best.length AS length", "best.period AS period",
+                    "1000 * best.length div best.period AS exponent_milli", "runs_sha256", "collapsed_sha256")
+
+
+QUERIES["op12_runs"] = op12_runs
+
+
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.best_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+QUERIES["op11_lexical_search"] = op11_lexical_search
+_TERMS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+SQL["op11_lexical_search"] = f"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS rid, {_TERMS} AS l FROM documents WHERE text IS NOT NULL
+), k AS (
+  SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(len(l)) AS BIGINT) AS total FROM d WHERE len(l) > 0
+), t AS (
+  SELECT rid, term, CAST(count(*) AS BIGINT) AS tf FROM (SELECT rid, unnest(l) AS term FROM d) GROUP BY rid, term
+), w AS (
+  SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM t, k GROUP BY term, docs
+), q AS (
+  SELECT item_id, iid, term, count(*) AS c
+  FROM (SELECT item_id, iid, unnest(l) AS term
+        FROM (SELECT item_id, row_number() OVER () AS iid, {_TERMS} AS l FROM (SELECT DISTINCT item_id, text FROM benchmark WHERE text IS NOT NULL)))
+  GROUP BY item_id, iid, term
+), s AS (
+  SELECT q.item_id, q.iid, d.doc_id, d.rid,
+    CAST(sum(q.c * w.w * ((1000000000 * t.tf) // (1000 * t.tf + 12 * (75 + (25 * len(d.l) * k.docs) // k.total)))) AS BIGINT) AS score
+  FROM q JOIN t USING (term) JOIN w USING (term) JOIN d ON d.rid = t.rid, k
+  GROUP BY q.item_id, q.iid, d.doc_id, d.rid
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY iid ORDER BY score DESC, doc_id NULLS LAST, rid) AS rank FROM s WHERE score > 0
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM r WHERE rank <= 20
+"""
