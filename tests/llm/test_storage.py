@@ -6,8 +6,10 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from veilscan.llm import encoding as E
 from veilscan.llm import token_file as T
 from veilscan.llm import warc
 from veilscan.llm.queries import tokenizer_file
@@ -62,21 +64,22 @@ def test_a_damaged_payload_is_noticed(spark, tmp_path):
 
 
 def test_pieces_encode_as_whole_texts():
-    enc = T.Encoder(tokenizer_file())
+    enc = E.Encoder(tokenizer_file())
     random.seed(3)
     parts = ["a", "B", "é", " ", " ", "\n", "\t", "'s", "'", "12", "!!", "<|endoftext|>", " ", "漢", "a,", "B.!", "\0", "\r\n", "\x85", "\xa0", "ing", " the"]
     for _ in range(4000):
         text = "".join(random.choice(parts) for _ in range(random.randint(0, 14)))
         want = enc.tokenizer.encode(text, add_special_tokens=False).ids
-        assert np.frombuffer(enc.encode([text])[0], enc.kind).tolist() == want, repr(text)
+        assert enc.encode(pa.array([text]), 0)[0].tolist() == [*want, 0], repr(text)
 
 
 def test_remembering_has_an_end_and_no_effect(monkeypatch):
-    monkeypatch.setattr(T, "REMEMBERED", 10)
-    enc = T.Encoder(tokenizer_file())
+    monkeypatch.setattr(E, "HELD", 8000)
+    enc = E.Encoder(tokenizer_file())
     texts = [" ".join(f"word{i}{j}," for j in range(20)) for i in range(20)]
     for t in texts * 2:
-        assert np.frombuffer(enc.encode([t])[0], enc.kind).tolist() == enc.tokenizer.encode(t, add_special_tokens=False).ids
+        assert enc.encode(pa.array([t]), 0)[0].tolist() == [*enc.tokenizer.encode(t, add_special_tokens=False).ids, 0]
+    assert 0 < enc.held() <= 8000
 
 
 @pytest.mark.parametrize("n", [1, 2, T.LANES - 1, T.LANES, 3 * T.LANES + 7])
@@ -103,7 +106,7 @@ def test_crc_of_joined_strings():
 def test_token_files(spark, monkeypatch):
     texts = [(4, "two words", 1), (2, None, 1), (None, "no id", 1), (9, "", 1), (9, "x " * 3000, 1), (4, "two words", 1), (1, "<|endoftext|> \n\n é", 1)]
     docs = spark.createDataFrame(texts, "doc_id long, text string, ids long").repartition(3)
-    tokenizer = T.Encoder(tokenizer_file()).tokenizer
+    tokenizer = E.Encoder(tokenizer_file()).tokenizer
     where = T.write_files(docs, tokenizer_file())
     got = [(r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in T.file_index(spark, where).collect()]
     got.sort(key=lambda r: r[1])
@@ -122,7 +125,7 @@ def test_a_document_longer_than_a_block(spark, monkeypatch):
     monkeypatch.setattr(T, "BLOCK", 1 << 18)
     text = "a b " * 180_000
     docs = spark.createDataFrame([(1, "short"), (2, text), (3, "end")], "doc_id long, text string")
-    tokenizer = T.Encoder(tokenizer_file()).tokenizer
+    tokenizer = E.Encoder(tokenizer_file()).tokenizer
     want = np.array(tokenizer.encode(text, add_special_tokens=False).ids + [0], "<u4")
     assert len(want) > T.BLOCK
     got = {r.doc_id: r for r in T.file_index(spark, T.write_files(docs, tokenizer_file())).collect()}

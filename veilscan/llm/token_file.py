@@ -14,9 +14,6 @@ an empty table gives an empty file set; other columns are ignored.
 
 from __future__ import annotations
 
-import itertools
-import os
-import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -28,92 +25,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veilscan.llm.common import new_path, text_or_empty, written
+from veilscan.llm.encoding import encoder, slices
 
 #: log2 of the frequencies' sum; interleaved coders in a block; ids in a block at most.
 SCALE, LANES, BLOCK = 20, 1024, 1 << 18
 LOW = np.uint64(1 << 31)
-#: Pieces of text whose ids a task remembers.
-REMEMBERED = 800_000
-_SIGNS = ".,;:!?%$&*#"
-_CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
-#: A piece whose ids stay the same when others like it stand beside it.
-_JOINT = re.compile(r"[ \n]\S+(?:\s+\S+)*\Z").match
-_encoders: dict[str, "Encoder"] = {}
-
-
-class Encoder:
-    """A tokenizers-library encoder (byte-level BPE) that encodes a piece of text once and remembers its ids.
-
-    A single space or newline between two visible characters always begins a new pre-token of a byte-level BPE, so texts
-    are cut there and the pieces' ids joined; texts holding a special token's string are encoded whole.
-    """
-
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        size = self.tokenizer.get_vocab_size()
-        # A byte-level vocabulary writes each byte as one character.
-        self.widths = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(size)], np.int64)
-        self.known: dict[str, bytes] = {}
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def pieces(self, text: str) -> list[str]:
-        flat = text.replace("\n", " ")
-        if flat.isprintable() and "  " not in flat and flat[:1] != " " and flat[-1:] != " ":
-            return text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
-        return _CUT.split(text)  # runs or other kinds of white space, or characters that are not printed
-
-    def learn(self, new: list[str]) -> dict[str, bytes]:
-        """Encodes pieces in one go: joined, they are cut again at the same places, so their ids follow one another; the
-        bytes each id stands for tell where a piece's ids end."""
-        ids = np.frombuffer(self.whole(["".join(new)])[0], self.kind)
-        ends = np.cumsum(self.widths[ids])
-        stops = (np.searchsorted(ends, np.cumsum([len(p.encode()) for p in new]), side="left") + 1) * self.kind.itemsize
-        raw = ids.tobytes()
-        return {p: raw[i:j] for p, i, j in zip(new, [0, *stops.tolist()], stops.tolist())}
-
-    def found(self, pieces: set[str]) -> dict[str, bytes]:
-        """The ids of pieces not remembered. Signs at the end of a piece that follow a letter are a pre-token of their own, so
-        stems and endings are encoded; once enough is remembered, the rest is encoded where it occurs."""
-        known, out, cut, wanted = self.known, {}, {}, set()
-        for p in pieces:
-            if (stem := p.rstrip(_SIGNS)) != p and stem[-1:].isalpha():
-                cut[p] = stem, p[len(stem):]
-                wanted.update(x for x in cut[p] if x not in known)
-            else:
-                wanted.add(p)
-        apart = [p for p in wanted if not _JOINT(p)]
-        joint = list(wanted.difference(apart))
-        out.update(zip(apart, self.whole(apart)))
-        for at in range(0, len(joint), 4096):
-            out |= self.learn(joint[at:at + 4096])
-        for p, (stem, signs) in cut.items():
-            out[p] = (out.get(stem) or known[stem]) + (out.get(signs) or known[signs])
-        if len(known) < REMEMBERED:
-            known.update(out)
-        return out
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        special = [any(a in t for a in self.added) for t in texts]
-        pieces = [[] if s else self.pieces(t) for t, s in zip(texts, special)]
-        ids = [list(map(self.known.get, p)) for p in pieces]
-        lacking = [k for k, x in enumerate(ids) if None in x]
-        new = self.found({p for k in lacking for p, x in zip(pieces[k], ids[k]) if x is None}) if lacking else {}
-        for k in lacking:
-            ids[k] = [new[p] if x is None else x for p, x in zip(pieces[k], ids[k])]
-        return [self.whole([t])[0] if s else b"".join(x) for t, s, x in zip(texts, special, ids)]
-
-
-def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
 
 
 def tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -122,17 +38,16 @@ def tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, doc_id: str = "doc_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, pack = encoder(tokenizer), zstandard.ZstdCompressor(level=3)
-        seen = np.zeros(enc.tokenizer.get_vocab_size() + 1, np.int64)
-        end = np.array([end_id], enc.kind).tobytes()
+        seen = np.zeros(max(enc.size, end_id + 1), np.int64)
         names = ["doc_id", "h", "n", "ids", "counts"]
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                piece = batch.slice(at, 128)
-                found = [x + end for x in enc.encode(piece.column(2).to_pylist())]
-                seen += np.bincount(np.frombuffer(b"".join(found), enc.kind), minlength=len(seen))
-                n = pa.array([len(x) // enc.kind.itemsize for x in found], pa.int64())
-                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), n, pa.array([pack.compress(x) for x in found], pa.binary()),
-                                                  pa.array([False] * len(found))], names=names)
+            for piece in slices(batch, 2):
+                ids, n = enc.encode(piece.column(2), end_id)
+                seen += np.bincount(ids, minlength=len(seen))
+                ends = np.cumsum(n)
+                packed = [pack.compress(ids[a:b].tobytes()) for a, b in zip((ends - n).tolist(), ends.tolist())]
+                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array(n, pa.int64()), pa.array(packed, pa.binary()),
+                                                  pa.array([False] * len(n))], names=names)
         used = np.nonzero(seen)[0]
         if len(used):
             packed = np.stack([used, seen[used]]).astype("<i8").tobytes()
