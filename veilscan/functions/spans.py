@@ -63,17 +63,36 @@ def marked_pieces(text: Column, pattern: Column | str) -> Column:
     return F.split(marked, f"[{OPEN}{CLOSE}]")
 
 
+#: Values a running sum adds up by appending before it goes on with the next block.
+BLOCK = 64
+
+
+def running(values: Column, levels: int = 2) -> Column:
+    """For each of an array's integers, the sum of those before it.
+
+    Appending to an array in a fold copies it each time. So blocks of BLOCK values are summed first, those sums are run
+    over in the same way, and each block then only appends within itself: the work per value stays the same at any length.
+    """
+    def grow(block: Column, offset: Column) -> Column:
+        start = F.struct(offset.alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(block, start, lambda acc, v: F.struct((acc["at"] + v).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")),
+                           lambda acc: acc["out"])
+
+    if not levels:
+        return grow(values, F.lit(0))
+
+    def blocks(v: Column) -> Column:
+        cut = F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.size(v) - 1, F.lit(0)) / BLOCK).cast("int")),
+                          lambda k: F.slice(v, k * BLOCK + 1, F.lit(BLOCK)))
+        return let(cut, lambda b: F.flatten(F.zip_with(b, running(F.transform(
+            b, lambda x: F.aggregate(x, F.lit(0), lambda acc, one: acc + one)), levels - 1), grow)))
+
+    return let(values, blocks)
+
+
 def starts_of(pieces: Column) -> Column:
     """Start position of each piece when the pieces are laid end to end."""
-    return F.aggregate(
-        pieces,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")),
-        lambda acc, p: F.struct(
-            (acc["at"] + F.char_length(p)).alias("at"),
-            F.concat(acc["starts"], F.array(acc["at"])).alias("starts"),
-        ),
-        lambda acc: acc["starts"],
-    )
+    return running(F.transform(pieces, lambda p: F.char_length(p)))
 
 
 def with_starts(pieces: Column) -> Column:
@@ -86,19 +105,16 @@ def find_spans(text: Column, pattern: Column | str, known: bool = False) -> Colu
 
     ``known`` says the caller has already seen the pattern match, so it is not tested again.
     """
-    pieces = marked_pieces(text, pattern)
-
-    def place(acc: Column, p: Column) -> Column:
-        # pieces alternate between gap and match; ``n`` counts them
-        body = strip(p)
-        at = acc["at"] + lead(p)
-        span = F.struct(at.alias("start"), (at + F.char_length(body)).alias("end"), body.alias("text"))
-        take = (acc["n"] % 2 == 1) & (body != "")
-        return F.struct((acc["at"] + F.char_length(p)).alias("at"), (acc["n"] + 1).alias("n"),
-                        F.when(take, F.concat(acc["found"], F.array(span))).otherwise(acc["found"]).alias("found"))
-
-    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("n"), F.array().cast(SPAN_ARRAY).alias("found"))
-    found = F.aggregate(pieces, start, place, lambda acc: acc["found"])
+    def placed(pieces: Column) -> Column:
+        # pieces alternate between gap and match; matches without their white space, blank ones left out
+        def span(x: Column) -> Column:
+            at, body = x["start"] + lead(x["text"]), strip(x["text"])
+            return F.struct(at.alias("start"), (at + F.char_length(body)).alias("end"), body.alias("text"))
+
+        matches = F.filter(with_starts(pieces), lambda x, i: (i % 2 == 1) & (strip(x["text"]) != ""))
+        return F.transform(matches, span)
+
+    found = let(marked_pieces(text, pattern), placed).cast(SPAN_ARRAY)
     if known:
         return found
     matches = text.rlike(pattern) if isinstance(pattern, str) else F.rlike(text, pattern)

@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilscan.functions.spans import OPEN, WHITE, cut_out, find_spans, lead, marked_pieces, starts_of, strip, unmarked
+from veilscan.functions.spans import OPEN, WHITE, cut_out, find_spans, lead, let, marked_pieces, starts_of, strip, unmarked, with_starts
 from veilscan.settings import LAYER_ARRAY, MAX_DECODE_DEPTH, SPAN_ARRAY, UNIT_ARRAY, empty
 
 # Fixed values ---------------------------------------------------------------------------------
@@ -216,16 +216,14 @@ def split_units(text: Column, is_email: Column) -> Column:
     body = F.substring(text, F.char_length(head) + 1, F.char_length(text))
     pieces = F.concat(F.array(head), F.split(F.regexp_replace(unmarked(body), SENTENCE_END, "$0" + OPEN), OPEN))
 
-    def place(acc: Column, p: Column) -> Column:
-        piece = strip(p)
-        at = acc["at"] + lead(p)
-        unit = F.struct(F.size(acc["units"]).alias("unit_no"), at.alias("start"),
-                        (at + F.char_length(piece)).alias("end"), piece.alias("text"))
-        return F.struct((acc["at"] + F.char_length(p)).alias("at"),
-                        F.when(piece != "", F.concat(acc["units"], F.array(unit))).otherwise(acc["units"]).alias("units"))
+    def placed(p: Column) -> Column:
+        def unit(x: Column, i: Column) -> Column:
+            at, body = x["start"] + lead(x["text"]), strip(x["text"])
+            return F.struct(i.alias("unit_no"), at.alias("start"), (at + F.char_length(body)).alias("end"), body.alias("text"))
 
-    start = F.struct(F.lit(0).alias("at"), empty(UNIT_ARRAY).alias("units"))
-    return F.aggregate(pieces, start, place, lambda acc: acc["units"])
+        return F.transform(F.filter(with_starts(p), lambda x: strip(x["text"]) != ""), unit)
+
+    return let(pieces, placed).cast(UNIT_ARRAY)
 
 
 def collapse_space(text: Column) -> Column:

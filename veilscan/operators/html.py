@@ -1,20 +1,25 @@
-"""What a page shows and what it hides, as higher-order functions over one page's tags.
+"""What a page shows and what it hides.
 
-The page is cut at its tags; one fold over the pieces keeps the stack of open elements, so a hidden
-element ends where a browser would end it. Shown text keeps its place: every hidden character becomes a
-filler of the same length, so positions in the masked page are positions in the page.
+A page is read once from left to right in an Arrow batch: tags attribute by attribute, a stack of open elements with the
+places of each name, so that every element is pushed and popped once and a hidden one ends where a browser would end it.
+Shown text keeps its place: every hidden character becomes a filler of the same length, so positions in the masked page
+are positions in the page. What follows, the shown text and its positions, is columns again.
 """
 
 from __future__ import annotations
 
+import re
+import unicodedata
+from html import unescape
 from html.entities import html5
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from veilscan.functions import text as X
-from veilscan.functions.spans import fence, let, marked_pieces, starts_of
-from veilscan.settings import LAYER_ARRAY, empty
+from veilscan.functions.spans import fence, marked_pieces, starts_of
 
 # Fixed values ---------------------------------------------------------------------------------
 VOID = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"]
@@ -28,148 +33,184 @@ HIDDEN_STYLE = (r"display\s*:\s*none|visibility\s*:\s*hidden|opacity\s*:\s*0(?:\
                 r"(?:left|top|text-indent|margin-left)\s*:\s*-\d{3,}|"
                 r"(?<![-\w])color\s*:\s*(?:#fff(?:fff)?\b|white\b|rgb\(\s*255\s*,\s*255\s*,\s*255\s*\))")
 # End of fixed values --------------------------------------------------------------------------
-TOKEN = (r"(?is)<!--.*?(?:-->|\z)|<(?:script|style)\b[^>]*>.*?(?:</(?:script|style)\s*>|\z)|"
-         r"</?[a-z](?:[^>\"']++|\"[^\"]*\"|'[^']*')*+>|<[!?][^>]*>")
 FILL, BREAK = "\u0004", "\u0005"
-STATE = ("struct<at:int,n:int,stack:array<string>,hidden_at:int,hidden_start:int,hidden_text:string,"
-         "layers:" + LAYER_ARRAY + ",shown:array<string>>")
-
-
-REFERENCE = r"&(?:#[0-9]{1,8}|#[xX][0-9A-Fa-f]{1,8}|[A-Za-z][A-Za-z0-9]{1,31});?"
-#: Every named reference of HTML as one string to search: a mark, the name, a mark, what it stands for.
-NAMED = "".join(f"\u0006{name}\u0007{said}" for name, said in sorted(html5.items())) + "\u0006"
-#: Numbers 128 to 159 stand for what the Windows code page has there.
-WINDOWS = "".join(bytes([i]).decode("cp1252", "ignore") or chr(i) for i in range(128, 160))
-
-
-def decode_reference(ref: Column) -> Column:
-    """What a character reference stands for; one that stands for nothing is left as it is."""
-    number = F.when(ref.rlike("^&#[xX]"), F.conv(F.regexp_extract(ref, "([0-9A-Fa-f]+);?$", 1), 16, 10)).otherwise(F.regexp_extract(ref, "^&#([0-9]+)", 1)).cast("bigint")
-    point = F.when((number == 0) | (number > 0x10FFFF) | number.between(0xD800, 0xDFFF), F.lit(0xFFFD).cast("bigint")).otherwise(number)
-    char = F.when(number.between(128, 159), F.substring(F.lit(WINDOWS), (number - 127).cast("int"), F.lit(1))).otherwise(
-        F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32"))
-    table, name = F.lit(NAMED), F.substring(ref, F.lit(2), F.char_length(ref) - 1)
-    mark = F.concat(F.lit("\u0006"), name, F.lit("\u0007"))
-    rest = F.call_function("substring_index", table, mark, F.lit(-1))
-    said = F.when(F.contains(table, mark), F.call_function("substring_index", rest, F.lit("\u0006"), F.lit(1))).otherwise(ref)
-    return F.when(ref.startswith("&#"), char).otherwise(said)
-
-
-def unescape(text: Column, keep_length: bool = False) -> Column:
+NAME = re.compile(r"[A-Za-z][^\s/>]*")
+BETWEEN = re.compile(r"[\s/]*")
+#: One attribute: its name, and its value if it has one.
+ATTRIBUTE = re.compile(r"""([^\s/>=][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"'][^\s>]*)))?""")
+REFERENCE = re.compile(r"&(?:#[0-9]+;?|#[xX][0-9A-Fa-f]+;?|[A-Za-z][A-Za-z0-9]{1,31};?)")
+HIDES = re.compile(HIDDEN_STYLE, re.IGNORECASE)
+READ = T.StructType([T.StructField("layers", T.ArrayType(T.StructType([
+    T.StructField(n, t) for n, t in [("kind", T.StringType()), ("start", T.IntegerType()), ("end", T.IntegerType()), ("text", T.StringType()),
+                                     ("depth", T.IntegerType()), ("hidden", T.BooleanType())]]))), T.StructField("shown", T.StringType())])
+
+
+def known_reference(ref: str) -> tuple[str, int]:
+    """What a character reference stands for and how much of it that takes. Without a semicolon the longest known name counts;
+    what stands for nothing is left as it is."""
+    if ref[1] == "#":
+        return unescape(ref), len(ref)
+    for k in range(len(ref), 2, -1):
+        if ref[1:k] in html5:
+            return html5[ref[1:k]], k
+    return ref, len(ref)
+
+
+def decoded(text: str, keep_length: bool = False) -> str:
     """Character references decoded; with ``keep_length`` each takes the place it had, the rest of it filler."""
-    def piece(p: Column, i: Column) -> Column:
-        said = decode_reference(p)
-        padded = F.concat(said, F.repeat(F.lit(FILL), F.greatest(F.char_length(p) - F.char_length(said), F.lit(0)))) if keep_length else said
-        return F.when(i % 2 == 0, p).otherwise(padded)
-
-    return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(marked_pieces(text, REFERENCE), piece), "")).otherwise(text)
-
-
-def tag_name(token: Column) -> Column:
-    return F.lower(F.regexp_extract(token, r"^</?([A-Za-z][A-Za-z0-9-]*)", 1))
-
-
-BEFORE = r"""(?is)^(</?[a-z][^\s>/]*(?:\s+[^\s=>"'/]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+))?|\s*/)*?\s+"""
-
-
-def attribute(token: Column, name: str) -> Column:
-    """struct<start,text> of an attribute's value inside its tag, null when absent. Whole attributes are stepped over, so a
-    name inside another attribute's value is not one."""
-    prefix = F.regexp_extract(token, BEFORE + name + r"""\s*=\s*["']?)""", 1)
-    rest = F.substring(token, F.char_length(prefix) + 1, F.char_length(token))
-    value = F.when(prefix.endswith('"'), F.regexp_extract(rest, '^[^"]*', 0)).when(
-        prefix.endswith("'"), F.regexp_extract(rest, "^[^']*", 0)).otherwise(F.regexp_extract(rest, r"^[^\s>]*", 0))
-    return F.when(F.contains(F.lower(token), F.lit(name)) & (prefix != "") & (value != ""), F.struct(
-        F.char_length(prefix).alias("start"), value.alias("text")))
-
-
-def is_hidden(token: Column) -> Column:
-    style = F.coalesce(unescape(attribute(token, "style")["text"]), F.lit(""))
-    aria = F.lower(F.trim(F.coalesce(attribute(token, "aria-hidden")["text"], F.lit(""))))
-    names = F.regexp_replace(token, r"""=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+)""", "=")  # attribute names without their values
-    return tag_name(token).isin(HIDDEN_TAGS) | names.rlike(r"(?i)\shidden(?:[\s=/>])") | (aria == "true") | style.rlike("(?i)" + HIDDEN_STYLE)
-
-
-def read_attributes(token: Column) -> Column:
-    """Text a model reads and a person does not see: array<struct<start,text>>."""
-    found = [attribute(token, a) for a in TEXT_ATTRIBUTES]
-    content = F.when((tag_name(token) == "meta") & token.rlike(r"(?i)\s(?:name|property)\s*="), attribute(token, "content"))
-    names = "alt|title|aria-label|placeholder|content"
-    return F.when(token.rlike(f"(?i)\\s(?:{names})\\s*="), F.array_compact(F.array(*found, content))).otherwise(
-        F.array().cast("array<struct<start:int,text:string>>"))
-
-
-def layer(kind: str, start: Column, end: Column, text: Column) -> Column:
-    """A one-element layer array, or an empty one when the text is too short to instruct."""
-    tidy = X.collapse_space(X.strip_invisible(text))
-    return let(tidy, lambda t: F.when(X.worth_reading(t), F.array(F.struct(
-        F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), t.alias("text"), F.lit(1).alias("depth"),
-        F.lit(True).alias("hidden"))).cast(LAYER_ARRAY)).otherwise(empty(LAYER_ARRAY)))
-
-
-def read_page(html: Column) -> Column:
-    """struct<layers,shown>: hidden layers, and the page with everything unseen replaced by filler."""
-    def filler(p: Column) -> Column:
-        return F.repeat(F.lit(FILL), F.char_length(p))
-
-    def state(s: Column, p: Column, **new: Column) -> Column:
-        fields = {k: s[k] for k in ("stack", "hidden_at", "hidden_start", "hidden_text", "layers")} | new
-        shown = fields.pop("shown", filler(p))
-        return F.struct((s["at"] + F.char_length(p)).alias("at"), (s["n"] + 1).alias("n"), *[v.alias(k) for k, v in fields.items()],
-                        F.concat(s["shown"], F.array(shown)).alias("shown")).cast(STATE)
-
-    def on_text(s: Column, p: Column) -> Column:
-        inside = s["hidden_at"] > 0
-        return state(s, p, hidden_text=F.when(inside, F.concat(s["hidden_text"], F.lit(" "), unescape(p))).otherwise(s["hidden_text"]),
-                     shown=F.when(inside, filler(p)).otherwise(unescape(p, keep_length=True)))
-
-    def on_comment(s: Column, p: Column) -> Column:
-        body = F.regexp_replace(F.regexp_replace(p, "^<!--", ""), "-->$", "")
-        inside = s["hidden_at"] > 0
-        return state(s, p, hidden_text=F.when(inside, F.concat(s["hidden_text"], F.lit(" "), body)).otherwise(s["hidden_text"]),
-                     layers=F.when(inside, s["layers"]).otherwise(F.concat(s["layers"], layer(
-                         "html_comment", s["at"], s["at"] + F.char_length(p), body))))
-
-    def broken(s: Column, p: Column, hidden: Column) -> Column:
-        return F.when(tag_name(p).isin(BLOCK) & ~hidden, F.concat(F.lit(BREAK), F.repeat(F.lit(FILL), F.char_length(p) - 1))).otherwise(filler(p))
-
-    def on_start(s: Column, p: Column) -> Column:
-        inside = s["hidden_at"] > 0
-        opens = ~tag_name(p).isin(VOID) & ~p.endswith("/>")
-        stack = F.when(opens, F.concat(s["stack"], F.array(tag_name(p)))).otherwise(s["stack"])
-        hides = ~inside & opens & is_hidden(p)
-        said = read_attributes(p)
-        spoken = F.flatten(F.transform(said, lambda a: layer(
-            "html_attribute", s["at"] + a["start"], s["at"] + a["start"] + F.char_length(a["text"]), unescape(a["text"]))))
-        words = F.array_join(F.transform(said, lambda a: a["text"]), " ")
-        return state(s, p, stack=stack, hidden_at=F.when(hides, F.size(stack)).otherwise(s["hidden_at"]),
-                     hidden_start=F.when(hides, s["at"]).otherwise(s["hidden_start"]),
-                     hidden_text=F.when(hides, F.lit("")).when(inside, F.concat(s["hidden_text"], F.lit(" "), words)).otherwise(s["hidden_text"]),
-                     layers=F.when(inside, s["layers"]).otherwise(F.concat(s["layers"], spoken)), shown=broken(s, p, inside))
-
-    def on_end(s: Column, p: Column) -> Column:
-        back = F.array_position(F.reverse(s["stack"]), tag_name(p)).cast("int")  # 0: no such open element
-        keep = F.size(s["stack"]) - back
-        closes = (back > 0) & (s["hidden_at"] > keep)
-        still = (s["hidden_at"] > 0) & ~closes
-        return F.when(back == 0, state(s, p)).otherwise(state(
-            s, p, stack=F.slice(s["stack"], F.lit(1), F.greatest(keep, F.lit(0))), hidden_at=F.when(closes, F.lit(0)).otherwise(s["hidden_at"]),
-            layers=F.when(closes, F.concat(s["layers"], layer("html_hidden", s["hidden_start"], s["at"] + F.char_length(p), s["hidden_text"])))
-            .otherwise(s["layers"]), shown=broken(s, p, still)))
-
-    def step(s: Column, p: Column) -> Column:
-        return F.when(s["n"] % 2 == 0, on_text(s, p)).when(p.startswith("<!--"), on_comment(s, p)) \
-            .when(p.rlike(r"^(?i)<(?:script|style)\b|^<[!?]"), state(s, p)).when(p.startswith("</"), on_end(s, p)).otherwise(on_start(s, p))
-
-    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("n"), F.array().alias("stack"), F.lit(0).alias("hidden_at"), F.lit(0).alias("hidden_start"),
-                     F.lit("").alias("hidden_text"), F.array().alias("layers"), F.array().alias("shown")).cast(STATE)
-
-    def finish(s: Column) -> Column:
-        rest = layer("html_hidden", s["hidden_start"], s["at"], s["hidden_text"])  # an unclosed element runs to the end
-        return F.struct(F.when(s["hidden_at"] > 0, F.concat(s["layers"], rest)).otherwise(s["layers"]).alias("layers"),
-                        F.array_join(s["shown"], "").alias("shown"))
-
-    return F.aggregate(marked_pieces(html, TOKEN), start, step, finish)
+    def said(m: re.Match) -> str:
+        meant, used = known_reference(m[0])
+        return meant + FILL * (used - len(meant) if keep_length else 0) + m[0][used:]
+
+    return REFERENCE.sub(said, text) if "&" in text else text
+
+
+def attributes(page: str, at: int) -> tuple[dict[str, tuple[int, str]], int]:
+    """(first value of each attribute with its place, where the tag ends or -1). One attribute is read at a time; a quote
+    that nothing closes is a character of a name."""
+    found: dict[str, tuple[int, str]] = {}
+    while (at := BETWEEN.match(page, at).end()) < len(page):
+        if page[at] == ">":
+            return found, at + 1
+        m = ATTRIBUTE.match(page, at)
+        if m and m.lastindex > 1:
+            found.setdefault(m[1].lower(), (m.start(m.lastindex), m[m.lastindex]))
+        elif m:
+            found.setdefault(m[1].lower(), (m.end(), ""))
+        at = m.end() if m else at + 1
+    return found, -1
+
+
+class Page:
+    """Reads one page, piece by piece: a stack of open elements, the outermost hidden one, and the page as shown."""
+
+    def __init__(self, page: str):
+        self.page, self.shown, self.layers = page, [], []
+        self.stack: list[str] = []
+        self.places: dict[str, list[int]] = {}  # of each name's open elements in the stack
+        self.hidden = -1  # place of the outermost hidden element in the stack
+        self.hidden_start, self.hidden_text = 0, []
+
+    def layer(self, kind: str, start: int, end: int, text: str) -> None:
+        tidy = " ".join("".join(c for c in unicodedata.normalize("NFKC", text) if unicodedata.category(c) != "Cf").split())
+        if tidy.count(" ") >= 2 and any(c.isalpha() for c in tidy):
+            self.layers.append({"kind": kind, "start": start, "end": end, "text": tidy, "depth": 1, "hidden": True})
+
+    def unseen(self, start: int, end: int, name: str = "") -> None:
+        """A piece that is not shown; a block's tag breaks the line."""
+        breaks = name in BLOCK and self.hidden < 0
+        self.shown.append((BREAK if breaks else FILL) + FILL * (end - start - 1) if end > start else "")
+
+    def text(self, start: int, end: int) -> None:
+        piece = self.page[start:end]
+        if self.hidden >= 0:
+            self.hidden_text.append(decoded(piece))
+            self.unseen(start, end)
+        else:
+            self.shown.append(decoded(piece.translate({4: 3, 5: 3}), keep_length=True))
+
+    def comment(self, start: int, end: int) -> None:
+        body = self.page[start + 4:end].removesuffix("-->")
+        if self.hidden >= 0:
+            self.hidden_text.append(body)
+        else:
+            self.layer("html_comment", start, end, body)
+        self.unseen(start, end)
+
+    def start_tag(self, name: str, found: dict[str, tuple[int, str]], start: int, end: int) -> None:
+        self.unseen(start, end, name)
+        read = [a for a in TEXT_ATTRIBUTES if found.get(a, (0, ""))[1]]
+        if name == "meta" and found.get("content", (0, ""))[1] and ("name" in found or "property" in found):
+            read.append("content")
+        for at, value in (found[a] for a in read):
+            if self.hidden >= 0:
+                self.hidden_text.append(decoded(value))
+            else:
+                self.layer("html_attribute", at, at + len(value), decoded(value))
+        if name in VOID or self.page.endswith("/>", start, end):
+            return
+        self.places.setdefault(name, []).append(len(self.stack))
+        self.stack.append(name)
+        style, aria = (decoded(found.get(a, (0, ""))[1]) for a in ("style", "aria-hidden"))
+        if self.hidden < 0 and (name in HIDDEN_TAGS or "hidden" in found or aria.strip().lower() == "true" or HIDES.search(style)):
+            self.hidden, self.hidden_start, self.hidden_text = len(self.stack) - 1, start, []
+
+    def end_tag(self, name: str, start: int, end: int) -> None:
+        known = bool(self.places.get(name))
+        if known:  # it also closes what was opened inside
+            keep = self.places[name][-1]
+            while len(self.stack) > keep:
+                self.places[self.stack.pop()].pop()
+            if self.hidden >= keep:
+                self.close_hidden(end)
+        self.unseen(start, end, name if known else "")
+
+    def close_hidden(self, end: int) -> None:
+        self.layer("html_hidden", self.hidden_start, end, " ".join(self.hidden_text))
+        self.hidden, self.hidden_text = -1, []
+
+    def read(self) -> dict:
+        page, at, n = self.page, 0, len(self.page)
+        while at < n:
+            start = page.find("<", at)
+            if start < 0:
+                start = n
+            follows = page[start + 1:start + 2]
+            if follows == "/" and page[start + 2:start + 3].isascii() and page[start + 2:start + 3].isalpha():
+                kind = "end"
+            elif follows in ("!", "?") and follows:
+                kind = "comment" if page.startswith("<!--", start) else "other"
+            elif follows.isascii() and follows.isalpha():
+                kind = "start"
+            else:  # a sign in the text, or the end
+                at_next = min(start + 1, n)
+                self.text(at, at_next)
+                at = at_next
+                continue
+            if start > at:
+                self.text(at, start)
+            at = self.piece(kind, start)
+        if self.hidden >= 0:  # an unclosed element runs to the end
+            self.close_hidden(n)
+        return {"layers": self.layers, "shown": "".join(self.shown)}
+
+    def piece(self, kind: str, start: int) -> int:
+        """Reads the comment or tag that begins here and returns where it ends; a tag without an end is text to the last."""
+        page, n = self.page, len(self.page)
+        if kind == "comment":
+            end = page.find("-->", start + 4) + 3
+            end = end if end > 2 else n
+            self.comment(start, end)
+            return end
+        if kind == "start":
+            name = NAME.match(page, start + 1)
+            found, end = attributes(page, name.end())
+            if end < 0:
+                self.text(start, n)
+                return n
+            tag = name[0].lower()
+            if tag not in ("script", "style"):
+                self.start_tag(tag, found, start, end)
+                return end
+            close = re.compile(rf"</{tag}\s*>", re.IGNORECASE).search(page, end)
+            end = close.end() if close else n
+            self.unseen(start, end)
+            return end
+        end = page.find(">", start) + 1
+        if not end:
+            self.text(start, n)
+            return n
+        if kind == "end":
+            self.end_tag(NAME.match(page, start + 2)[0].lower(), start, end)
+        else:
+            self.unseen(start, end)
+        return end
+
+
+@F.arrow_udf(READ)
+def read_page(pages: pa.Array) -> pa.Array:
+    """struct<layers,shown>: hidden layers, and the page with everything unseen replaced by filler. One pass over each page."""
+    return pa.array([None if page is None else Page(page).read() for page in pages.to_pylist()], to_arrow_type(READ))
 
 
 GAPS = r"[\s\u0004\u0005]+"
@@ -192,8 +233,7 @@ def visible_origin(pieces: Column) -> Column:
 
 def pages_read(pages: DataFrame, html: str) -> DataFrame:
     """Adds ``_page`` (layers, shown) and ``_pieces`` to a table of pages."""
-    df = pages.withColumn("_page", fence(read_page(F.col(html))))
-    df = df.withColumn("_page", fence(F.col("_page").withField("layers", X.clean_layers(F.col("_page.layers")))))
+    df = pages.withColumn("_page", read_page(F.col(html)))
     return df.withColumn("_pieces", fence(marked_pieces(F.col("_page.shown"), GAPS)))
 
 
