@@ -129,3 +129,13 @@ def test_two_stage_scan(spark):
     got = {tuple(r) for r in two_stage_scan(units, "unit", "words", dictionary, ["jaldi", "bhejo"]).collect()}
     # markers score a unit below 0.40, so b goes whole; d scores 0.406 and only its last window, words 10 to 15, is foreign
     assert got == {("b", 0, 15), ("c", 0, 3), ("d", 10, 16)}
+
+
+def test_benign_sample_is_cut_where_asked(spark):
+    from veilscan.operators.evalsets import benign_sample
+
+    rows = [(i, f"text {i} " + "word " * (50 if i % 2 else 10)) for i in range(30)] + [(40, "short"), (41, "text 3 " + "word " * 50)]
+    got = benign_sample(spark.createDataFrame(rows, "doc_id long, text string"), 5).collect()
+    order = sorted(range(30), key=lambda i: ((i * 7919 + 104729) % 1000003, i))
+    want = {(d, n, "benign" if n <= 5 else "carrier") for n, d in enumerate(order, 1) if n <= 5 or d % 2}
+    assert {tuple(r) for r in got} == want

@@ -100,7 +100,7 @@ def test_hidden_ranges(spark):
 def page(spark, html):
     from veilscan.operators import html as H
 
-    r = H.pages_read(spark.createDataFrame([(html,)], "h string"), "h").select(H.visible_text(F.col("_pieces")).alias("v"), "_page.layers", "_page.shown").head()
+    r = H.pages_read(spark.createDataFrame([(html,)], "h string"), F.col("h")).select(H.visible_text(F.col("_pieces")).alias("v"), "_page.layers", "_page.shown").head()
     assert len(r.shown) == len(html)
     return r.v.strip(), [(x.kind, x.text) for x in r.layers]
 

@@ -7,7 +7,7 @@ an Arrow UDF over the same arrays.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -21,10 +21,14 @@ from veilscan.functions.spans import let
 @dataclass(frozen=True)
 class Scorer:
     name: str
-    many: Callable[[Column], Column]  # array<string> -> array<double>
-    long: Callable[[Column], Column]  # string -> double
+    many: Callable[[Column], Column]  # array<string> -> array<double>; null for a null text, or in all if any text fails
+    cut: Callable[[Column], Column]  # string -> array<string>: the pieces a long text is scored in
     native: bool = True
 
+    def long(self, text: Column) -> Column:
+        """The highest score of a text's pieces."""
+        return F.array_max(self.many(self.cut(text)))
+
 
 def keyword_score(lowered: Column, phrases: list[str]) -> Column:
     """0.99 when any phrase occurs in the lower-cased text, else 0.01."""
@@ -46,32 +50,47 @@ def keyword_scorer(name: str, phrases: list[str], size: int = 2048, overlap: int
     def one(text: Column) -> Column:
         return let(F.lower(text), lambda low: keyword_score(low, phrases))
 
-    def many(texts: Column) -> Column:
-        return F.transform(texts, one)
+    return Scorer(name, lambda texts: F.transform(texts, one), lambda text: chunks(text, size, overlap))
+
+
+Model = Callable[[list[str]], list[float]]
+
 
-    def long(text: Column) -> Column:
-        return F.array_max(many(chunks(text, size, overlap)))
+def score_rows(model: Model, rows: list[list[str] | None], batch: int) -> list[list[float | None] | None]:
+    """Scores of every row's texts, batched over all rows. If the model raises, each row is scored alone and only rows it
+    raises on are null."""
+    def scored(own: list[list[str]]) -> list[list[float | None]]:
+        flat = [t for row in own for t in row if t is not None]
+        found = iter([float(s) for i in range(0, len(flat), batch) for s in model(flat[i:i + batch])])
+        return [[None if t is None else next(found) for t in row] for row in own]
 
-    return Scorer(name, many, long)
+    def alone(row: list[str]) -> list[float | None] | None:
+        try:
+            return scored([row])[0]
+        except Exception:  # whatever a model raises, its item is decided without it
+            return None
 
+    whole = [list(row) for row in rows if row is not None]
+    try:
+        results = iter(scored(whole))
+    except Exception:
+        results = iter([alone(row) for row in whole])
+    return [None if row is None else next(results) for row in rows]
+
+
+def make_scorer(name: str, fn: Model | None = None, batch: int = 16, size: int = 2048, overlap: int = 64,
+                load: Callable[[], Model] | None = None) -> Scorer:
+    """A scorer around a Python model that scores lists of texts: ``fn`` itself, or what ``load`` returns once a task."""
+    if (fn is None) == (load is None):
+        raise ValueError("give a scorer either fn or load")
 
-def make_scorer(name: str, fn: Callable[[list[str]], list[float]], batch: int = 16, size: int = 2048,
-                overlap: int = 64) -> Scorer:
-    """A scorer around a Python model; ``fn`` scores a list of texts and is called in batches."""
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def scores(rows: pd.Series) -> pd.Series:
-        flat = [t for row in rows if row is not None for t in row]
-        out = [s for i in range(0, len(flat), batch) for s in fn(flat[i:i + batch])]
-        at, results = 0, []
-        for row in rows:
-            if row is None:
-                results.append(None)
-                continue
-            results.append([float(s) for s in out[at:at + len(row)]])
-            at += len(row)
-        return pd.Series(results)
-
-    return Scorer(name, scores, lambda text: F.array_max(scores(chunks(text, size, overlap))), native=False)
+    def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = load() if load else fn
+        for rows in batches:
+            yield pd.Series(score_rows(model, list(rows), batch), dtype=object)
+
+    return Scorer(name, scores, lambda text: chunks(text, size, overlap), native=False)
 
 
 def assert_scorer(spark: SparkSession, scorer: Scorer, attack: str, benign: str) -> None:

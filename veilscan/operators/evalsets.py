@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilscan.functions.spans import strip
-from veilscan.operators.skew import first_per_group, number_rows
+from veilscan.operators.skew import arithmetic_shuffle, first_per_group, number_rows
 
 # Fixed values ---------------------------------------------------------------------------------
 CONSTANT_TYPES = ["indirect_injection", "tool_abuse"]
@@ -25,6 +25,7 @@ FAMILY_TYPES = {
 }
 HTML_TECHNIQUES = ["comment", "display_none", "aria_hidden", "alt", "white_text", "offscreen"]
 PROBE_CHARS = 60
+BENIGN = 1000
 # End of fixed values --------------------------------------------------------------------------
 
 
@@ -33,6 +34,17 @@ def email_text(subject: Column, body: Column) -> Column:
     return F.when(head != "", F.concat(F.lit("Subject: "), head, F.lit("\n\n"), strip(body))).otherwise(strip(body))
 
 
+def benign_sample(docs: DataFrame, most: int = BENIGN, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, rn, part): the first ``most`` distinct texts of 20 to 20,000 characters in a fixed shuffle are benign; the others of
+    40 to 400 words are carriers. Copies are grouped by a digest, so texts are not shuffled."""
+    slim = docs.filter(F.char_length(text).between(20, 20000)).select(
+        key, F.sha2(text, 256).alias("_sha"), F.size(F.split(strip(F.col(text)), r"\s+")).alias("words"))
+    one = slim.groupBy("_sha").agg(F.min(key).alias(key), F.first("words").alias("words")).drop("_sha")
+    ranked = number_rows(one.withColumn("shuffle", arithmetic_shuffle(key)), [], "shuffle", [key])
+    part = F.when(F.col("rn") <= most, "benign").otherwise("carrier")
+    return ranked.filter((F.col("rn") <= most) | F.col("words").between(40, 400)).select(key, "rn", part.alias("part"))
+
+
 def working_attacks(raw: DataFrame, labelled: DataFrame, phases: list[str]) -> DataFrame:
     """Rows of the wanted phases that met both objectives, not labelled already, first per (subject, body)."""
     def met(name: str) -> Column:

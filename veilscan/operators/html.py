@@ -231,22 +231,22 @@ def visible_origin(pieces: Column) -> Column:
         (i == 1) & (F.get(pieces, F.lit(0)) == ""), none).when(p["piece"].rlike(r"[\s\u0005]"), F.array(p["at"])).otherwise(none)))
 
 
-def pages_read(pages: DataFrame, html: str) -> DataFrame:
+def pages_read(pages: DataFrame, html: Column) -> DataFrame:
     """Adds ``_page`` (layers, shown) and ``_pieces`` to a table of pages."""
-    df = pages.withColumn("_page", read_page(F.col(html)))
+    df = pages.withColumn("_page", read_page(html))
     return df.withColumn("_pieces", fence(marked_pieces(F.col("_page.shown"), GAPS)))
 
 
-def html_front_end(items: DataFrame) -> DataFrame:
-    df = pages_read(items, "content")
+def html_front_end(items: DataFrame, content: Column | None = None) -> DataFrame:
+    df = pages_read(items, F.col("content") if content is None else content)
     return df.withColumn("base", fence(visible_text(F.col("_pieces")))).withColumn("base_origin", fence(visible_origin(F.col("_pieces")))) \
         .withColumn("hidden_layers", F.col("_page.layers")).drop("_page", "_pieces")
 
 
 def html_visible(pages: DataFrame, key: str, html: str) -> DataFrame:
-    return pages_read(pages, html).select(key, visible_text(F.col("_pieces")).alias("visible"))
+    return pages_read(pages, F.col(html)).select(key, visible_text(F.col("_pieces")).alias("visible"))
 
 
 def html_hidden_layers(pages: DataFrame, key: str, html: str) -> DataFrame:
     """One row per hidden part of a page: comments, hidden elements, read-only attributes."""
-    return pages_read(pages, html).select(key, F.inline_outer("_page.layers")).filter("kind IS NOT NULL")
+    return pages_read(pages, F.col(html)).select(key, F.inline_outer("_page.layers")).filter("kind IS NOT NULL")

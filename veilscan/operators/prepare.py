@@ -39,40 +39,45 @@ def visible_gaps(text: Column, ranges: Column) -> Column:
     return F.filter(gaps, lambda g: g["end"] > g["start"])
 
 
-def apply_hidden_ranges(items: DataFrame) -> DataFrame:
+def apply_hidden_ranges(items: DataFrame, ranges: Column | None = None) -> DataFrame:
     """Splits texts with known hidden ranges into ``base`` (visible), ``base_origin`` and ``hidden_layers``."""
-    gaps = visible_gaps(F.col("content"), F.col("hidden"))
-    out = items.withColumn("_gaps", gaps).withColumn("_ranges", clamp_ranges(F.col("content"), F.col("hidden")))
-    base = F.array_join(F.transform("_gaps", lambda g: cut_out(F.col("content"), g["start"], g["end"])), "")
+    ranges = F.col("hidden") if ranges is None else ranges
+    content = F.col("content")
+    df = items.withColumn("_gaps", visible_gaps(content, ranges)).withColumn("_ranges", clamp_ranges(content, ranges))
+    base = F.array_join(F.transform("_gaps", lambda g: cut_out(content, g["start"], g["end"])), "")
     origin = F.flatten(F.transform("_gaps", lambda g: F.sequence(g["start"], g["end"] - 1)))
     layers = F.transform("_ranges", lambda r: F.struct(
         r["kind"].alias("kind"), r["start"].alias("start"), r["end"].alias("end"),
-        cut_out(F.col("content"), r["start"], r["end"]).alias("text"),
+        cut_out(content, r["start"], r["end"]).alias("text"),
         F.lit(1).alias("depth"), F.lit(True).alias("hidden")))
-    return out.withColumn("base", base).withColumn("base_origin", origin).withColumn(
+    return df.withColumn("base", base).withColumn("base_origin", origin).withColumn(
         "hidden_layers", X.clean_layers(fence(layers.cast(LAYER_ARRAY)))).drop("_gaps", "_ranges")
 
 
 def choose_front_end(items: DataFrame) -> DataFrame:
-    """Adds ``base``, ``base_origin`` and ``hidden_layers`` by how each item is formatted."""
+    """Adds ``base``, ``base_origin`` and ``hidden_layers`` by how each item is formatted: every front end reads the items it is
+    for and null in place of the others, so the input is read once."""
     from veilscan.operators.html import html_front_end
 
-    columns = set(items.columns)
-    plain = items
-    parts = []
-    if "format" in columns:
-        is_html = F.coalesce(F.col("format"), F.lit("text")) == "html"
-        parts.append(html_front_end(items.filter(is_html)))
-        plain = items.filter(~is_html)
-    if "hidden" in columns:
-        ranged = F.size(F.coalesce("hidden", F.array())) > 0
-        parts.append(apply_hidden_ranges(plain.filter(ranged)))
-        plain = plain.filter(~ranged)
-    out = plain.withColumn("base", F.col("content")).withColumn(
-        "base_origin", F.lit(None).cast("array<int>")).withColumn("hidden_layers", empty(LAYER_ARRAY))
-    for part in parts:
-        out = out.unionByName(part)
-    return out
+    content, none = F.col("content"), F.lit(None).cast("array<int>")
+    base, origin, layers = content, none, empty(LAYER_ARRAY)
+    is_html = F.coalesce(F.col("format") == "html", F.lit(False)) if "format" in items.columns else F.lit(False)
+    df, spent = items, []
+
+    def taken(df: DataFrame, name: str, asked: Column) -> DataFrame:
+        nonlocal base, origin, layers
+        part = F.col(name)
+        base, origin, layers = (F.when(asked, part[field]).otherwise(other) for field, other in (
+            ("base", base), ("base_origin", origin), ("hidden_layers", layers)))
+        spent.append(name)
+        return df.withColumn(name, F.struct("base", "base_origin", "hidden_layers")).drop("base", "base_origin", "hidden_layers")
+
+    if "hidden" in items.columns:
+        ranged = (F.size(F.coalesce("hidden", F.array())) > 0) & ~is_html
+        df = taken(apply_hidden_ranges(df, F.when(ranged, F.col("hidden"))), "_ranged", ranged)
+    if "format" in items.columns:
+        df = taken(html_front_end(df, F.when(is_html, content)), "_paged", is_html)
+    return df.withColumns({"base": base, "base_origin": origin, "hidden_layers": layers}).drop(*spent)
 
 
 def add_view(df: DataFrame) -> DataFrame:

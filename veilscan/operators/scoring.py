@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilscan.functions import text as X
 from veilscan.functions.scorers import Scorer
-from veilscan.functions.spans import fence, let
+from veilscan.functions.spans import fence, let, running
 from veilscan.settings import GROUP_ARRAY, WINDOW_UNITS, Options, empty
 
 RANGES = "array<struct<a:int,b:int,s:array<double>,top:double>>"
@@ -31,14 +33,18 @@ def runs_of(n: Column, width: int) -> Column:
     return F.when(n >= width, found).otherwise(F.array().cast("array<struct<a:int,b:int>>"))
 
 
-def score_ranges(texts: Column, ranges: Column, scorers: list[Scorer]) -> Column:
-    """Each range with every scorer's score, in scorer order, and the top score."""
+def score_ranges(texts: Column, ranges: Column, scorers: list[Scorer], wanted: Callable[[Column], Column] | None = None) -> Column:
+    """Each range with every scorer's score, in scorer order, and the top score; null scores where a range is not ``wanted``."""
     def merged(lists: Column) -> Column:
         # lists: one array of scores per scorer, bound once, so no text is scored again per range
         return F.transform(ranges, lambda r, i: let(F.transform(lists, lambda x: F.get(x, i)), lambda s: F.struct(
             r["a"].alias("a"), r["b"].alias("b"), s.alias("s"), F.array_max(s).alias("top"))))
 
-    bodies = F.transform(ranges, lambda r: range_text(texts, r["a"], r["b"]))
+    def body(r: Column) -> Column:
+        said = range_text(texts, r["a"], r["b"])
+        return said if wanted is None else F.when(wanted(r), said)
+
+    bodies = F.transform(ranges, body)
     if all(s.native for s in scorers):
         return let(bodies, lambda t: let(F.array(*[s.many(t) for s in scorers]), merged)).cast(RANGES)
     return let(F.array(*[s.many(bodies) for s in scorers]), merged).cast(RANGES)
@@ -85,18 +91,16 @@ def locate_groups(windows: Column, pairs: Column, singles: Column, names: list[s
     return F.aggregate(ordered, start, step, lambda acc: acc["groups"])
 
 
-def groups_in(units: Column, scorers: list[Scorer], threshold: float) -> Column:
-    """Flagged groups of one text's units, as one expression; native scorers only."""
-    names = [s.name for s in scorers]
-
-    def located(texts: Column) -> Column:
-        n = F.size(texts)
-        windows = score_ranges(texts, unit_windows(n), scorers)
-        return let(windows, lambda w: F.when(F.exists(w, lambda x: x["top"] >= threshold), locate_groups(
-            w, score_ranges(texts, runs_of(n, 2), scorers), score_ranges(texts, runs_of(n, 1), scorers),
-            names, threshold)).otherwise(empty(GROUP_ARRAY)))
+def under_high(windows: Column, threshold: float) -> Callable[[Column], Column]:
+    """Whether a range of at most two units lies in a window that a scorer flags: it can only be one of three."""
+    def inside(r: Column) -> Column:
+        found = F.lit(False)
+        for back in range(WINDOW_UNITS):
+            w = F.get(windows, r["a"] - back)
+            found = found | F.coalesce((w["top"] >= threshold) & (w["b"] >= r["b"]), F.lit(False))
+        return found
 
-    return let(F.transform(units, lambda u: u["text"]), located)
+    return inside
 
 
 def score_windows(df: DataFrame, scorers: list[Scorer], threshold: float) -> DataFrame:
@@ -107,8 +111,8 @@ def score_windows(df: DataFrame, scorers: list[Scorer], threshold: float) -> Dat
     nothing = F.array().cast("array<struct<a:int,b:int>>")
     df = df.withColumn("_r2", F.when(high, runs_of(F.col("_n"), 2)).otherwise(nothing)) \
         .withColumn("_r1", F.when(high, runs_of(F.col("_n"), 1)).otherwise(nothing)) \
-        .withColumn("_pairs", fence(score_ranges(F.col("_texts"), F.col("_r2"), scorers))) \
-        .withColumn("_singles", fence(score_ranges(F.col("_texts"), F.col("_r1"), scorers)))
+        .withColumn("_pairs", fence(score_ranges(F.col("_texts"), F.col("_r2"), scorers, under_high(F.col("windows"), threshold)))) \
+        .withColumn("_singles", fence(score_ranges(F.col("_texts"), F.col("_r1"), scorers, under_high(F.col("windows"), threshold))))
     groups = locate_groups(F.col("windows"), F.col("_pairs"), F.col("_singles"), [s.name for s in scorers], threshold)
     return df.withColumn("groups", fence(F.when(high, groups).otherwise(empty(GROUP_ARRAY)))).drop(
         "_texts", "_n", "_r1", "_r2", "_pairs", "_singles")
@@ -117,41 +121,106 @@ def score_windows(df: DataFrame, scorers: list[Scorer], threshold: float) -> Dat
 def score_items(prepared: DataFrame, scorers: list[Scorer], opts: Options = Options()) -> DataFrame:
     """Adds windows, groups, scores, layer_flags and unlocated to prepared items. No shuffle.
 
-    A scorer that fails returns nulls: the item is then decided on the rules alone, with a warning.
+    A scorer that fails on an item returns nulls: that item is then decided on the rules alone, with a warning.
     """
     thr = opts.threshold
     df = score_windows(prepared, scorers, thr)
     for i, s in enumerate(scorers):
         df = df.withColumn(f"_whole_{i}", fence(s.long(F.col("view"))))
+    df = flag_layers(df, scorers, thr)
     entries = [F.struct(F.lit(s.name).alias("key"), F.struct(
         F.round(F.col(f"_whole_{i}"), 4).alias("whole"),
-        F.round(F.coalesce(F.array_max(F.transform("windows", lambda w, i=i: F.get(w["s"], F.lit(i)))), F.lit(0.0)), 4)
-        .alias("max_window")).alias("value")) for i, s in enumerate(scorers)]
-    failed = F.lit(False)
+        F.round(F.coalesce(F.array_max(scores_of(F.col("windows"), i)), F.lit(0.0)), 4).alias("max_window")).alias("value")) for i, s in enumerate(scorers)]
+    failed = has_null_score(F.col("windows")) | F.col("_layers_failed")
     for i in range(len(scorers)):
         failed = failed | F.col(f"_whole_{i}").isNull() & F.col("view").isNotNull()
-    df = df.withColumn("scores", F.map_from_entries(F.array(*entries))).withColumn("scorers_failed", failed)
+    df = df.withColumn("scorers_failed", fence(failed)).withColumn("scores", F.map_from_entries(F.array(*entries)))
+    failed = F.col("scorers_failed")
     whole = F.greatest(*[F.col(f"_whole_{i}") for i in range(len(scorers))]) if len(scorers) > 1 else F.col("_whole_0")
-    df = df.withColumn("unlocated", (F.size("groups") == 0) & (F.coalesce(whole, F.lit(0.0)) >= thr))
-    df = df.withColumn("layer_flags", fence(flag_layers(F.col("layers"), scorers, thr)))
-    df = df.withColumn("warnings", F.when(F.col("scorers_failed"), F.concat("warnings", F.array(
+    df = df.withColumn("groups", F.when(failed, empty(GROUP_ARRAY)).otherwise(F.col("groups")))
+    df = df.withColumn("layer_flags", F.when(failed, F.transform("layers", lambda x: F.array().cast("array<string>"))).otherwise(F.col("layer_flags")))
+    df = df.withColumn("unlocated", ~failed & (F.size("groups") == 0) & (F.coalesce(whole, F.lit(0.0)) >= thr))
+    df = df.withColumn("warnings", F.when(failed, F.concat("warnings", F.array(
         F.lit("classifiers unavailable: decided on the rules alone")))).otherwise(F.col("warnings")))
-    return df.drop(*[f"_whole_{i}" for i in range(len(scorers))])
+    return df.drop("_layers_failed", *[f"_whole_{i}" for i in range(len(scorers))])
+
+
+def scores_of(ranges: Column, number: int) -> Column:
+    """One scorer's score of each range. (An array function passes the place to a second parameter, so there is none.)"""
+    return F.transform(ranges, lambda r: F.get(r["s"], F.lit(number)))
+
+
+def has_null_score(ranges: Column) -> Column:
+    """Whether a scorer gave no score to one of the windows."""
+    return F.coalesce(F.exists(ranges, lambda w: F.exists(w["s"], lambda x: x.isNull())), F.lit(False))
+
+
+def nested_scores(df: DataFrame, texts: str, out: str, scorers: list[Scorer]) -> DataFrame:
+    """Adds ``out``, array<array<array<double>>>: for each text of each of ``texts`` (array<array<string>>) the scores in scorer
+    order. All texts of a row are scored as one array, since a Python scorer cannot be called inside an array function."""
+    df = df.withColumn("_flat", fence(F.flatten(texts)))
+    df = df.withColumn("_by", fence(F.array(*[s.many(F.col("_flat")) for s in scorers])))
+    places = running(F.transform(texts, lambda t: F.size(t)))
+    return df.withColumn(out, fence(F.zip_with(texts, places, lambda own, at: F.transform(
+        own, lambda t, i: F.transform("_by", lambda x: F.get(x, at + i)))))).drop("_flat", "_by")
+
 
+def flag_layers(df: DataFrame, scorers: list[Scorer], threshold: float, layers: str = "layers") -> DataFrame:
+    """Adds ``layer_flags``, for each layer the scorers that flag it, concealed text also window by window, and ``_layers_failed``.
 
-def flag_layers(layers: Column, scorers: list[Scorer], threshold: float) -> Column:
-    """For each layer, the scorers that flag it: concealed text also window by window."""
-    texts = F.transform(layers, lambda x: x["text"])
+    The windows, pairs and single units of all of a row's layers are scored like those of visible text, by any scorer."""
     nothing = F.array().cast("array<string>")
-    if not all(s.native for s in scorers):
-        return let(F.array(*[s.many(texts) for s in scorers]), lambda lists: F.transform(
-            layers, lambda x, i: F.array_sort(F.array_compact(F.array(*[
-                F.when(F.get(F.get(lists, F.lit(k)), i) >= threshold, F.lit(s.name)) for k, s in enumerate(scorers)])))))
-
-    def flags(x: Column) -> Column:
-        whole = F.array_compact(F.array(*[F.when(s.long(x["text"]) >= threshold, F.lit(s.name)) for s in scorers]))
-        grouped = F.flatten(F.transform(groups_in(X.split_units(x["text"], F.lit(False)), scorers, threshold),
-                                        lambda g: g["flagged_by"]))
-        return F.when(x["hidden"], F.array_sort(F.array_distinct(F.concat(whole, grouped)))).otherwise(whole)
-
-    return F.when(F.size(layers) > 0, F.transform(layers, flags)).otherwise(F.array().cast("array<array<string>>"))
+    labels = F.array(*[F.lit(s.name) for s in scorers])
+    df = df.withColumn("_units", fence(F.transform(layers, lambda x: F.when(x["hidden"], F.transform(
+        X.split_units(x["text"], F.lit(False)), lambda u: u["text"])).otherwise(nothing))))
+
+    def scored(df: DataFrame, out: str, ranges: Callable[[Column, Column], Column], wanted: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+        df = df.withColumn("_ranges", fence(F.transform("_units", ranges)))
+
+        def bodies(t: Column, i: Column) -> Column:
+            def said(r: Column) -> Column:
+                body = range_text(t, r["a"], r["b"])
+                return body if wanted is None else F.when(wanted(r, i), body)
+
+            return F.transform(F.get("_ranges", i), said)
+
+        df = df.withColumn("_texts", fence(F.transform("_units", bodies)))
+        df = nested_scores(df, "_texts", "_scores", scorers)
+        return df.withColumn(out, fence(F.zip_with("_ranges", "_scores", lambda r, s: F.zip_with(r, s, lambda x, y: F.struct(
+            x["a"].alias("a"), x["b"].alias("b"), y.alias("s"), F.array_max(y).alias("top")))).cast(f"array<{RANGES}>")))
+
+    def high(i: Column) -> Column:
+        return F.exists(F.get("_windows", i), lambda w: w["top"] >= threshold)
+
+    def within(r: Column, i: Column) -> Column:
+        return under_high(F.get("_windows", i), threshold)(r)
+
+    def under(width: int) -> Callable[[Column, Column], Column]:
+        return lambda t, i: F.when(high(i), runs_of(F.size(t), width)).otherwise(F.array().cast("array<struct<a:int,b:int>>"))
+
+    def longest(number: int) -> Column:
+        return F.transform(f"_whole_layer_{number}", lambda rows: F.array_max(F.transform(rows, lambda y: F.get(y, F.lit(0)))))
+
+    df = scored(df, "_windows", lambda t, i: unit_windows(F.size(t)))
+    for width, out in ((2, "_pairs"), (1, "_singles")):
+        df = scored(df, out, under(width), within)
+    groups = F.transform("_units", lambda t, i: F.when(high(i), locate_groups(
+        F.get("_windows", i), F.get("_pairs", i), F.get("_singles", i), [s.name for s in scorers], threshold)).otherwise(empty(GROUP_ARRAY)))
+    df = df.withColumn("_groups", fence(groups))
+    # Whole texts, each scorer in its own pieces.
+    for k, s in enumerate(scorers):
+        cut = s.cut
+        df = df.withColumn("_texts", fence(F.transform(layers, lambda x: cut(x["text"]))))
+        df = nested_scores(df, "_texts", f"_whole_layer_{k}", [s])
+    df = df.withColumn("_wholes", fence(F.arrays_zip(*[longest(k).alias(f"w{k}") for k in range(len(scorers))])))
+
+    def flags(x: Column, i: Column) -> Column:
+        w = F.get("_wholes", i)
+        whole = F.filter(labels, lambda name, k: F.coalesce(F.get(F.array(*[w[f"w{n}"] for n in range(len(scorers))]), k) >= threshold, F.lit(False)))
+        return F.array_sort(F.array_distinct(F.concat(whole, F.flatten(F.transform(F.get("_groups", i), lambda g: g["flagged_by"])))))
+
+    failed = F.exists("_windows", has_null_score) | F.exists("_wholes", lambda w: F.exists(
+        F.array(*[w[f"w{n}"] for n in range(len(scorers))]), lambda x: x.isNull()))
+    df = df.withColumn("layer_flags", fence(F.transform(layers, flags))).withColumn("_layers_failed", F.coalesce(failed, F.lit(False)))
+    return df.drop("_units", "_ranges", "_texts", "_scores", "_windows", "_pairs", "_singles", "_groups", "_wholes",
+                   *[f"_whole_layer_{k}" for k in range(len(scorers))])

@@ -189,18 +189,12 @@ def family_types(spark, sf):
 
 
 @query("benign_sample", f"""
-SELECT doc_id, rn, CASE WHEN rn <= 10000 THEN 'benign' ELSE 'carrier' END AS part FROM (
+SELECT doc_id, rn, CASE WHEN rn <= {B.BENIGN} THEN 'benign' ELSE 'carrier' END AS part FROM (
   SELECT doc_id, words, row_number() OVER (ORDER BY {SHUFFLE}, doc_id) AS rn FROM (
     SELECT min(doc_id) AS doc_id, len(string_split_regex(trim(text, {WS}), '\\s+')) AS words FROM documents WHERE length(text) BETWEEN 20 AND 20000 GROUP BY text))
-WHERE rn <= 10000 OR words BETWEEN 40 AND 400""")
+WHERE rn <= {B.BENIGN} OR words BETWEEN 40 AND 400""")
 def benign_sample(spark, sf):
-    d = texts(spark, sf, "documents").filter(F.char_length("text").between(20, 20000))
-    # exact copies are grouped by a digest, so the texts themselves are not shuffled
-    slim = d.select("doc_id", F.sha2("text", 256).alias("sha"), F.size(F.split(F.btrim("text", F.lit(" \t\n\r\x0b\x0c")), r"\s+")).alias("words"))
-    one = slim.groupBy("sha").agg(F.min("doc_id").alias("doc_id"), F.first("words").alias("words")).drop("sha")
-    ranked = number_rows(shuffled(one), [], "shuffle", ["doc_id"])
-    part_ = F.when(F.col("rn") <= 1000, "benign").otherwise("carrier")
-    return ranked.filter((F.col("rn") <= 1000) | F.col("words").between(40, 400)).select("doc_id", "rn", part_.alias("part"))
+    return B.benign_sample(texts(spark, sf, "documents"))
 
 
 @query("hard_wording", f"SELECT doc_id FROM planted WHERE regexp_matches(text, '{HARD}')", ["planted"])

@@ -9,7 +9,7 @@ from veilscan.functions.spans import fence, let, positions_of, unfold
 from veilscan.operators import cutting as C
 from veilscan.operators import evidence as E
 from veilscan.operators import scoring as S
-from veilscan.operators.screen import check_items, detect, cut_lineage
+from veilscan.operators.screen import check_items, detect
 from veilscan.plans.parts import lit
 from veilscan.plans.registry import part, query
 from veilscan.sources.planted import items, planted
@@ -129,7 +129,7 @@ def degrade_on_failure(spark, sf):
 
     base = scorers()[0]
     failing = F.col("doc_id") % 10 == 0
-    flaky = Scorer("flaky", lambda t: F.when(~failing, base.many(t)), lambda t: F.when(~failing, base.long(t)))
+    flaky = Scorer("flaky", lambda t: F.when(~failing, base.many(t)), base.cut)
     from veilscan.settings import LAYER_ARRAY, empty
 
     d = with_units(spark, sf).withColumn("view", F.col("text")).withColumn("layers", empty(LAYER_ARRAY)).withColumn(
@@ -476,7 +476,7 @@ def screen_verdicts_by_source(spark, sf):
 
 
 def screened(spark, sf):
-    """The whole check with scorers, language gate and re-check; it writes its lineage cut where the session says."""
+    """The whole check with scorers, language gate and re-check."""
     return check_items(items(spark, sf), scorers())
 
 

@@ -255,15 +255,15 @@ def join_short_lines(spark, sf):
 
 @query("flag_layers")
 def flag_layers(spark, sf):
-    from veilscan.functions.spans import fence, unfold
+    from veilscan.functions.spans import unfold
     from veilscan.operators.prepare import apply_hidden_ranges
     from veilscan.operators.scoring import flag_layers as flags
     from veilscan.plans.text_queries import hidden_ranges
     from veilscan.sources.screened import scorers
 
     d = apply_hidden_ranges(hidden_ranges(spark, sf))
-    d = d.withColumn("f", fence(flags(F.col("hidden_layers"), scorers(), 0.65)))
-    rows = F.transform("hidden_layers", lambda x, i: F.struct(x["start"].alias("layer_start"), F.array_join(F.get("f", i), ",").alias("flagged_by")))
+    d = flags(d, scorers(), 0.65, "hidden_layers")
+    rows = F.transform("hidden_layers", lambda x, i: F.struct(x["start"].alias("layer_start"), F.array_join(F.get("layer_flags", i), ",").alias("flagged_by")))
     return d.transform(unfold, ["doc_id"], rows)
 
 

@@ -81,9 +81,23 @@ def decode_variation_selectors(spark, sf):
     return d.transform(unfold, ["doc_id", "plant"], X.decode_variation_selectors(hidden)).select("doc_id", (F.col("text") == F.col("plant")).alias("same"), "start", "end")
 
 
-@query("join_spaced_letters", "SELECT doc_id, md5(text || chr(10) || 'ignore  now') AS joined_md5 FROM documents WHERE NOT regexp_matches(text, '(^|[^0-9A-Za-z_À-ÿ])[0-9A-Za-z_À-ÿ]( [0-9A-Za-z_À-ÿ]){2,}')")
+# A space goes if letters that stand alone are on both sides and the same holds for the space before or after it.
+ALONE = "\\p{L}\\p{M}\\p{Nd}\\p{Nl}\\p{Pc}"
+
+
+@query("join_spaced_letters", f"""
+WITH t AS (
+  SELECT doc_id, string_split(text || chr(10) || 'i g n o r e  now', ' ') AS l FROM documents
+), f AS (
+  SELECT doc_id, l, list_transform(l, lambda x: regexp_matches(x, '(^|[^{ALONE}])[{ALONE}]$')) AS s,
+    list_transform(l, lambda x: regexp_matches(x, '^[{ALONE}]([^{ALONE}]|$)')) AS e, list_transform(l, lambda x: regexp_full_match(x, '[{ALONE}]')) AS g FROM t
+), k AS (
+  SELECT *, list_transform(range(1, len(l) + 1), lambda i: s[i] AND coalesce(e[i + 1], FALSE)) AS k FROM f
+)
+SELECT doc_id, md5(array_to_string(list_transform(range(1, len(l) + 1), lambda i: l[i] || CASE
+  WHEN i = len(l) OR (k[i] AND ((i > 1 AND k[i - 1] AND g[i]) OR (coalesce(k[i + 1], FALSE) AND g[i + 1]))) THEN '' ELSE ' ' END), '')) AS joined_md5 FROM k""")
 def join_spaced_letters(spark, sf):
-    d = texts(spark, sf, "documents").filter(~F.col("text").rlike("(^|[^0-9A-Za-z_À-ÿ])[0-9A-Za-z_À-ÿ]( [0-9A-Za-z_À-ÿ]){2,}"))
+    d = texts(spark, sf, "documents")
     return d.select("doc_id", F.md5(X.join_spaced_letters(F.concat("text", F.lit("\ni g n o r e  now")))).alias("joined_md5"))
 
 
