@@ -212,3 +212,12 @@ def test_front_ends_read_their_own_items(spark):
     df = spark.createDataFrame(rows, f"item_id int, content string, format string, hidden {HIDDEN}")
     got = {r.item_id: (r.base and r.base.strip(), [x.kind for x in r.hidden_layers or []]) for r in choose_front_end(df).collect()}
     assert got == {0: ("a", ["html_comment"]), 1: ("seen", ["pdf"]), 2: ("<p>plain</p>", []), 3: ("x", []), 4: (None, []), 5: ("as it is", [])}
+
+
+def test_open_windows_are_given_out_at_the_end(spark, tmp_path):
+    spark.sql("SELECT timestamp('2024-01-01') + make_interval(0, 0, 0, 0, 0, id, 0) AS ts, if(id % 2 = 0, 'web', NULL) AS source, 'allow' AS verdict FROM range(150)") \
+        .write.parquet(str(tmp_path / "in"))
+    one = spark.read.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(one.schema).parquet(str(tmp_path / "in"))
+    got = streams.run_closed(stream, streams.live_counts, "test-counts").select("w.start", "source", "n").collect()
+    assert sorted((r.start.hour, r.source or "", r.n) for r in got) == [(0, "", 30), (0, "web", 30), (1, "", 30), (1, "web", 30), (2, "", 15), (2, "web", 15)]

@@ -25,11 +25,10 @@ def event_stream(spark, sf):
 
 @query("live_counts", """
 SELECT strftime(hour, '%Y-%m-%d %H:00') AS hour, source, verdict, count(*) AS n FROM (
-  SELECT date_trunc('hour', ts) AS hour, event_type AS source, CASE WHEN event_id % 7 = 0 THEN 'quarantine' ELSE 'allow' END AS verdict FROM events)
-WHERE hour + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events) GROUP BY ALL""")
+  SELECT date_trunc('hour', ts) AS hour, event_type AS source, CASE WHEN event_id % 7 = 0 THEN 'quarantine' ELSE 'allow' END AS verdict FROM events) GROUP BY ALL""")
 def live_counts(spark, sf):
     e = event_stream(spark, sf).select("ts", F.col("event_type").alias("source"), F.when(F.col("event_id") % 7 == 0, "quarantine").otherwise("allow").alias("verdict"))
-    out = S.run_to_folder(S.live_counts(e), "live-counts")
+    out = S.run_closed(e, S.live_counts, "live-counts")
     return out.select(F.date_format("w.start", "yyyy-MM-dd HH:00").alias("hour"), "source", "verdict", "n")
 
 
@@ -76,8 +75,11 @@ def conversation_threads(spark, sf):
     return S.conversation_threads(table(spark, sf, "conversations")).select("conv_id", "block", "messages", F.md5("content").alias("content_md5"))
 
 
-@query("conversation_sessions")
+@query("conversation_sessions", """
+SELECT conv_id, count(*) AS messages, md5(string_agg(text, chr(10) ORDER BY turn)) AS content_md5 FROM (
+  SELECT *, unnest(range(greatest(CAST(floor((turn - 50) / 40.0) AS BIGINT) + 1, 0), CAST(floor(turn / 40.0) AS BIGINT) + 1)) AS block FROM conversations)
+GROUP BY conv_id, block, CASE WHEN conv_id % 2 = 0 THEN 0 ELSE turn END""")
 def conversation_sessions(spark, sf):
     c = stream_of(spark, sf, "conversations").withColumn("ts", F.timestamp_seconds(F.col("conv_id") * 100000 + F.col("turn") * F.when(F.col("conv_id") % 2 == 0, 60).otherwise(2400)))
-    out = S.run_to_folder(S.conversation_sessions(c), "sessions")
+    out = S.run_closed(c, S.conversation_sessions, "sessions")
     return out.select("conv_id", "messages", F.md5("content").alias("content_md5"))

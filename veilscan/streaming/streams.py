@@ -103,16 +103,42 @@ def conversation_threads(turns: DataFrame, block: int = 50, overlap: int = 10) -
 
 def conversation_sessions(turns: DataFrame, ts: str = "ts", gap: str = "30 minutes", delay: str = "10 minutes", block: int = 50, overlap: int = 10) -> DataFrame:
     """The streaming form: one text per conversation, session and block of turns. Append mode gives a session out once the
-    watermark has passed it; sessions still open when the input ends stay in the state."""
+    watermark has passed it; ``run_closed`` also gives out those still open when the input ends."""
     per = turns.withWatermark(ts, delay).withColumn("block", F.explode(turn_blocks(F.col("turn"), block, overlap)))
     return _joined(per, "conv_id", "block", F.session_window(ts, gap).alias("session"))
 
 
+def _run(stream: DataFrame, out: str) -> None:
+    stream.writeStream.outputMode("append").format("parquet").option("path", out).option(
+        "checkpointLocation", out + "-checkpoint").trigger(availableNow=True).start().awaitTermination()
+
+
 def run_to_folder(stream: DataFrame, name: str) -> DataFrame:
     """Runs an append stream over all available input and reads the files it wrote."""
     spark = stream.sparkSession
     out = shared_folder(spark, name)
-    q = stream.writeStream.outputMode("append").format("parquet").option("path", out).option(
-        "checkpointLocation", out + "-checkpoint").trigger(availableNow=True).start()
-    q.awaitTermination()
+    _run(stream, out)
+    return spark.read.schema(stream.schema).parquet(out)
+
+
+#: Later than any row's time; a row of it moves the watermark past every open window.
+END_OF_TIME = "9999-01-01"
+
+
+def run_closed(source: DataFrame, build: Callable[[DataFrame], DataFrame], name: str, ts: str = "ts") -> DataFrame:
+    """Runs ``build`` as an append stream over all of a source that ends, and gives out what is still open then.
+
+    The job reads the source and a closing folder of its own. Once the source is read to its end, one row of END_OF_TIME, null in
+    all else, goes into that folder and the same job, from its checkpoint, goes on: the watermark passes every window that
+    holds rows, so each is given out once. The closing row's own window stays open and is never given out.
+    """
+    spark = source.sparkSession
+    out = shared_folder(spark, name)
+    closing = out + "-closing"
+    nulls = spark.range(1).select(*[F.lit(END_OF_TIME if f.name == ts else None).cast(f.dataType).alias(f.name) for f in source.schema])
+    nulls.limit(0).write.parquet(closing)
+    stream = build(source.unionByName(spark.readStream.schema(source.schema).parquet(closing)))
+    _run(stream, out)
+    nulls.write.mode("append").parquet(closing)
+    _run(stream, out)
     return spark.read.schema(stream.schema).parquet(out)
