@@ -12,8 +12,8 @@ import pyarrow.compute as pc
 #: Bytes of text that are cut and encoded together; a longer text is a slice of its own.
 SLICE = 16 << 20
 _SPACE, _LINE = 0x20, 0x0A
-#: Memory for remembered pieces, in bytes, and what a short one costs besides its characters.
-HELD, PIECE_COST = 128 << 20, 200
+#: Bytes of remembered pieces and their ids; looking them up takes about as much for a moment.
+HELD = 96 << 20
 #: What a byte after a blank begins: 0 white space or control, 1 a visible character, 2 perhaps a blank of more bytes.
 _NEXT = np.zeros(256, np.uint8)
 _NEXT[0x21:0x7F], _NEXT[0x80:] = 1, 1
@@ -91,7 +91,7 @@ class Encoder:
         # A byte-level vocabulary writes each byte as one character.
         self.names = [self.tokenizer.id_to_token(i) or "" for i in range(self.size)]
         self.widths = np.array([len(n) for n in self.names], np.int64)
-        self.known, self.held = {}, 0
+        self.known = pa.array([], pa.large_string())
         self.places = self.lengths = self.store = np.zeros(0, np.int64)
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
@@ -111,42 +111,50 @@ class Encoder:
         begin[at[:-1][full]] = True
         return np.flatnonzero(begin)
 
-    def learn(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def learn(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(place, length, all ids) of pieces; those that begin with a blank and a visible character are encoded joined."""
-        joint = np.array([len(t) > 1 and t[0] in " \n" and not t[1].isspace() for t in texts], bool)
-        places, lengths, parts, total = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64), [], 0
+        body, at = raw(pieces)
+        padded = np.append(body, np.zeros(2, np.uint8))
+        first = padded[at[:-1]]
+        joint = (np.diff(at) > 1) & ((first == _SPACE) | (first == _LINE)) & (_NEXT[padded[at[:-1] + 1]] == 1)
+        places, lengths, parts, total = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64), [], 0
         own = np.flatnonzero(joint)
-        for at in range(0, len(own), 1 << 14):
-            some = own[at:at + (1 << 14)]
-            ids = self.whole(["".join([texts[k] for k in some.tolist()])])[0]
-            stops = np.searchsorted(np.cumsum(self.widths[ids]), np.cumsum([len(texts[k].encode()) for k in some.tolist()]), side="left") + 1
-            lengths[some] = np.diff(stops, prepend=0)
-            places[some] = total + stops - lengths[some]
-            parts.append(ids)
-            total += len(ids)
+        if len(own):
+            body, at = raw(pieces.take(pa.array(own)))
+            for k in range(0, len(own), 1 << 14):
+                some = own[k:k + (1 << 14)]
+                ends = at[k:k + len(some) + 1]
+                ids = self.whole([body[ends[0]:ends[-1]].tobytes().decode()])[0]
+                stops = np.searchsorted(np.cumsum(self.widths[ids]), ends[1:] - ends[0], side="left") + 1
+                lengths[some] = np.diff(stops, prepend=0)
+                places[some] = total + stops - lengths[some]
+                parts.append(ids)
+                total += len(ids)
         apart = np.flatnonzero(~joint)
-        for k, ids in zip(apart.tolist(), self.whole([texts[k] for k in apart.tolist()])):
+        for k, ids in zip(apart.tolist(), self.whole(pieces.take(pa.array(apart)).to_pylist())):
             places[k], lengths[k] = total, len(ids)
             parts.append(ids)
             total += len(ids)
         return places, lengths, np.concatenate(parts) if parts else np.zeros(0, np.int64)
 
-    def found(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def found(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(place, length, store of ids) of each piece, remembered or new. New ones are remembered while there is room."""
-        numbers = list(map(self.known.get, pieces))
-        new = [p for p, k in zip(pieces, numbers) if k is None]
+        known = pc.index_in(pieces, value_set=self.known)
+        lacking = pc.is_null(known)
+        new = pieces.filter(lacking)
         at, n, ids = self.learn(new)
         places, lengths = np.concatenate([self.places, at + len(self.store)]), np.concatenate([self.lengths, n])
         store = np.concatenate([self.store, ids])
-        fresh = iter(range(len(self.places), len(places)))
-        which = np.array([next(fresh) if k is None else k for k in numbers], np.int64)
-        cost = sum(map(len, new)) + PIECE_COST * len(new)
-        if self.held + cost <= HELD:
-            self.held += cost
-            self.known.update(zip(new, range(len(self.places), len(places))))
-            self.places, self.lengths, self.store = places, lengths, store
+        which = pc.fill_null(known, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        which[which < 0] = len(self.places) + np.arange(len(new))
+        if self.held() + new.nbytes + 16 * len(new) + ids.nbytes <= HELD:
+            self.known, self.places, self.lengths, self.store = pa.concat_arrays([self.known, new]), places, lengths, store
         return places[which], lengths[which], store
 
+    def held(self) -> int:
+        """Bytes of what is remembered."""
+        return self.known.nbytes + self.places.nbytes + self.lengths.nbytes + self.store.nbytes
+
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each followed by ``end_id``; number of ids of each text with it)."""
         special = np.zeros(len(texts), bool)
@@ -158,7 +166,7 @@ class Encoder:
         array = pa.Array.from_buffers(pa.large_string(), len(cuts), [None, pa.py_buffer(np.append(cuts, len(body)).astype(np.int64)), pa.py_buffer(body)])
         found = array.dictionary_encode()
         which = found.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        places, lengths, store = self.found(found.dictionary.to_pylist())
+        places, lengths, store = self.found(found.dictionary)
         extra = self.whole([texts[int(k)].as_py() for k in np.nonzero(special)[0]])
         # Ends and whole texts are pieces of their own behind the others.
         store = np.concatenate([store, np.array([end_id]), *extra])
