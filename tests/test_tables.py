@@ -139,3 +139,22 @@ def test_benign_sample_is_cut_where_asked(spark):
     order = sorted(range(30), key=lambda i: ((i * 7919 + 104729) % 1000003, i))
     want = {(d, n, "benign" if n <= 5 else "carrier") for n, d in enumerate(order, 1) if n <= 5 or d % 2}
     assert {tuple(r) for r in got} == want
+
+
+def test_words_keep_all_their_places(spark):
+    import random
+
+    from veilscan.operators import lexicon
+
+    r = random.Random(4)
+    rows = [(i, [r.choice(["the", "plan", "karo", "xqzt", "a"]) for _ in range(r.randrange(60))]) for i in range(40)] + [(90, ["the"] * 50_000 + ["xqzt"] * 7)]
+    docs = spark.createDataFrame(rows, "id int, words array<string>")
+    places = docs.select("id", lexicon.word_places(F.col("words")).alias("p")).collect()
+    for (_, words), row in zip(rows, sorted(places, key=lambda x: x.id)):
+        assert {x.word: list(x.places) for x in row.p} == {w: [i for i, v in enumerate(words) if v == w] for w in set(words)}
+    known = spark.createDataFrame([("the",), ("plan",)], "word string")
+    for m in lexicon.measured_texts(docs, "id", "words", known, ["karo"]).collect():
+        words = dict(rows)[m.id]
+        odd = [w not in ("the", "plan", "a") for w in words]
+        longest = max([len(x) for x in "".join("x" if o else " " for o in odd).split()], default=0)
+        assert (m.total, m.markers, m.max_run) == (len(words), words.count("karo"), longest)

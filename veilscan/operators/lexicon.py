@@ -1,7 +1,7 @@
 """The dictionary gate: is a text English, by the share of its words a dictionary knows?
 
-Words are judged once each, not once per occurrence. The judgement is joined back salted, so a word
-that makes up a large share of all rows is spread over many tasks.
+Words are judged once each, and a text has one row per distinct word, with all its places. The judgement is joined back
+salted, so a word that many texts hold is spread over many tasks; the longest run is computed in the text's row.
 """
 
 from __future__ import annotations
@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veilscan.functions.spans import fence, let
+
 # Fixed values ---------------------------------------------------------------------------------
 SUFFIXES = [  # (ending, letters cut, letters put back, least length)
     ("ies", 3, "y", 0), ("es", 2, "", 0), ("es", 1, "", 0), ("s", 1, "", 0), ("s", 2, "", 0), ("ed", 2, "", 0), ("ed", 1, "", 0),
@@ -44,23 +46,38 @@ def known_words(vocabulary: DataFrame, dictionary: DataFrame) -> DataFrame:
     return vocabulary.join(yes, "word", "left").select("word", F.when(short, F.col("word").isin("a", "i")).otherwise(F.coalesce("english", F.lit(False))).alias("english"))
 
 
+def word_places(words: Column) -> Column:
+    """array<struct<word,places>>: each distinct word of a text with all its places, found by sorting."""
+    placed = F.array_sort(F.transform(words, lambda w, i: F.struct(w.alias("word"), i.alias("place"))))
+
+    def grouped(s: Column) -> Column:
+        heads = F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (x["word"] != F.get(s, i - 1)["word"]), i)), lambda i: i.isNotNull())
+        return let(heads, lambda h: F.transform(h, lambda at, k: F.struct(
+            F.get(s, at)["word"].alias("word"),
+            F.transform(F.slice(s, at + 1, F.coalesce(F.get(h, k + 1), F.size(s)) - at), lambda x: x["place"]).alias("places"))))
+
+    return let(placed, grouped)
+
+
 def judged_words(docs: DataFrame, key: str, words: str, dictionary: DataFrame, markers: list[str], salts: int = 16) -> DataFrame:
-    """(key, pos, word, english, marker), one row per word; ``salts`` parts of each word's rows are joined apart."""
-    long = docs.select(key, F.posexplode(words).alias("pos", "word"))
-    flags = known_words(long.select("word").distinct(), dictionary)
+    """(key, word, places, english, marker), one row per distinct word of a text; ``salts`` parts of each word's rows are joined apart."""
+    long = docs.select(key, F.inline(fence(word_places(F.col(words)))))
+    flags = known_words(docs.select(F.explode(F.array_distinct(words)).alias("word")).distinct(), dictionary)
     salted = flags.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return long.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int")).join(salted, ["word", "_salt"]).drop("_salt") \
         .withColumn("marker", F.col("word").isin(markers))
 
 
 def text_measures(judged: DataFrame, key: str) -> DataFrame:
-    """Words, English share, markers and longest non-English run per text."""
-    w = Window.partitionBy(key).orderBy("pos")
-    odd = ~F.col("english") | F.col("marker")
-    runs = judged.withColumn("odd", odd).withColumn("island", F.sum((~F.col("odd")).cast("int")).over(w))
-    per_run = runs.groupBy(key, "island").agg(F.count("*").alias("n"), F.count_if("english").alias("e"), F.count_if("marker").alias("m"), F.count_if("odd").alias("run"))
-    return per_run.groupBy(key).agg(F.sum("n").alias("total"), F.sum("e").alias("english"), F.sum("m").alias("markers"), F.max("run").alias("max_run")) \
-        .withColumn("ratio", F.col("english") / F.col("total"))
+    """Words, English share, markers and longest non-English run per text: the widest gap between the places of words that are
+    English and no marker."""
+    n, good = F.size("places"), F.col("english") & ~F.col("marker")
+    per = judged.groupBy(key).agg(
+        F.sum(n).alias("total"), F.sum(F.when(F.col("english"), n).otherwise(0)).alias("english"), F.sum(F.when(F.col("marker"), n).otherwise(0)).alias("markers"),
+        F.flatten(F.collect_list(F.when(good, F.col("places")))).alias("_good"))
+    ends = F.concat(F.array(F.lit(-1)), F.array_sort("_good"), F.array(F.col("total").cast("int")))
+    widest = let(ends, lambda p: F.array_max(F.transform(p, lambda x, i: F.when(i == 0, 0).otherwise(x - F.get(p, i - 1) - 1))))
+    return per.withColumn("max_run", widest.cast("bigint")).drop("_good").withColumn("ratio", F.col("english") / F.col("total"))
 
 
 def measured_texts(docs: DataFrame, key: str, words: str, dictionary: DataFrame, markers: list[str], salts: int = 16) -> DataFrame:
