@@ -224,6 +224,46 @@ def test_near_copies_of_a_template_meet(spark):
     assert sorted(r.doc_id for r in kept.collect()) == list(range(0, 80, 2))
 
 
+def test_groups_over_many_blocks_keep_one(spark, monkeypatch):
+    """Near copies of one text in chains, and texts of a template just under the threshold, in blocks of 8."""
+    monkeypatch.setattr(simhash, "BLOCK", 8)
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    own, template, texts = [word() for _ in range(120)], [word() for _ in range(200)], []
+    for k in range(60):
+        texts.append(" ".join(own))
+        own[(7 * k) % 120] = word()
+    texts += [" ".join(template + [word() for _ in range(rng.choice((20, 24, 30)))]) for _ in range(60)]
+    rng.shuffle(texts)
+    sets = [set(simhash.shingles(simhash.words_of(t), 5)) for t in texts]
+    links = [(a, b) for a in range(len(texts)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9]
+    want = sorted(i for i, r in roots(range(len(texts)), links).items() if i == r)
+    kept = simhash.drop_near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == want
+
+
+@pytest.mark.parametrize("thin", [False, True])
+def test_bits_rule_no_near_set_out(thin):
+    rng = np.random.default_rng(5)
+    base = rng.integers(-2 ** 62, 2 ** 62, 400)
+    sets = [np.unique(np.concatenate([rng.choice(base, rng.integers(300, 400), replace=False), rng.integers(-2 ** 62, 2 ** 62, rng.integers(0, 60))])) for _ in range(300)]
+    sets.sort(key=len)
+    bits = np.frombuffer(b"".join(map(simhash.parities, sets)), np.uint64).reshape(len(sets), -1)
+    ids, parts = np.arange(len(sets)), np.arange(len(sets)) // 2
+    block = (ids, parts, np.array([len(x) for x in sets]), bits)
+    close = [(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if parts[a] != parts[b]
+             and len(both := np.intersect1d(sets[a], sets[b], True)) >= 0.8 * (len(sets[a]) + len(sets[b]) - len(both))]
+    got = [set(zip(*map(np.ndarray.tolist, simhash.near_sets(block, None, 0.8, thin)))),
+           set(zip(*map(np.ndarray.tolist, simhash.near_sets(tuple(x[:150] for x in block), tuple(x[150:] for x in block), 0.8, thin))))]
+    assert 50 < len(close) < 30_000
+    if thin:
+        assert len(got[0]) < 150 and len(got[1]) < 150
+        assert len(set(roots(range(150), [(parts[a], parts[b]) for a, b in got[0]]).values())) <= len(set(roots(range(150), [(parts[a], parts[b]) for a, b in close]).values()))
+    else:
+        assert set(close) <= got[0]
+        assert {(a, b) for a, b in close if a < 150 <= b} <= got[1]
+
+
 def recall_of_fingerprints(spark, pairs):
     texts = [x for p in pairs for x in p]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string")

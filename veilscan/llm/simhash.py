@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Collection, Iterator
+from collections.abc import Callable, Collection, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +29,8 @@ from veilscan.llm.common import components, filter_words, keyed, split_by_filter
 BLOCK = 1024
 #: Rows of one block compared with the whole other block in one numpy step.
 STRIP = 256
+#: Bits of a set of shingles, a power of two: sets of some thousand members are still told apart.
+PARITIES = 2048
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -130,9 +132,10 @@ def forest(a: np.ndarray, b: np.ndarray, dist: np.ndarray) -> np.ndarray:
     return np.array(kept, np.int64)
 
 
-def compare(ids_a: np.ndarray, fa: np.ndarray, ids_b: np.ndarray, fb: np.ndarray, radius: int) -> tuple[np.ndarray, ...]:
-    """Links (a, b, distance) between two blocks, thinned to a forest strip by strip. Both blocks are put in order of
-    population count, so a strip meets only the stretch of the other block whose counts lie within the radius."""
+def compare(ids_a: np.ndarray, fa: np.ndarray, ids_b: np.ndarray, fb: np.ndarray, radius: int,
+            thin: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray] = forest) -> tuple[np.ndarray, ...]:
+    """Links (a, b, distance) between two blocks, thinned strip by strip, to a forest by default. Both blocks are put in
+    order of population count, so a strip meets only the stretch of the other block whose counts lie within the radius."""
     pop_a, pop_b = (np.bitwise_count(f).sum(1, dtype=np.int64) for f in (fa, fb))
     oa, ob = np.argsort(pop_a, kind="stable"), np.argsort(pop_b, kind="stable")
     ids_a, fa, pop_a, ids_b, fb, pop_b = ids_a[oa], fa[oa], pop_a[oa], ids_b[ob], fb[ob], pop_b[ob]
@@ -149,16 +152,25 @@ def compare(ids_a: np.ndarray, fa: np.ndarray, ids_b: np.ndarray, fb: np.ndarray
         a, b, d = ids_a[strip][i], ids_b[lo:hi][j], dist[i, j].astype(np.int64)
         other = a != b
         found = tuple(np.concatenate([x, y[other]]) for x, y in zip(found, (np.minimum(a, b), np.maximum(a, b), d)))
-        keep = forest(*found)
+        keep = thin(*found)
         found = tuple(x[keep] for x in found)
     return found
 
 
-def link(points: DataFrame, radius: int, band: Column | None = None) -> DataFrame:
+def nearest(a: np.ndarray, b: np.ndarray, dist: np.ndarray) -> np.ndarray:
+    """Positions of the links that are the nearest one of an end; of equally near ones, the first in order of (a, b)."""
+    order = np.lexsort((b, a, dist))
+    firsts = [order[np.unique(ends[order], return_index=True)[1]] for ends in (a, b)]
+    return np.unique(np.concatenate(firsts))
+
+
+def link(points: DataFrame, radius: int, band: Column | None = None, few: bool = False) -> DataFrame:
     """Links (a, b, distance) whose closure joins exactly the points within ``radius`` of each other.
 
     ``points`` is a written table (id, f0, f1, ...), one row per distinct fingerprint; ``band``, if given, is a whole
     number such that points more than one band apart need no comparison. A crowded tile is cut into blocks by hash.
+    With ``few``, of the links between two blocks only each point's nearest is returned, so there are at most two links
+    a point whatever the number of blocks; the closure may then hold less, for callers that look further themselves.
     """
     cols = [c for c in points.columns if c[0] == "f" and c[1:].isdigit()]
     keyed = written(points.select("id", *cols, tile_key(cols, radius, band).alias("tile")), "points")
@@ -173,7 +185,8 @@ def link(points: DataFrame, radius: int, band: Column | None = None) -> DataFram
         .where("step > 0 OR block_a <= block_b").select("tile_a", "block_a", F.col("tile").alias("tile_b"), "block_b")
     one = blocks.select(F.col("tile").alias("tile_a"), F.col("block").alias("block_a"), F.col("points").alias("points_a"))
     two = blocks.select(F.col("tile").alias("tile_b"), F.col("block").alias("block_b"), F.col("points").alias("points_b"))
-    joined = written(pairs, "pairs").join(one, ["tile_a", "block_a"]).join(two, ["tile_b", "block_b"]).select("points_a", "points_b")
+    joined = written(pairs, "pairs").join(one, ["tile_a", "block_a"]).join(two, ["tile_b", "block_b"]) \
+        .select("points_a", "points_b", ((F.col("tile_a") == F.col("tile_b")) & (F.col("block_a") == F.col("block_b"))).alias("inside"))
 
     def side(cell: pa.ListScalar) -> tuple[np.ndarray, np.ndarray]:
         rows = cell.values
@@ -182,12 +195,20 @@ def link(points: DataFrame, radius: int, band: Column | None = None) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for x, y in zip(batch.column(0), batch.column(1)):
-                found = compare(*side(x), *side(y), radius)
+            for x, y, inside in zip(batch.column(0), batch.column(1), batch.column(2).to_pylist()):
+                found = compare(*side(x), *side(y), radius, forest if inside or not few else nearest)
                 if len(found[0]):
-                    yield pa.RecordBatch.from_arrays([pa.array(v) for v in found], names=["a", "b", "distance"])
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, found), pa.array([inside] * len(found[0]))], names=["a", "b", "distance", "inside"])
 
-    return joined.mapInArrow(run, "a bigint, b bigint, distance bigint")
+    links = joined.mapInArrow(run, "a bigint, b bigint, distance bigint, inside boolean")
+    if not few:
+        return links.drop("inside")
+    ends = written(links, "ends-of-links")
+    across = ends.where("NOT inside")
+    best = across.select("a", F.struct("distance", "b").alias("to")).union(across.select(F.col("b").alias("a"), F.struct("distance", F.col("a").alias("b")).alias("to"))) \
+        .groupBy("a").agg(F.min("to").alias("to"))
+    return ends.where("inside").select("a", "b", "distance").union(
+        best.select(F.least("a", "to.b").alias("a"), F.greatest("a", "to.b").alias("b"), F.col("to.distance").alias("distance"))).distinct()
 
 
 def near_duplicates(docs: DataFrame, n: int = 3, radius: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -236,6 +257,13 @@ def hashed_set(text: str | None, n: int) -> np.ndarray:
     return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, parts), np.uint64, len(parts)).view(np.int64)) if parts else np.zeros(1, np.int64)
 
 
+def parities(hashes: np.ndarray) -> bytes:
+    """A bit per residue of the hashes: whether an odd number of them has it. Two sets differ in no fewer members than their
+    bits differ in places, so bits too far apart rule a pair out exactly."""
+    odd = np.bincount(hashes & (PARITIES - 1), minlength=PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
 def common_shingles(rows: DataFrame, n: int, texts: int, looked_at: int = 20_000, most: int = 65_536) -> tuple[np.ndarray, np.ndarray]:
     """The shingles held by most of about ``looked_at`` of the ``texts`` texts, and how many hold each. They only set the order in
     which ``rare_first`` lists shingles; any order finds the same links, with more or less work."""
@@ -258,15 +286,16 @@ def common_shingles(rows: DataFrame, n: int, texts: int, looked_at: int = 20_000
 
 
 def rare_first(rows: DataFrame, n: int, at_least: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """_t1, _t2, size and tokens: the first of each text's distinct shingles, rare ones first, as many as two sets that share
-    ``at_least`` cannot have without one in common."""
+    """_t1, _t2, size, bits and tokens: the first of each text's distinct shingles, rare ones first, as many as two sets that
+    share ``at_least`` cannot have without one in common, and the ``parities`` of them all."""
     known, held = common
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, lists = [], []
+            sizes, bits, lists = [], [], []
             for t in batch.column(2):
                 x = hashed_set(t.as_py(), n)
+                bits.append(parities(x))
                 rank = np.zeros(len(x), np.int64)
                 if len(known):
                     at = np.minimum(np.searchsorted(known, x), len(known) - 1)
@@ -275,29 +304,90 @@ def rare_first(rows: DataFrame, n: int, at_least: float, common: tuple[np.ndarra
                 lists.append(x[np.lexsort((x, rank))][:len(x) - math.ceil(at_least * len(x) - 1e-9) + 1])
             ends = np.cumsum([0, *map(len, lists)], dtype=np.int32)
             tokens = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *lists])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), tokens], names=["_t1", "_t2", "size", "tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), pa.array(bits, pa.binary()), tokens],
+                                             names=["_t1", "_t2", "size", "bits", "tokens"])
 
-    return rows.select("_t1", "_t2", "_body").mapInArrow(run, "_t1 bigint, _t2 bigint, size int, tokens array<bigint>")
+    return rows.select("_t1", "_t2", "_body").mapInArrow(run, "_t1 bigint, _t2 bigint, size int, bits binary, tokens array<bigint>")
 
 
-def links_between(rows: DataFrame, labelled: DataFrame, texts: int, n: int, at_least: float) -> DataFrame:
-    """Pairs (a, b) of texts in different components, among them every pair that shares ``at_least`` of its shingles.
+def listed_shingles(rows: DataFrame, labelled: DataFrame, texts: int, n: int, at_least: float) -> tuple[DataFrame, DataFrame]:
+    """Written tables (id, size, bits) of the texts and (token, held, id) of listed shingles that hold several components.
 
-    Exact prefix filter: two such texts share one of the shingles that ``rare_first`` lists, and what they share there and
-    could share behind the last shared one reaches the overlap asked for. Shingles listed in one component only, nearly
-    all, are gone before texts meet. ``labelled`` is a written table (id, _t1, _t2, component).
+    Exact prefix filter: two texts that share ``at_least`` share one of the shingles that ``rare_first`` lists. Shingles
+    listed in one component only, nearly all, are gone before texts meet, and of shingles that list the very same texts
+    (equal counts and 128-bit sums of ids) one stays. ``labelled`` is a written table (id, _t1, _t2, component).
     """
     lists = rare_first(rows, n, at_least, common_shingles(rows, n, texts)).dropDuplicates(["_t1", "_t2"])
-    listed = written(lists.join(labelled, ["_t1", "_t2"]).select("id", "component", "size", F.posexplode("tokens").alias("at", "token")), "listed")
-    met = written(listed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token"), "met")
-    few, _ = split_by_filter(listed, filter_words(met, "token"), "token")
-    few = written(few.join(met, "token"), "few")
-    one, two = (few.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "component", "size", "at")]) for x in "ab")
-    sizes = (F.col("size_a") >= at_least * F.col("size_b") - 1e-6) & (F.col("size_b") >= at_least * F.col("size_a") - 1e-6)
-    pairs = one.join(two, (one["token"] == two["token"]) & (F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b")) & sizes) \
-        .groupBy(F.col("id_a").alias("a"), F.col("id_b").alias("b"), "size_a", "size_b").agg(F.count("*").alias("shared"), F.max("at_a").alias("at_a"), F.max("at_b").alias("at_b"))
-    most = F.col("shared") + F.least(F.col("size_a") - 1 - F.col("at_a"), F.col("size_b") - 1 - F.col("at_b"))
-    return pairs.where(most >= at_least / (1 + at_least) * (F.col("size_a") + F.col("size_b")) - 1e-6).select("a", "b")
+    listed = written(lists.join(labelled, ["_t1", "_t2"]).select("id", "component", "size", "bits", "tokens"), "listed")
+    each = listed.select("id", "component", F.explode("tokens").alias("token"))
+    held = each.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("held"),
+                                     F.bit_xor(F.xxhash64("id")).alias("s1"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("s2"))
+    met = written(held.where("lo <> hi").groupBy("held", "s1", "s2").agg(F.min("token").alias("token")).select("token", "held"), "met")
+    few, _ = split_by_filter(each.select("id", "token"), filter_words(met, "token"), "token")
+    return listed.select("id", "size", "bits"), written(few.join(met, "token").select("token", "held", "id"), "few")
+
+
+def links_between(texts: DataFrame, few: DataFrame, labelled: DataFrame, at_least: float, thin: bool) -> DataFrame:
+    """Pairs (a, b) of texts in different components, among them every pair that shares ``at_least`` of its shingles.
+
+    ``texts`` and ``few`` come from ``listed_shingles``. The texts that list a shingle are laid out in blocks, and blocks of
+    one shingle are compared in numpy by size and ``parities``: only pairs that pass become rows, never all pairs of a
+    group. With ``thin``, each two blocks give a spanning forest of the components instead, so few links are returned
+    where many hold the same components together; a link that then proves false may hide a true one.
+    """
+    placed = few.join(texts.join(labelled.select("id", "component"), "id"), "id")
+    blocks = F.ceil(F.col("held") / BLOCK).cast("int")
+    groups = written(placed.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+                     .groupBy("token", "blocks", "block").agg(F.collect_list(F.struct("id", "component", "size", "bits")).alias("texts"),
+                                                              F.min("component").alias("lo"), F.max("component").alias("hi")), "shingle-blocks")
+    within = groups.where("lo <> hi").select(F.col("texts").alias("texts_a"), F.lit(None).cast(groups.schema["texts"].dataType).alias("texts_b"))
+    split = groups.where("blocks > 1")
+    one, two = (split.select("token", F.col("block").alias(f"block_{x}"), F.col("texts").alias(f"texts_{x}")) for x in "ab")
+    sides = split.select("token", F.col("block").alias("block_a"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block_b")).where("block_a < block_b")
+    across = sides.join(one, ["token", "block_a"]).join(two, ["token", "block_b"]).select("texts_a", "texts_b")
+
+    def side(cell: pa.ListScalar) -> tuple[np.ndarray, ...]:
+        rows = cell.values
+        size = rows.field("size").to_numpy(zero_copy_only=False).astype(np.int64)
+        order = np.argsort(size, kind="stable")
+        bits = np.frombuffer(b"".join(rows.field("bits").to_pylist()), np.uint64).reshape(-1, PARITIES // 64)
+        return tuple(x[order] for x in (rows.field("id").to_numpy(), rows.field("component").to_numpy(), size, bits))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [near_sets(side(x), side(y) if y.is_valid else None, at_least, thin) for x, y in zip(batch.column(0), batch.column(1))]
+            a, b = (np.concatenate([np.zeros(0, np.int64), *(f[k] for f in found)]) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return within.unionByName(across).mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def near_sets(one: tuple[np.ndarray, ...], two: tuple[np.ndarray, ...] | None, at_least: float, thin: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of ids from two blocks (ids, components, sizes in order, bits), or within ``one``, of different components whose
+    sizes and bits allow a similarity of ``at_least``; with ``thin``, a spanning forest of their components."""
+    same, two = two is None, one if two is None else two
+    found = tuple(np.zeros(0, np.int64) for _ in range(5))
+    for at in range(0, len(one[0]), STRIP):
+        ids, parts, sizes, bits = (x[at:at + STRIP] for x in one)
+        lo, hi = np.searchsorted(two[2], [at_least * sizes[0] - 1e-6, sizes[-1] / at_least + 1e-6])
+        total = sizes[:, None] + two[2][None, lo:hi]
+        apart = np.zeros(total.shape, np.int64)
+        for k in range(bits.shape[1]):
+            apart += np.bitwise_count(bits[:, k, None] ^ two[3][None, lo:hi, k])
+        passed = (apart <= (1 - at_least) / (1 + at_least) * total + 1e-6) & (parts[:, None] != two[1][None, lo:hi])
+        if same:
+            passed &= ids[:, None] < two[0][None, lo:hi]
+        i, j = np.nonzero(passed)
+        a, b, x, y = ids[i], two[0][lo:hi][j], parts[i], two[1][lo:hi][j]
+        new = (np.minimum(a, b), np.maximum(a, b), np.minimum(x, y), np.maximum(x, y), apart[i, j])
+        found = tuple(np.concatenate(pair) for pair in zip(found, new))
+        if thin:
+            order = np.lexsort((found[1], found[0], found[4], found[3], found[2]))
+            first = order[np.unique(np.stack([found[2][order], found[3][order]]), axis=1, return_index=True)[1]]
+            found = tuple(x[first] for x in found)
+            keep = forest(*found[2:])
+            found = tuple(x[keep] for x in found)
+    return found[0], found[1]
 
 
 def labels_of(points: DataFrame, edges: DataFrame) -> DataFrame:
@@ -314,9 +404,10 @@ def drop_near_copies(docs: DataFrame, seeds: tuple[int, ...] = (42, 43), radius:
     Groups are linked by 128-bit fingerprints of the distinct shingles, the sets that are verified, within ``radius``;
     bands of shingle counts keep texts apart whose sizes already rule that out, and every link of the spanning forest is
     verified by the exact similarity of the two whole texts. What the radius or the forest leaves apart then meets in an
-    exact join between the groups found so far (``links_between``), so no pair of ``at_least`` stays unlinked. Equal texts
-    collapse before anything is compared. Only texts on links, and rows of groups, are shuffled; of the rest a fifth of
-    their shingle hashes is. Rows equal in doc_id and text are one row.
+    exact search between the groups found so far (``links_between``), so no pair of ``at_least`` stays unlinked: once thinned,
+    to bring groups together by few links, and once whole. Equal texts collapse before anything is compared. Only texts on
+    links, and rows of groups, are shuffled; of the rest a fifth of their shingle hashes is. Rows equal in doc_id and text
+    are one row.
     """
     columns = docs.columns
     rows = keyed(docs.withColumn("_body", text_or_empty()), ["doc_id", "_body"]) \
@@ -328,12 +419,15 @@ def drop_near_copies(docs: DataFrame, seeds: tuple[int, ...] = (42, 43), radius:
     points = prints.groupBy("_t1", "_t2").agg(F.min(who).alias("least"), F.count("*").alias("rows"), *[F.min(c).alias(c) for c in [*cols, "distinct"]])
     points = written(points.withColumn("id", F.monotonically_increasing_id()), "texts")
     band = F.floor(F.log(F.greatest(F.col("distinct"), F.lit(1)).cast("double")) / F.log(F.lit(1.01 / at_least)))
-    edges = written(link(points.select("id", *cols, band.alias("band")), radius, F.col("band")).select("a", "b").distinct(), "links")
+    edges = written(link(points.select("id", *cols, band.alias("band")), radius, F.col("band"), few=True).select("a", "b"), "links")
     links = true_links(edges, rows, points, verify_words, at_least)
     placed = labels_of(points, links)
-    more = written(links_between(rows, placed.select("id", "_t1", "_t2", "component"), points.count(), verify_words, at_least), "links-between")
-    if more.limit(1).count():
-        placed = labels_of(points, links.unionByName(true_links(more, rows, points, verify_words, at_least)))
+    texts, few = listed_shingles(rows, placed.select("id", "_t1", "_t2", "component"), points.count(), verify_words, at_least)
+    for thin in (True, False):
+        more = written(links_between(texts, few, placed, at_least, thin), "links-between")
+        if more.limit(1).count():
+            links = links.unionByName(true_links(more, rows, points, verify_words, at_least))
+            placed = labels_of(points, links)
     groups = placed.groupBy("component").agg(F.min("least").alias("one"), F.sum("rows").alias("all"))
     named = written(placed.join(groups.where(F.col("all") > 1), "component").select("_t1", "_t2", F.col("one._k1").alias("o1"), F.col("one._k2").alias("o2")), "groups")
     touched = written(prints.join(named, ["_t1", "_t2"]).select("_k1", "_k2", ((F.col("_k1") == F.col("o1")) & (F.col("_k2") == F.col("o2"))).alias("stays"))
