@@ -227,6 +227,7 @@ def test_near_copies_of_a_template_meet(spark):
 def test_groups_over_many_blocks_keep_one(spark, monkeypatch):
     """Near copies of one text in chains, and texts of a template just under the threshold, in blocks of 8."""
     monkeypatch.setattr(simhash, "BLOCK", 8)
+    monkeypatch.setattr(simhash, "LISTED", 8)
     rng = random.Random(21)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
     own, template, texts = [word() for _ in range(120)], [word() for _ in range(200)], []

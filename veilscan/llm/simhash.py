@@ -29,8 +29,10 @@ from veilscan.llm.common import components, filter_words, keyed, split_by_filter
 BLOCK = 1024
 #: Rows of one block compared with the whole other block in one numpy step.
 STRIP = 256
-#: Bits of a set of shingles, a power of two: sets of some thousand members are still told apart.
-PARITIES = 2048
+#: Bits of a set of shingles, a power of two: sets of some hundred members are still told apart.
+PARITIES = 512
+#: Texts in a block that list one shingle, about.
+LISTED = 4096
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -314,17 +316,22 @@ def listed_shingles(rows: DataFrame, labelled: DataFrame, texts: int, n: int, at
     """Written tables (id, size, bits) of the texts and (token, held, id) of listed shingles that hold several components.
 
     Exact prefix filter: two texts that share ``at_least`` share one of the shingles that ``rare_first`` lists. Shingles
-    listed in one component only, nearly all, are gone before texts meet, and of shingles that list the very same texts
-    (equal counts and 128-bit sums of ids) one stays. ``labelled`` is a written table (id, _t1, _t2, component).
+    listed in one component only, nearly all, are gone before texts meet. At the first shingle two texts share, all they
+    list before it differs, so their places in it may not exceed, taken together, what the two sets may differ by: a place
+    whose ``over`` is too far above the least one of its shingle is gone too. Of shingles that then list the very same
+    texts (equal counts and 128-bit sums of ids) one stays. ``labelled`` is a written table (id, _t1, _t2, component).
     """
     lists = rare_first(rows, n, at_least, common_shingles(rows, n, texts)).dropDuplicates(["_t1", "_t2"])
     listed = written(lists.join(labelled, ["_t1", "_t2"]).select("id", "component", "size", "bits", "tokens"), "listed")
-    each = listed.select("id", "component", F.explode("tokens").alias("token"))
-    held = each.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("held"),
-                                     F.bit_xor(F.xxhash64("id")).alias("s1"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("s2"))
-    met = written(held.where("lo <> hi").groupBy("held", "s1", "s2").agg(F.min("token").alias("token")).select("token", "held"), "met")
-    few, _ = split_by_filter(each.select("id", "token"), filter_words(met, "token"), "token")
-    return listed.select("id", "size", "bits"), written(few.join(met, "token").select("token", "held", "id"), "few")
+    over = F.col("at") - (1 - at_least) / (1 + at_least) * F.col("size")
+    each = listed.select("id", "component", "size", F.posexplode("tokens").alias("at", "token")).select("id", "component", "token", over.alias("over"))
+    ends = [F.min("component").alias("lo"), F.max("component").alias("hi")]
+    met = written(each.groupBy("token").agg(*ends, F.min("over").alias("least")).where("lo <> hi AND least <= 1e-6").select("token", "least"), "met")
+    near, _ = split_by_filter(each, filter_words(met, "token"), "token")
+    near = written(near.join(met, "token").where("over + least <= 1e-6").select("token", "id", "component"), "near")
+    held = near.groupBy("token").agg(*ends, F.count("*").alias("held"), F.bit_xor(F.xxhash64("id")).alias("s1"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("s2"))
+    one = held.where("lo <> hi").groupBy("held", "s1", "s2").agg(F.min("token").alias("token")).select("token", "held")
+    return listed.select("id", "size", "bits"), written(near.join(one, "token").select("token", "held", "id"), "few")
 
 
 def links_between(texts: DataFrame, few: DataFrame, labelled: DataFrame, at_least: float, thin: bool) -> DataFrame:
@@ -336,12 +343,16 @@ def links_between(texts: DataFrame, few: DataFrame, labelled: DataFrame, at_leas
     where many hold the same components together; a link that then proves false may hide a true one.
     """
     placed = few.join(texts.join(labelled.select("id", "component"), "id"), "id")
-    blocks = F.ceil(F.col("held") / BLOCK).cast("int")
-    groups = written(placed.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-                     .groupBy("token", "blocks", "block").agg(F.collect_list(F.struct("id", "component", "size", "bits")).alias("texts"),
-                                                              F.min("component").alias("lo"), F.max("component").alias("hi")), "shingle-blocks")
-    within = groups.where("lo <> hi").select(F.col("texts").alias("texts_a"), F.lit(None).cast(groups.schema["texts"].dataType).alias("texts_b"))
-    split = groups.where("blocks > 1")
+    blocks = F.ceil(F.col("held") / LISTED).cast("int")
+
+    def grouped(entries: DataFrame, *keys: str) -> DataFrame:
+        return entries.groupBy("token", *keys).agg(F.collect_list(F.struct("id", "component", "size", "bits")).alias("texts"),
+                                                   F.min("component").alias("lo"), F.max("component").alias("hi"))
+
+    split = written(grouped(placed.where(F.col("held") > LISTED).withColumn("blocks", blocks)
+                            .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")), "blocks", "block"), "shingle-blocks")
+    whole = grouped(placed.where(F.col("held") <= LISTED)).where("lo <> hi").select("texts").union(split.where("lo <> hi").select("texts"))
+    within = whole.select(F.col("texts").alias("texts_a"), F.lit(None).cast(split.schema["texts"].dataType).alias("texts_b"))
     one, two = (split.select("token", F.col("block").alias(f"block_{x}"), F.col("texts").alias(f"texts_{x}")) for x in "ab")
     sides = split.select("token", F.col("block").alias("block_a"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block_b")).where("block_a < block_b")
     across = sides.join(one, ["token", "block_a"]).join(two, ["token", "block_b"]).select("texts_a", "texts_b")
