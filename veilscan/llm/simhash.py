@@ -29,8 +29,8 @@ from veilscan.llm.common import components, filter_words, keyed, split_by_filter
 BLOCK = 1024
 #: Rows of one block compared with the whole other block in one numpy step.
 STRIP = 256
-#: Bits of a set of shingles, a power of two: sets of some hundred members are still told apart.
-PARITIES = 512
+#: Bits of a set of shingles, a power of two: sets of some thousand members are still told apart.
+PARITIES = 2048
 #: Texts in a block that list one shingle, about.
 LISTED = 4096
 
