@@ -93,6 +93,26 @@ def test_near_duplicates_match_all_pairs(spark):
     assert got == want
 
 
+def test_near_duplicates_over_blocks_sizes_and_failed_nearest(spark, monkeypatch):
+    from veilscan.operators import similar_sets
+
+    monkeypatch.setattr(similar_sets, "BLOCK", 16)
+    monkeypatch.setattr(similar_sets, "LEAST_BITS", 64)  # bits this full let false pairs pass, so a nearest one fails
+    monkeypatch.setattr(similar_sets, "class_step", lambda t: 0.27)
+    rng = random.Random(8)
+    data = [(i, "t", [f"w{k}" for k in range(200)] + [f"v{i}_{k}" for k in range(3)]) for i in range(60)]  # all like each other
+    data += [(100 + i, "t", [f"x{k}" for k in rng.sample(range(30), rng.randrange(0, 30))]) for i in range(120)]
+    data += [(300, None, ["a"]), (301, None, ["a"]), (302, "t", None), (303, "t", None), (304, "t", []), (305, "t", [])]
+    df = spark.createDataFrame(data, "id long, team string, ws array<string>")
+    got = {(r.team, r.id) for r in B.near_duplicates(df, "team", "id", "ws").collect()}
+    known = [(i, t, set(w)) for i, t, w in data if t is not None and w is not None]
+    assert got == {(t, i) for i, t, w in known if any(j < i and len(w & x) >= 0.6 * len(w | x) for j, _, x in known)}
+    # a group of copies gives out one candidate a set and pair of blocks, not one a pair
+    sets = df.where("id < 60").select("id", "team", F.col("ws").alias("_set"))
+    sketches = similar_sets.sketched(sets, "team", "id", 0.6).withColumn("open", F.lit(True))
+    assert similar_sets.candidates(sketches, "team", "id", 0.6, True).count() <= 60 * 60 // 16 * 2
+
+
 def test_wilson(spark):
     df = spark.createDataFrame([(0, 0), (1, 100), (50, 100), (100, 100)], "k long, n long")
     low, high = wilson(F.col("k"), F.col("n"))

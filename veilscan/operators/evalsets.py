@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilscan.functions.spans import strip
+from veilscan.functions.spans import fence, strip
+from veilscan.operators.similar_sets import near_earlier, written
 from veilscan.operators.skew import arithmetic_shuffle, first_per_group, number_rows
 
 # Fixed values ---------------------------------------------------------------------------------
@@ -102,30 +103,17 @@ def payload_gone(mark: Column, clean: Column, verdict: Column) -> Column:
 
 
 def near_duplicates(rows: DataFrame, team: str, key: str, words: str, threshold: float = 0.6) -> DataFrame:
-    """Rows whose word set is at least ``threshold`` similar (Jaccard) to an earlier row of the same team.
+    """Rows whose word set is at least ``threshold`` similar (Jaccard) to an earlier row of the same team; ``key`` is a long.
 
-    Equal word sets are collapsed first, so a group of copies costs one row. The rest meet only on the
-    rarest words of their sets: two sets that similar must share one of their first
-    n - ceil(t * n) + 1 words in rarest-first order, so no pair is missed and none is tried without cause.
+    Equal word sets (by 128 bits) are collapsed first, so a group of copies costs one row. The rest are compared in blocks by
+    size and parity bits and verified on their words (``similar_sets``): no pair is missed, and no pair is a row that need not be.
     """
-    rows = rows.withColumn("_set", F.array_sort(F.array_distinct(words))).withColumn("_sig", F.xxhash64("_set"))
-    first = rows.groupBy(team, "_sig", "_set").agg(F.min(key).alias("_first"))
-    copies = rows.join(first, [team, "_sig", "_set"]).filter(F.col(key) != F.col("_first")).select(team, key)
-    reps = first.select(team, F.col("_first").alias(key), "_set")
-    said = reps.select(team, key, F.explode("_set").alias("w"))
-    common = said.groupBy("w").agg(F.count("*").alias("df"))
-    ranked = said.join(common, "w").groupBy(team, key).agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("ws"))  # one set: a text's words
-    n = F.size("ws")
-    keep = n - F.ceil(F.lit(threshold) * n).cast("int") + 1
-    prefix = ranked.select(team, key, n.alias("n"), F.explode(F.slice("ws", F.lit(1), keep)).alias("p")).select(team, key, "n", F.col("p.w").alias("w"))
-    a, b = prefix.alias("a"), prefix.alias("b")
-    pairs = a.join(b, (F.col(f"a.{team}") == F.col(f"b.{team}")) & (F.col("a.w") == F.col("b.w")) & (F.col(f"a.{key}") < F.col(f"b.{key}"))
-                   & (F.least("a.n", "b.n") >= threshold * F.greatest("a.n", "b.n"))) \
-        .select(F.col(f"a.{key}").alias("x"), F.col(f"b.{key}").alias("y"), F.col(f"b.{team}").alias(team)).distinct()
-    sets = reps.select(F.col(key).alias("k"), F.col("_set").alias("s"))
-    scored = pairs.join(sets.select(F.col("k").alias("x"), F.col("s").alias("sx")), "x").join(sets.select(F.col("k").alias("y"), F.col("s").alias("sy")), "y")
-    shared = F.size(F.array_intersect("sx", "sy"))
-    close = scored.filter(shared >= threshold * (F.size("sx") + F.size("sy") - shared)).select(team, F.col("y").alias("_first")).distinct()
+    rows = written(rows.select(team, key, fence(F.array_sort(F.array_distinct(words))).alias("_set")).dropna()
+                   .withColumns({"_s1": F.xxhash64("_set"), "_s2": F.xxhash64(F.lit(1), "_set")}), "word-sets")
+    signs = rows.drop("_set")
+    named = written(signs.join(signs.groupBy(team, "_s1", "_s2").agg(F.min(key).alias("_first")), [team, "_s1", "_s2"]).select(team, key, "_first"), "set-copies")
+    firsts = named.where(F.col(key) == F.col("_first")).select(team, key).distinct()
+    close = near_earlier(rows.join(firsts, [team, key], "left_semi"), team, key, threshold)
+    copies = named.where(F.col(key) != F.col("_first")).select(team, key)
     # every copy of a near-duplicate set goes with its first row
-    whole = first.join(close, [team, "_first"]).select(team, "_sig", "_set")
-    return copies.unionByName(rows.join(whole, [team, "_sig", "_set"], "left_semi").select(team, key)).distinct()
+    return copies.unionByName(named.join(close.withColumnRenamed("y", "_first"), [team, "_first"], "left_semi").select(team, key)).distinct()
