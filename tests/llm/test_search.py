@@ -265,6 +265,29 @@ def test_bits_rule_no_near_set_out(thin):
         assert {(a, b) for a, b in close if a < 150 <= b} <= got[1]
 
 
+def test_bits_tell_long_sets_apart():
+    """Unrelated sets of 6,000 to 9,000 members, and some near each other across a power of two."""
+    rng = np.random.default_rng(3)
+    fresh = lambda n: np.unique(rng.integers(-2 ** 62, 2 ** 62, n))
+    sets = [fresh(n) for n in range(6000, 9000, 150)]
+    base = fresh(8300)
+    near = [base[:8100], base]  # 8,192 lies between
+    assert len(simhash.parities(near[0])) * 2 == len(simhash.parities(near[1]))
+
+    def block(sets, at):
+        bits = np.frombuffer(b"".join(map(simhash.parities, sets)), np.uint64).reshape(len(sets), -1)
+        return np.arange(len(sets)) + at, np.arange(len(sets)) + at, np.array([len(x) for x in sets]), bits
+
+    small, large = [x for x in sets if len(x) <= 8192] + near[:1], [x for x in sets if len(x) > 8192] + near[1:]
+    small.sort(key=len)
+    large.sort(key=len)
+    one, two = block(small, 0), block(large, 100)
+    assert len(simhash.near_sets(one, None, 0.8, False)[0]) == 0
+    got = simhash.near_sets(one, two, 0.8, False)
+    assert len(got[0]) == 1
+    assert (len(small[got[0][0]]), len(large[got[1][0] - 100])) == (len(near[0]), len(near[1]))
+
+
 def recall_of_fingerprints(spark, pairs):
     texts = [x for p in pairs for x in p]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string")

@@ -29,8 +29,10 @@ from veilscan.llm.common import components, filter_words, keyed, split_by_filter
 BLOCK = 1024
 #: Rows of one block compared with the whole other block in one numpy step.
 STRIP = 256
-#: Bits of a set of shingles, a power of two: sets of some thousand members are still told apart.
-PARITIES = 2048
+#: Bits of a small set of shingles, a power of two; larger sets have the next power of two from their size on.
+PARITIES = 512
+#: Sets of one block compared with the whole other block in one numpy step: its arrays stay in a core's cache.
+SETS = 32
 #: Texts in a block that list one shingle, about.
 LISTED = 4096
 
@@ -261,11 +263,21 @@ def hashed_set(text: str | None, n: int) -> np.ndarray:
 
 def parities(hashes: np.ndarray) -> bytes:
     """A bit per residue of the hashes: whether an odd number of them has it. Two sets differ in no fewer members than their
-    bits differ in places, so bits too far apart rule a pair out exactly."""
-    odd = np.bincount(hashes & (PARITIES - 1), minlength=PARITIES) & 1
+    bits differ in places, so bits too far apart rule a pair out exactly. There are as many bits as members at least, so that
+    long texts are told apart like short ones."""
+    many = max(PARITIES, 1 << (len(hashes) - 1).bit_length())
+    odd = np.bincount(hashes & (many - 1), minlength=many) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """Rows of bits over fewer residues: where there are half as many, two parities make one."""
+    while bits.shape[1] > words:
+        half = bits.shape[1] // 2
+        bits = bits[:, :half] ^ bits[:, half:]
+    return bits
+
+
 def common_shingles(rows: DataFrame, n: int, texts: int, looked_at: int = 20_000, most: int = 65_536) -> tuple[np.ndarray, np.ndarray]:
     """The shingles held by most of about ``looked_at`` of the ``texts`` texts, and how many hold each. They only set the order in
     which ``rare_first`` lists shingles; any order finds the same links, with more or less work."""
@@ -357,18 +369,30 @@ def links_between(texts: DataFrame, few: DataFrame, labelled: DataFrame, at_leas
     sides = split.select("token", F.col("block").alias("block_a"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block_b")).where("block_a < block_b")
     across = sides.join(one, ["token", "block_a"]).join(two, ["token", "block_b"]).select("texts_a", "texts_b")
 
-    def side(cell: pa.ListScalar) -> tuple[np.ndarray, ...]:
+    def side(cell: pa.ListScalar) -> list[tuple[np.ndarray, ...]]:
         rows = cell.values
         size = rows.field("size").to_numpy(zero_copy_only=False).astype(np.int64)
         order = np.argsort(size, kind="stable")
-        bits = np.frombuffer(b"".join(rows.field("bits").to_pylist()), np.uint64).reshape(-1, PARITIES // 64)
-        return tuple(x[order] for x in (rows.field("id").to_numpy(), rows.field("component").to_numpy(), size, bits))
+        bits = rows.field("bits").to_pylist()
+        widths, parts = np.array([len(x) for x in bits])[order], []
+        for width in np.unique(widths):
+            at = order[widths == width]
+            words = np.frombuffer(b"".join([bits[i] for i in at]), np.uint64).reshape(len(at), -1)
+            parts.append((rows.field("id").to_numpy()[at], rows.field("component").to_numpy()[at], size[at], words))
+        return parts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [near_sets(side(x), side(y) if y.is_valid else None, at_least, thin) for x, y in zip(batch.column(0), batch.column(1))]
-            a, b = (np.concatenate([np.zeros(0, np.int64), *(f[k] for f in found)]) for k in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            for x, y in zip(batch.column(0), batch.column(1)):
+                one = side(x)
+                two = side(y) if y.is_valid else one
+                # sizes that allow the similarity have as many bits, or twice as many
+                near = [(p, q) for i, p in enumerate(one) for j, q in enumerate(two) if (y.is_valid or i <= j)
+                        and max(p[3].shape[1], q[3].shape[1]) <= 2 * min(p[3].shape[1], q[3].shape[1])]
+                for p, q in near:
+                    a, b = near_sets(p, None if p is q else q, at_least, thin)
+                    if len(a):
+                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     return within.unionByName(across).mapInArrow(run, "a bigint, b bigint").distinct()
 
@@ -377,20 +401,24 @@ def near_sets(one: tuple[np.ndarray, ...], two: tuple[np.ndarray, ...] | None, a
     """Pairs of ids from two blocks (ids, components, sizes in order, bits), or within ``one``, of different components whose
     sizes and bits allow a similarity of ``at_least``; with ``thin``, a spanning forest of their components."""
     same, two = two is None, one if two is None else two
+    words = min(one[3].shape[1], two[3].shape[1])
+    bits_a, bits_b = (np.ascontiguousarray(folded(x[3], words).T) for x in (one, two))
     found = tuple(np.zeros(0, np.int64) for _ in range(5))
-    for at in range(0, len(one[0]), STRIP):
-        ids, parts, sizes, bits = (x[at:at + STRIP] for x in one)
+    for at in range(0, len(one[0]), SETS):
+        ids, parts, sizes, _ = (x[at:at + SETS] for x in one)
         lo, hi = np.searchsorted(two[2], [at_least * sizes[0] - 1e-6, sizes[-1] / at_least + 1e-6])
         total = sizes[:, None] + two[2][None, lo:hi]
-        apart = np.zeros(total.shape, np.int64)
-        for k in range(bits.shape[1]):
-            apart += np.bitwise_count(bits[:, k, None] ^ two[3][None, lo:hi, k])
+        apart = np.zeros(total.shape, np.uint32)
+        for k in range(words):
+            apart += np.bitwise_count(bits_a[k, at:at + SETS, None] ^ bits_b[k, None, lo:hi])
         passed = (apart <= (1 - at_least) / (1 + at_least) * total + 1e-6) & (parts[:, None] != two[1][None, lo:hi])
         if same:
             passed &= ids[:, None] < two[0][None, lo:hi]
         i, j = np.nonzero(passed)
+        if not len(i):
+            continue
         a, b, x, y = ids[i], two[0][lo:hi][j], parts[i], two[1][lo:hi][j]
-        new = (np.minimum(a, b), np.maximum(a, b), np.minimum(x, y), np.maximum(x, y), apart[i, j])
+        new = (np.minimum(a, b), np.maximum(a, b), np.minimum(x, y), np.maximum(x, y), apart[i, j].astype(np.int64))
         found = tuple(np.concatenate(pair) for pair in zip(found, new))
         if thin:
             order = np.lexsort((found[1], found[0], found[4], found[3], found[2]))
