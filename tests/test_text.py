@@ -165,3 +165,20 @@ def test_positions_take_linear_time(spark):
     assert len(spans) == 40_000 and (spans[-1].start, spans[-1].end, spans[-1].text) == (39_999 * 18 + 9, 39_999 * 18 + 10, "a")
     n = spark.range(1).select(S.running(F.sequence(F.lit(0), F.lit(9_999)).cast("array<int>")).alias("r")).head().r
     assert n == [i * (i - 1) // 2 for i in range(10_000)]
+
+
+def test_views_of_a_batch_are_made_in_slices(spark, monkeypatch):
+    import pyarrow as pa
+
+    texts = ["plain", None, "a\u200bｂ①", "", "ﬁ" * 50, "x\ufe0f", "caf\u00e9"]
+    monkeypatch.setattr(X, "SLICE_CHARS", 8)
+    slices = list(X.in_slices(pa.array(texts)))
+    assert [t for x in slices for t in x.to_pylist()] == texts and max(map(len, slices)) < len(texts)
+    assert list(X.in_slices(pa.array([], pa.string()))) == []
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts * 20)], "i int, t string").coalesce(1)
+    got = {r.i: r for r in df.select("i", X.compatibility_view(F.col("t")).alias("v"), X.nfkc(F.col("t")).alias("n")).collect()}
+    assert len(got) == 140
+    for i, t in enumerate(texts * 20):
+        want = {"a\u200bｂ①": ("ab1", [0, 2, 3]), "ﬁ" * 50: ("fi" * 50, [k // 2 for k in range(100)]), "x\ufe0f": ("x", [0])}.get(t, (None, None))
+        assert (got[i].v.text, got[i].v.origin) == want
+        assert got[i].n == (t if want[0] is None else want[0])
