@@ -119,6 +119,14 @@ def test_wilson(spark):
     assert [tuple(r) for r in df.select(low, high).collect()] == [(0.0, 0.0), (0.002, 0.054), (0.404, 0.596), (0.963, 1.0)]
 
 
+def test_pages_of_boxes_go_to_python_in_batches(spark, capsys):
+    boxes = spark.range(400).selectExpr("id % 200 AS page", "id AS seq", "concat('w', id) AS text", "IF(id < 200, 50D, 0D) AS min_x", "90D AS max_x", "1D AS min_y", "9D AS max_y")
+    got = H.ocr_reading_order(boxes)
+    assert {(r.page, r.line_no, r.line) for r in got.collect()} == {(k, 0, f"w{k + 200} w{k}") for k in range(200)}
+    got.explain()
+    assert "FlatMapGroups" not in capsys.readouterr().out
+
+
 def test_reading_order_and_markdown(spark):
     boxes = spark.createDataFrame([(1, 0, "right", 200.0, 240.0, 1.0, 11.0), (1, 1, "left", 0.0, 40.0, 0.0, 10.0), (1, 2, "below", 5.0, 50.0, 30.0, 40.0),
                                    (1, 3, "two", 60.0, 90.0, 31.0, 41.0)], "page long, seq int, text string, min_x double, max_x double, min_y double, max_y double")

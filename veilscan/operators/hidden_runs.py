@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,13 +88,16 @@ def merge_adjacent_runs(runs: DataFrame) -> DataFrame:
 def ocr_reading_order(boxes: DataFrame) -> DataFrame:
     """Text lines of a page from its boxes: grouped by height on the page, then left to right.
 
-    The running line centre depends on every box before it, so each page is folded in order by a small
-    grouped helper; a page is one image, and its boxes are few.
+    The running line centre depends on every box before it, so each page is folded in order by a small helper; a page is one
+    image, and its boxes are few and make one row. Pages go to Python in batches, not one call each.
     """
-    def lines(pdf: pd.DataFrame) -> pd.DataFrame:
+    def lines(boxes: list[dict]) -> list[str]:
         out: list[list[dict]] = []
         centre = height = 0.0
-        for b in pdf.sort_values(["min_y", "seq"], kind="stable").to_dict("records"):
+        for b in boxes:
+            for c in ("min_x", "max_x", "min_y", "max_y"):
+                b[c] = math.nan if b[c] is None else b[c]
+        for b in sorted(boxes, key=lambda b: (math.isnan(b["min_y"]), 0 if math.isnan(b["min_y"]) else b["min_y"], b["seq"])):
             mid, tall = (b["min_y"] + b["max_y"]) / 2, max(b["max_y"] - b["min_y"], 1)
             if out and abs(mid - centre) <= LINE_TOLERANCE * max(height, tall):
                 out[-1].append(b)
@@ -100,16 +106,21 @@ def ocr_reading_order(boxes: DataFrame) -> DataFrame:
             line = out[-1]
             centre = sum((x["min_y"] + x["max_y"]) / 2 for x in line) / len(line)
             height = max(max(x["max_y"] - x["min_y"], 1) for x in line)
-        rows = []
-        for i, line in enumerate(out):
+        said = []
+        for line in out:
             line.sort(key=lambda x: x["min_x"])
             words = [x["text"].strip() for x in line]
             wide = len(line) > 1 and line[-1]["min_x"] - line[0]["min_x"] > COLUMN_SPREAD
-            rows.append((pdf["page"].iloc[0], i, "| " + " | ".join(words) + " |" if wide else " ".join(words)))
-        return pd.DataFrame(rows, columns=["page", "line_no", "line"])
+            said.append("| " + " | ".join(words) + " |" if wide else " ".join(words))
+        return said
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([lines(b.as_py()) for b in batch.column(1)], pa.list_(pa.string()))], names=["page", "lines"])
 
-    kept = boxes.filter(F.trim("text") != "").select("page", "seq", "text", "min_x", "max_x", "min_y", "max_y")
-    return kept.groupBy("page").applyInPandas(lines, "page long, line_no int, line string")
+    kept = boxes.filter(F.trim("text") != "").select(F.col("page").cast("long"), "seq", "text", "min_x", "max_x", "min_y", "max_y")
+    pages = kept.groupBy("page").agg(F.collect_list(F.struct("seq", "text", "min_x", "max_x", "min_y", "max_y")).alias("boxes"))
+    return pages.mapInArrow(run, "page long, lines array<string>").select("page", F.posexplode("lines").alias("line_no", "line"))
 
 
 def distinct_headers(parts: DataFrame) -> DataFrame:
