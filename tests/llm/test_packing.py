@@ -82,3 +82,19 @@ def test_packing_an_empty_table(spark):
 def test_checksums_are_native(spark):
     row = P.pack(spark.createDataFrame([(1, "some text")], "doc_id long, text string"), tokenizer_file()).selectExpr("crc32(ids) AS c", "ids").first()
     assert row.c == zlib.crc32(bytes(row.ids))
+
+
+def test_encoding_holds_little_beside_the_texts():
+    """A worker's helper arrays do not grow with a slice in 8-byte numbers: they once took some twenty times the text."""
+    import tracemalloc
+
+    r = random.Random(3)
+    some = [" ".join(r.choice(["the", "of", "data", "Über", "x1,", "stop."]) for _ in range(4000)) for _ in range(600)]
+    enc, texts = encoder(tokenizer_file()), pa.array(some, pa.string())
+    enc.encode(texts, 0)
+    tracemalloc.start()
+    ids, n = enc.encode(texts, 0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [list(x) for x in np.split(ids, np.cumsum(n)[:-1])] == plain(some)
+    assert peak < 14 * texts.nbytes

@@ -183,6 +183,15 @@ def test_quality(spark):
     assert quality.classify(docs.limit(0), marks).count() == 0
 
 
+def test_quality_sends_only_texts_to_python(spark):
+    rows, labels = quality_rows()
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double")
+    kept = quality.keep_good(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "MapInArrow" not in plan  # rows stay in Spark; one score comes back
+    assert kept.columns == docs.columns
+
+
 def test_labels_of_held_out_rows_do_not_matter(spark):
     rows, labels = quality_rows()
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double")

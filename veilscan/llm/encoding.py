@@ -13,7 +13,9 @@ import pyarrow.compute as pc
 SLICE = 16 << 20
 _SPACE, _LINE = 0x20, 0x0A
 #: Bytes of remembered pieces and their ids; looking them up takes about as much for a moment.
-HELD = 96 << 20
+HELD = 48 << 20
+#: Bytes, or pieces, whose helper arrays a worker holds at a time.
+STEP = 1 << 18
 #: What a byte after a blank begins: 0 white space or control, 1 a visible character, 2 perhaps a blank of more bytes.
 _NEXT = np.zeros(256, np.uint8)
 _NEXT[0x21:0x7F], _NEXT[0x80:] = 1, 1
@@ -92,24 +94,31 @@ class Encoder:
         self.names = [self.tokenizer.id_to_token(i) or "" for i in range(self.size)]
         self.widths = np.array([len(n) for n in self.names], np.int64)
         self.known = pa.array([], pa.large_string())
-        self.places = self.lengths = self.store = np.zeros(0, np.int64)
+        self.places, self.lengths, self.store = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, self.kind)
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.int64) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def cuts(self, body: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Places where pieces begin: each text's begin, each blank before a visible character, each sign after a letter."""
         if not len(body):
             return at[:0]
-        begin, kind = np.zeros(len(body), bool), _NEXT[body]
-        np.logical_and((body[:-1] == _SPACE) | (body[:-1] == _LINE), kind[1:], out=begin[:-1])
-        for p in np.flatnonzero(begin[:-1] & (kind[1:] == 2)).tolist():
-            begin[p] = not bytes(body[p + 1:p + 4]).decode(errors="ignore")[:1].isspace()
         full = np.diff(at) > 0
-        begin[at[1:][full] - 1] = False  # what follows a text's last blank is another text
-        begin[1:] |= _SIGN[body[1:]] & _PLAIN[body[:-1]]
-        begin[at[:-1][full]] = True
-        return np.flatnonzero(begin)
+        firsts, lasts, found = at[:-1][full], at[1:][full] - 1, []
+        for a in range(0, len(body), STEP):
+            here, after = body[a:a + STEP], body[a + 1:a + 1 + STEP]
+            begin, kind = np.zeros(len(here), bool), _NEXT[after]
+            np.logical_and((here[:len(after)] == _SPACE) | (here[:len(after)] == _LINE), kind, out=begin[:len(after)])
+            for p in np.flatnonzero(begin[:len(after)] & (kind == 2)).tolist():
+                begin[p] = not bytes(body[a + p + 1:a + p + 4]).decode(errors="ignore")[:1].isspace()
+            i, j = np.searchsorted(lasts, [a, a + len(here)])
+            begin[lasts[i:j] - a] = False  # what follows a text's last blank is another text
+            skip = int(a == 0)
+            begin[skip:] |= _SIGN[here[skip:]] & _PLAIN[body[a + skip - 1:a + len(here) - 1]]
+            i, j = np.searchsorted(firsts, [a, a + len(here)])
+            begin[firsts[i:j] - a] = True
+            found.append(np.flatnonzero(begin) + a)
+        return np.concatenate(found)
 
     def learn(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(place, length, all ids) of pieces; those that begin with a blank and a visible character are encoded joined."""
@@ -117,7 +126,7 @@ class Encoder:
         padded = np.append(body, np.zeros(2, np.uint8))
         first = padded[at[:-1]]
         joint = (np.diff(at) > 1) & ((first == _SPACE) | (first == _LINE)) & (_NEXT[padded[at[:-1] + 1]] == 1)
-        places, lengths, parts, total = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64), [], 0
+        places, lengths, parts, total = np.zeros(len(pieces), np.int32), np.zeros(len(pieces), np.int32), [], 0
         own = np.flatnonzero(joint)
         if len(own):
             body, at = raw(pieces.take(pa.array(own)))
@@ -135,7 +144,7 @@ class Encoder:
             places[k], lengths[k] = total, len(ids)
             parts.append(ids)
             total += len(ids)
-        return places, lengths, np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        return places, lengths, np.concatenate(parts) if parts else np.zeros(0, self.kind)
 
     def found(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(place, length, store of ids) of each piece, remembered or new. New ones are remembered while there is room."""
@@ -143,11 +152,11 @@ class Encoder:
         lacking = pc.is_null(known)
         new = pieces.filter(lacking)
         at, n, ids = self.learn(new)
-        places, lengths = np.concatenate([self.places, at + len(self.store)]), np.concatenate([self.lengths, n])
+        places, lengths = np.concatenate([self.places, at + np.int32(len(self.store))]), np.concatenate([self.lengths, n])
         store = np.concatenate([self.store, ids])
         which = pc.fill_null(known, -1).to_numpy(zero_copy_only=False).astype(np.int64)
         which[which < 0] = len(self.places) + np.arange(len(new))
-        if self.held() + new.nbytes + 16 * len(new) + ids.nbytes <= HELD:
+        if self.held() + new.nbytes + 8 * len(new) + ids.nbytes <= HELD:
             self.known, self.places, self.lengths, self.store = pa.concat_arrays([self.known, new]), places, lengths, store
         return places[which], lengths[which], store
 
@@ -163,13 +172,14 @@ class Encoder:
         plain = pc.if_else(pa.array(special), "", texts) if special.any() else texts
         body, at = raw(plain)
         cuts = self.cuts(body, at)
-        array = pa.Array.from_buffers(pa.large_string(), len(cuts), [None, pa.py_buffer(np.append(cuts, len(body)).astype(np.int64)), pa.py_buffer(body)])
+        edges = np.append(cuts, len(body))
+        array = pa.Array.from_buffers(pa.large_string(), len(cuts), [None, pa.py_buffer(edges), pa.py_buffer(body)])
         found = array.dictionary_encode()
-        which = found.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        which = found.indices.to_numpy(zero_copy_only=False)
         places, lengths, store = self.found(found.dictionary)
         extra = self.whole([texts[int(k)].as_py() for k in np.nonzero(special)[0]])
         # Ends and whole texts are pieces of their own behind the others.
-        store = np.concatenate([store, np.array([end_id]), *extra])
+        store = np.concatenate([store, np.array([end_id]).astype(self.kind), *extra])
         sizes = np.array([len(x) for x in extra], np.int64)
         places = np.concatenate([places, [len(store) - 1 - sizes.sum()], len(store) - sizes.sum() + np.cumsum(sizes) - sizes])
         lengths = np.concatenate([lengths, [1], sizes])
@@ -178,11 +188,23 @@ class Encoder:
         added = np.full(len(stops) + len(own), len(found.dictionary))
         added[own + np.arange(len(own))] += 1 + np.arange(len(own))  # a whole text stands before its end
         which = np.insert(which, np.repeat(stops, 1 + special), added)
-        per_piece = lengths[which]
-        ids = store[gathered(places[which], per_piece)]
         text_stops = stops + np.arange(1, len(stops) + 1) + np.searchsorted(own, np.arange(len(stops)), side="right")
-        ends = np.cumsum(per_piece)[text_stops - 1] if len(stops) else np.zeros(0, np.int64)
-        return ids.astype(self.kind), np.diff(ends, prepend=0)
+        ids, sizes = self.gather(which, places, lengths, store, text_stops)
+        del array, found, which
+        pa.default_memory_pool().release_unused()  # a worker lives on between tasks, and what its pool keeps counts as held
+        return ids, sizes
+
+    def gather(self, which: np.ndarray, places: np.ndarray, lengths: np.ndarray, store: np.ndarray, text_stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the pieces ``which`` in turn, number of ids of each text), STEP pieces at a time."""
+        ids, ends, at = [np.zeros(0, self.kind)], np.zeros(len(text_stops), np.int64), 0
+        for k in range(0, len(which), STEP):
+            some = which[k:k + STEP]
+            sizes = lengths[some]
+            ids.append(store[gathered(places[some], sizes)])
+            i, j = np.searchsorted(text_stops, [k + 1, k + len(some) + 1])
+            ends[i:j] = at + np.cumsum(sizes)[text_stops[i:j] - 1 - k]
+            at += len(ids[-1])
+        return np.concatenate(ids), np.diff(ends, prepend=0)
 
 
 def encoder(path: str) -> Encoder:

@@ -20,7 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from veilscan.functions.text import in_slices
 from veilscan.llm.common import written
 
 STATISTICS = [
@@ -160,19 +162,20 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 20_000, label: str = "
     return fit(x, (found["_y"].to_numpy() > 0).astype(np.float64))
 
 
-def add_scores(docs: DataFrame, trees: Trees, carry: list[str], text: str = "text", batch_rows: int = 1024) -> DataFrame:
-    """``carry`` and score, in one pass over the whole texts; the flattened trees are of fixed size and travel with the task."""
-    schema = docs.select(*carry, F.lit(0.0).alias("_score")).schema
-    held, n = docs.sparkSession.sparkContext.broadcast(trees), len(carry)
+def add_scores(docs: DataFrame, trees: Trees, carry: list[str], text: str = "text") -> DataFrame:
+    """``carry`` and _score, in one pass over the whole texts; the flattened trees are of fixed size and travel with the task.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, batch_rows):
-                batch = whole.slice(at, batch_rows)
-                x = np.array([statistics(t.as_py()) for t in batch.column(n)])
-                yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(n)] + [pa.array(held.value.scores(x))], names=[*carry, "_score"])
+    Only the texts go to Python and only their scores come back, read in slices: what a task holds beside Spark's own rows is one
+    batch of texts, not a batch of whole rows there and back."""
+    held = docs.sparkSession.sparkContext.broadcast(trees)
 
-    return docs.select(*carry, F.col(text).alias("_text")).mapInArrow(run, schema)
+    @F.arrow_udf(T.DoubleType())
+    def scores(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            for texts in in_slices(batch):
+                yield pa.array(held.value.scores(np.array([statistics(t.as_py()) for t in texts])))
+
+    return docs.select(*carry, scores(F.col(text)).alias("_score"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, most: int = 20_000) -> DataFrame:
