@@ -182,3 +182,17 @@ def test_views_of_a_batch_are_made_in_slices(spark, monkeypatch):
         want = {"a\u200bｂ①": ("ab1", [0, 2, 3]), "ﬁ" * 50: ("fi" * 50, [k // 2 for k in range(100)]), "x\ufe0f": ("x", [0])}.get(t, (None, None))
         assert (got[i].v.text, got[i].v.origin) == want
         assert got[i].n == (t if want[0] is None else want[0])
+
+
+def test_mixed_words_are_found_in_linear_time(spark):
+    import time
+
+    long = "а" * 60_000  # one word of look-alikes without a Latin letter: each of its letters was once tried as a beginning
+    texts = ["pаypаl", "привет", "xя", "яа", "_а_b ааа", "a аb. ба-c", "éа", "1а", "а1z", long, long + "z"]
+    view = F.col("content")
+    began = time.time()
+    got = rows(spark, texts).select(X.fold_confusables(view).alias("t"), X.confusable_words(view).alias("n")).collect()
+    assert time.time() - began < 10
+    assert [r.t for r in got[:9]] == ["paypal", "привет", "xя", "яа", "_a_b ааа", "a ab. ба-c", "éа", "1а", "a1z"]
+    assert [r.n for r in got] == [1, 0, 0, 0, 1, 1, 0, 0, 1, 0, 1]
+    assert got[9].t == long and got[10].t == "a" * 60_000 + "z"
