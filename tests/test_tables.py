@@ -159,6 +159,25 @@ def test_two_stage_scan(spark):
     assert got == {("b", 0, 15), ("c", 0, 3), ("d", 10, 16)}
 
 
+def test_words_are_judged_alike_near_and_far(spark):
+    """Common words are judged by a broadcast and all others by a join; a unit's windows are read from its own row."""
+    from pyspark.sql import functions as F
+    from veilscan.operators import lexicon
+
+    dictionary = spark.createDataFrame([(w,) for w in ["plan", "team", "send", "note"]], "word string")
+    rows = [("a", ["plan", "xq", "plans", "kar", "team", "teamplan"]), ("b", []), ("c", None), ("d", ["xq"] * 3 + ["a", "b"]), ("e", ["send", "sending", "zz"] * 7)]
+    units = spark.createDataFrame(rows, "unit string, words array<string>")
+    codes = [{r.unit: r.codes for r in lexicon.place_codes(units, "unit", "words", dictionary, ["kar"], most=n).collect()} for n in (1, 3, 50_000)]
+    assert codes[0] == codes[1] == codes[2]
+    assert codes[0]["a"] == [1, 4, 9, 14, 17, 21] and codes[0]["d"] == [0, 4, 8, 13, 16] and set(codes[0]) == {"a", "d", "e"}
+    old = lexicon.text_measures(lexicon.judged_words(units, "unit", "words", dictionary, ["kar"]), "unit").collect()
+    new = lexicon.place_codes(units, "unit", "words", dictionary, ["kar"]).withColumn(
+        "m", lexicon.code_measures(F.col("codes"), F.lit(0), F.size("codes"))).select("unit", "m.*").collect()
+    assert {r.unit: (r.total, r.english, r.markers, r.max_run, r.ratio) for r in old} == {r.unit: (r.total, r.english, r.markers, r.max_run, r.ratio) for r in new}
+    plan = lexicon.two_stage_scan(units, "unit", "words", dictionary, ["kar"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("_win") == 0  # windows are no rows of a second join
+
+
 def test_benign_sample_is_cut_where_asked(spark):
     from veilscan.operators.evalsets import benign_sample
 
