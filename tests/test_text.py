@@ -196,3 +196,27 @@ def test_mixed_words_are_found_in_linear_time(spark):
     assert [r.t for r in got[:9]] == ["paypal", "привет", "xя", "яа", "_a_b ааа", "a ab. ба-c", "éа", "1а", "a1z"]
     assert [r.n for r in got] == [1, 0, 0, 0, 1, 1, 0, 0, 1, 0, 1]
     assert got[9].t == long and got[10].t == "a" * 60_000 + "z"
+
+
+def test_language_words_are_cleaned_in_linear_time(spark):
+    import re
+    import time
+
+    from veilscan.functions import language as L
+
+    texts = ["mail a@b now", "@a b@ @ c", "@a@b x", "(https://x.y z", "awww.x www. y", "ab1c 2 d", "see http://a 1b@c\td@e", "@@ a@@ @@b 3", "xwww.a@b wwwhttp://", "a 1 b 2"]
+    long = "x" * 60_000  # each of its letters was once tried as the beginning of an address
+    began = time.time()
+    got = [r.t for r in rows(spark, [*texts, long]).select(L.lang_clean(F.col("content")).alias("t")).collect()]
+    assert time.time() - began < 10 and got[-1] == long
+    noise = re.compile(L.NOISE, re.ASCII)
+    assert got[:-1] == [re.sub(r"\s+", " ", noise.sub(" ", t)).strip(" ") for t in texts]
+
+
+def test_mail_lines_keep_what_they_say(spark):
+    from veilscan.functions import language as L
+
+    lines = ["To: a@b.c", "Subject: Plan for Monday", "Subject: Ann Lee; Bo", "> quoted text here", "----", "John/HR/Corp@Corp, Ann Lee/HR/Corp@Corp", "12 34", "", None,
+             "a/b/c and some more words", "--- Forwarded by X", "Subject: 12/10/2020 10:30 AM", "> Subject: re the plan"]
+    got = [r.t for r in rows(spark, lines).select(L.drop_mail_metadata(F.col("content")).alias("t")).collect()]
+    assert got == [None, "Plan for Monday", None, "quoted text here", None, None, None, None, None, "a/b/c and some more words", None, None, "re the plan"]
