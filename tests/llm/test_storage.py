@@ -82,6 +82,29 @@ def test_remembering_has_an_end_and_no_effect(monkeypatch):
     assert 0 < enc.held() <= 8000
 
 
+def test_remembered_pieces_give_the_same_ids():
+    """Letters that go to the model alone, signs among them, and lengths about what two numbers hold; each text twice."""
+    enc = E.Encoder(tokenizer_file())
+    random.seed(5)
+    parts = ["a", "Z", "é", "ß", "×", "÷", "Ā", "ª", "\xad", " ", " ", " ", "\n", "'s", "7", "&", "\0", "straße", "conversación", "o" * 12, "漢"]
+    texts = ["".join(random.choice(parts) for _ in range(random.randint(0, 30))) for _ in range(500)]
+    texts += [f" {c * n}" for c in ("b", "é", "\0") for n in range(1, 20)]
+    for t in texts * 2:
+        assert enc.encode(pa.array([t]), 0)[0].tolist() == [*enc.tokenizer.encode(t, add_special_tokens=False).ids, 0], repr(t)
+
+
+def test_a_slice_costs_what_its_own_pieces_cost(monkeypatch):
+    """Neither is what is remembered hashed anew each slice, nor are new words of letters encoded with a splitter and offsets."""
+    enc, looked_up, split = E.Encoder(tokenizer_file()), [], []
+    index_in, whole = E.pc.index_in, enc.whole
+    monkeypatch.setattr(E.pc, "index_in", lambda x, value_set: looked_up.append(len(value_set)) or index_in(x, value_set=value_set))
+    monkeypatch.setattr(enc, "whole", lambda texts: split.extend(texts) or whole(texts))
+    names = ["".join(random.choice("abcdefghij") for _ in range(8)) for _ in range(4000)]
+    for k in range(0, 4000, 1000):
+        enc.encode(pa.array([" " + " ".join(names[k:k + 1000])]), 0)
+    assert max(looked_up) == 0 and not split
+
+
 @pytest.mark.parametrize("n", [1, 2, T.LANES - 1, T.LANES, 3 * T.LANES + 7])
 def test_coder_round_trip(n):
     rng = np.random.default_rng(n)
