@@ -93,20 +93,21 @@ def count_ids(token_rows: DataFrame) -> dict[int, int]:
 def encode_block(places: np.ndarray, f: np.ndarray, c: np.ndarray) -> bytes:
     """Codes positions in the frequency table; lanes step together, last step first."""
     lanes = min(LANES, len(places))
-    x, words = np.full(lanes, LOW, np.uint64), []
-    bits, top = np.uint64(SCALE), np.uint64(63 - SCALE)
+    x, quotient, words = np.full(lanes, LOW, np.uint64), np.zeros(lanes, np.uint64), []
     f, c = f.astype(np.uint64)[places], c.astype(np.uint64)[places]
+    # x becomes (x // f << SCALE) + x % f + c, that is x + x // f * ((1 << SCALE) - f) + c.
+    most, spread = f << np.uint64(63 - SCALE), np.uint64(1 << SCALE) - f
     for at in range((len(places) - 1) // lanes * lanes, -1, -lanes):
-        fs, cs = f[at:at + lanes], c[at:at + lanes]
-        own = x[:len(fs)]
-        full = own >= (fs << top)
-        if full.any():
-            words.append((own[full] & np.uint64(0xFFFFFFFF)).astype("<u4"))
-            own[full] >>= np.uint64(32)
-        else:
-            words.append(np.zeros(0, "<u4"))
-        q = own // fs
-        x[:len(fs)] = (q << bits) + (own - q * fs) + cs
+        fs = f[at:at + lanes]
+        own, q = x[:len(fs)], quotient[:len(fs)]
+        full = np.flatnonzero(own >= most[at:at + lanes])
+        out = own[full]
+        words.append(out.astype("<u4"))
+        own[full] = out >> np.uint64(32)
+        np.floor_divide(own, fs, out=q)
+        q *= spread[at:at + lanes]
+        own += q
+        own += c[at:at + lanes]
     return x.astype("<u8").tobytes() + b"".join(w.tobytes() for w in reversed(words))
 
 
@@ -114,15 +115,18 @@ def decode_block(payload: bytes, n: int, f: np.ndarray, c: np.ndarray, slots: np
     lanes = min(LANES, n)
     x = np.frombuffer(payload, "<u8", lanes).astype(np.uint64)
     words = np.frombuffer(payload, "<u4", offset=8 * lanes).astype(np.uint64)
-    out, bits, low = np.zeros(n, np.int64), np.uint64(SCALE), np.uint64((1 << SCALE) - 1)
+    out, held, low = np.zeros(n, slots.dtype), np.zeros(lanes, np.uint64), np.uint64((1 << SCALE) - 1)
     f, c, at = f.astype(np.uint64), c.astype(np.uint64), 0
     for i in range(0, n, lanes):
-        own = x[:min(lanes, n - i)]
-        slot = own & low
-        place = slots[slot.astype(np.int64)]
-        out[i:i + lanes] = place
-        own[:] = f[place] * (own >> bits) + slot - c[place]
-        need = np.nonzero(own < LOW)[0]
+        place = out[i:i + lanes]
+        own, slot = x[:len(place)], held[:len(place)]
+        np.bitwise_and(own, low, out=slot)
+        slots.take(slot.view(np.int64), out=place, mode="clip")  # a slot is below 1 << SCALE
+        own >>= np.uint64(SCALE)
+        own *= f.take(place)
+        own += slot
+        own -= c.take(place)
+        need = np.flatnonzero(own < LOW)
         own[need] = (own[need] << np.uint64(32)) | words[at:at + len(need)]
         at += len(need)
     if at != len(words):
@@ -158,8 +162,8 @@ def write_files(docs: DataFrame, tokenizer: str, end_id: int = 0, folder: str |
 
         unpack, kind = zstandard.ZstdDecompressor(), encoder(tokenizer).kind
         ids, f, c = shared.value
-        place_of = np.zeros(int(ids.max(initial=0)) + 1, np.int64)
-        place_of[ids] = np.arange(len(ids))
+        f_of, c_of = np.zeros((2, int(ids.max(initial=0)) + 1), np.uint64)  # by id; those not in use have frequency 0
+        f_of[ids], c_of[ids] = f, c
         shard, number, first = TaskContext.get().partitionId(), 0, 0
         held, marks, size = [], [], 0
 
@@ -167,7 +171,7 @@ def write_files(docs: DataFrame, tokenizer: str, end_id: int = 0, folder: str |
             nonlocal held, marks, size, number, first
             own = np.concatenate(held)
             doc_ids, starts, counts, parts = zip(*marks)
-            values = [shard, number, first, size, zlib.crc32(own.astype("<u4").tobytes()), doc_ids, starts, counts, parts, encode_block(place_of[own], f, c)]
+            values = [shard, number, first, size, zlib.crc32(own.astype("<u4").tobytes()), doc_ids, starts, counts, parts, encode_block(own, f_of, c_of)]
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()),
                      pa.list_(pa.int32()), pa.binary()]
             number, first = number + 1, first + size
