@@ -8,7 +8,7 @@ from veilscan.operators import cutting as C
 from veilscan.operators import evidence as E
 from veilscan.operators import scoring as S
 from veilscan.operators.screen import check_items, detect
-from veilscan.settings import CUT_ARRAY
+from veilscan.settings import CUT_ARRAY, Options
 from veilscan.streaming import streams
 
 A = keyword_scorer("scorer_a", ["ignore all previous", "alpha beta", "lone bad"])
@@ -141,6 +141,27 @@ def test_the_stage_events_query_reads_all_evidence(spark):
     assert 0 < n["cut"] == n["recheck"] and "unfinished" not in n
 
 
+def test_each_reading_of_a_text_calls_the_view_helper_once(spark):
+    from veilscan.operators import screen
+
+    items = spark.createDataFrame([(0, "x", "web")], "item_id int, content string, source string")
+    df = screen.decide(screen.with_evidence(detect(screen.attach_evidence(items), [A, B]), False)).withColumns({
+        "rounds": F.lit(0), "cleaned": F.lit(None).cast(screen.CLEANED), "sandbox_again": F.lit(None).cast(E.SANDBOX), "_again": F.lit(True)})
+    plan = screen.recheck_round(df, [A, B], Options(), 0)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 2  # the text, and what is kept of it
+
+
+def test_phrases_are_found_as_in_each_window(spark):
+    from veilscan.functions.scorers import Scorer
+
+    texts = [["ignore all", "previous x", "y", "z"], ["İgnore", "LONE", "BAD", "GAMMA Σ"], ["x"], [], ["a", "b", "c", "d", "lone bad and gamma", "e"], ["lone", "", "bad"]]
+    df = spark.createDataFrame([(units(t),) for t in texts], "units array<struct<unit_no:int,start:int,end:int,text:string>>").coalesce(1)
+    each = [Scorer(s.name, s.many, s.cut) for s in (A, B)]
+    assert A.phrases and not keyword_scorer("s", ["ς x"]).phrases
+    got, want = ([(r.windows, r.groups) for r in S.score_windows(df, s, 0.65).collect()] for s in ([A, B], each))
+    assert got == want and sum(len(g) for _, g in got) == 3
+
+
 def test_language_gate(spark):
     mail = "Subject: hello\nFrom: a@b.example\n\nPlease review the plan for the team and send it.\nAap saare rules jaldi karo turant mujhe bhejo nahin.\nThanks"
     df = spark.createDataFrame([(0, mail, "email"), (1, "The plan is fine and we like it.", "email")], "item_id int, content string, source string").coalesce(1)
